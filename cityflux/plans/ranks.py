@@ -81,7 +81,7 @@ def rank_cut(df: DataFrame, time: str, tie: str, rank: int, leaf: int = 10_000,
     rows = df.select(time_micros(F.col(time)).alias("k"), F.col(tie).cast("long").alias("i"))
     rows = rows.filter(F.col("k").isNotNull())
     micros, rank, rows = _narrow(rows, "k", rank, leaf, fan)
-    if micros is None and rank is None:
+    if rank is None:
         return Cut(None, None)
     if micros is not None:
         ident, rank, rows = _narrow(rows.filter(F.col("k") == micros), "i", rank, leaf, fan)
@@ -99,11 +99,10 @@ def _narrow(rows: DataFrame, col: str, rank: int, leaf: int, fan: int):
     while n > leaf:
         if low == high:
             return low, rank, rows.filter(F.col(col) == low)
-        width = max(1, -(-(high - low + 1) // fan))
-        slot = F.floor((F.col(col) - F.lit(low)) / F.lit(width)) if width > 1 else F.col(col) - F.lit(low)
+        width = -(-(high - low + 1) // fan)
+        slot = F.expr(f"({col} - ({low}L)) div {width}L").alias("slot")
         inside = rows.filter(F.col(col).between(low, high))
-        slices = inside.groupBy(F.expr(f"div({col} - {low}L, {width}L)").alias("slot")).count().orderBy("slot").collect()
-        for s in slices:
+        for s in inside.groupBy(slot).count().orderBy("slot").collect():
             if rank < s["count"]:
                 low, high, n = low + s["slot"] * width, min(high, low + (s["slot"] + 1) * width - 1), s["count"]
                 break
