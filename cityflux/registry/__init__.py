@@ -6,7 +6,7 @@ from importlib import import_module
 
 from cityflux.registry.base import ORACLES, QUERIES
 
-_MODULES = ["scans", "rollup", "serving", "cleaning", "features", "describe", "evaluation"]
+_MODULES = ["scans", "rollup", "serving", "cleaning", "features", "describe", "evaluation", "models", "streaming"]
 for _name in _MODULES:
     import_module(f"cityflux.registry.{_name}")
 

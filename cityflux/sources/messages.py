@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cityflux.functions.times import parse_iso
 from cityflux.schemas import MESSAGE, TOPIC
@@ -24,7 +25,7 @@ def decode(df: DataFrame, value: str = "value", keep: list[str] | None = None) -
     ``timestamp`` is parsed (zone-less text read in the session zone); a missing one becomes the
     processing time.
     """
-    schema = MESSAGE.add(_CORRUPT, "string")
+    schema = T.StructType([*MESSAGE.fields, T.StructField(_CORRUPT, T.StringType())])
     body = F.from_json(value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
     rows = df.select(*(keep or []), F.col(value).alias("_text"), body.alias("_m"))
     bad = F.col(f"_m.{_CORRUPT}").isNotNull() | F.col("_m").isNull() | F.col("_m.location").isNull()
