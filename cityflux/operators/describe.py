@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -134,11 +137,6 @@ def hourly_pattern(df: DataFrame, measures: list[str] = MEASURES) -> DataFrame:
     return flag_extreme(tidy, {"is_peak": ("mean", True), "is_lowest": ("mean", False)}, ["measure"])
 
 
-def _names(spark: SparkSession, names: list[str], first: int) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(n).alias("name")) for i, n in enumerate(names, first)])
-    return spark.range(1).select(F.inline(rows))
-
-
 def dow_pattern(df: DataFrame, measures: list[str] = MEASURES) -> DataFrame:
     """Mean per weekday, all seven named, 0 for a weekday without rows."""
     day = F.weekday("timestamp")
@@ -229,26 +227,67 @@ def hotspots(df: DataFrame, n: int = 3, measures: list[str] = MEASURES) -> DataF
     return high.unionByName(low)
 
 
-def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson r of every column pair over rows where both are known; NULL for a constant column.
+# Up to this many column pairs are plain aggregates of one pass; wider frames use matrix sums.
+_PAIR_AGGREGATES = 30
 
-    All pairs are aggregates of one pass.
-    """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+
+def correlation_matrix(df: DataFrame, columns: list[str], most_aggregates: int = _PAIR_AGGREGATES) -> DataFrame:
+    """Pearson r of every column pair over rows where both are known; NULL for a constant column."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    if len(pairs) > most_aggregates:
+        return _correlation_by_matrix(df, columns)
     aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-        y = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
-        aggs += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"x{i}"), F.stddev_pop(y).alias(f"y{i}")]
+    for n, (i, j) in enumerate(pairs):
+        a, b = F.col(columns[i]), F.col(columns[j])
+        x, y = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
+        aggs += [F.covar_pop(x, y).alias(f"c{n}"), F.stddev_pop(x).alias(f"x{n}"), F.stddev_pop(y).alias(f"y{n}")]
     wide = df.agg(*aggs)
     rows = []
-    for i, (a, b) in enumerate(pairs):
-        r = F.try_divide(F.col(f"c{i}"), F.col(f"x{i}") * F.col(f"y{i}"))
-        first, second = sorted((a, b))
+    for n, (i, j) in enumerate(pairs):
+        r = F.try_divide(F.col(f"c{n}"), F.col(f"x{n}") * F.col(f"y{n}"))
+        first, second = sorted((columns[i], columns[j]))
         rows.append(F.struct(F.lit(first).alias("variable1"), F.lit(second).alias("variable2"), r.alias("correlation")))
     return wide.select(F.inline(F.array(*rows)))
 
 
+def _correlation_by_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The same from four products of the value and presence matrices, summed batch by batch.
+
+    Values are first shifted by their column mean, which leaves r unchanged and keeps the sums small.
+    """
+    size = len(columns)
+    means = df.agg(*[F.avg(c).cast("double").alias(c) for c in columns]).select(F.struct("*").alias("m")).scalar()
+    shifted = df.select(*[(F.col(c).cast("double") - means[c]).alias(c) for c in columns])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((4, size, size))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float)
+            known = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            held += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        i, j = np.triu_indices(size, 1)
+        yield pd.DataFrame(
+            {
+                "i": i, "j": j, "n": held[0][i, j], "sx": held[1][i, j], "sy": held[1].T[i, j],
+                "sxx": held[2][i, j], "syy": held[2].T[i, j], "sxy": held[3][i, j],
+            }
+        )
+
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    parts = shifted.mapInPandas(sums, "i int, j int, " + ", ".join(f"{c} double" for c in names))
+    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+    covariance = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
+    spread_x = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
+    spread_y = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
+    # What is left of a constant column is rounding noise far below its own squares.
+    flat = (spread_x <= F.col("n") * F.col("sxx") * 1e-12) | (spread_y <= F.col("n") * F.col("syy") * 1e-12)
+    r = F.when(~flat, F.try_divide(covariance, F.sqrt(spread_x) * F.sqrt(spread_y)))
+    label = F.array(*[F.lit(c) for c in columns])
+    a, b = F.element_at(label, F.col("i") + 1), F.element_at(label, F.col("j") + 1)
+    return total.select(F.least(a, b).alias("variable1"), F.greatest(a, b).alias("variable2"), r.alias("correlation"))
+
+
 def strong_correlations(matrix: DataFrame, floor: float = 0.5) -> DataFrame:
     """Pairs beyond the floor, with strength and wording."""
     r = F.col("correlation")

@@ -182,7 +182,7 @@ def residual_histogram(df: DataFrame, true: str = "y_true", pred: str = "y_pred"
     s = span.select(F.struct("lo", "hi").alias("s")).scalar()
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     at = F.least(F.floor((F.col("r") - s["lo"]) / (s["hi"] - s["lo"]) * bins), F.lit(bins - 1))
-    counts = rows.groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.select(at.cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     frame = span.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "hi")
     return frame.join(counts, "bin", "left").select(
         "bin", (F.col("lo") + F.col("bin") * width).alias("lower"), (F.col("lo") + (F.col("bin") + 1) * width).alias("upper"),
@@ -207,7 +207,7 @@ def residuals_by_prediction(df: DataFrame, true: str = "y_true", pred: str = "y_
     s = rows.agg(F.struct(F.min("p").alias("lo"), F.max("p").alias("hi")).alias("s")).scalar()
     share = F.coalesce(F.try_divide(F.col("p") - s["lo"], s["hi"] - s["lo"]), F.lit(0.0))
     at = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
-    return rows.groupBy(at.alias("bin")).agg(
+    return rows.withColumn("bin", at).groupBy("bin").agg(
         F.avg("p").alias("mean_predicted"), F.avg("r").alias("mean_residual"),
         F.stddev_pop("r").alias("std_residual"), F.count(F.lit(1)).alias("n"),
     )

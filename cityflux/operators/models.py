@@ -155,18 +155,22 @@ def _stages(target: str, kind: str, names: list[str], **settings) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), build])
 
 
-def evaluate(fitted: Fitted, test: DataFrame) -> DataFrame:
-    """Metrics of the test rows as (metric, value); classifiers with probabilities add roc_auc."""
-    out = fitted.predict(test)
-    if not fitted.is_classifier:
-        return ev.regression_metrics(out, fitted.target, "prediction")
-    metrics = ev.classification_metrics(out, fitted.target, "prediction")
+def score(out: DataFrame, target: str) -> DataFrame:
+    """Metrics of predicted rows as (metric, value); class probabilities add roc_auc."""
+    if target != "traffic_level":
+        return ev.regression_metrics(out, target, "prediction")
+    metrics = ev.classification_metrics(out, target, "prediction")
     if "probability" not in out.columns:
         return metrics
-    scores = ev.explode_scores(out, "probability", LEVELS, fitted.target)
+    scores = ev.explode_scores(out, "probability", LEVELS, target)
     return metrics.unionByName(ev.roc_auc_ovr(scores).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value")))
 
 
+def evaluate(fitted: Fitted, test: DataFrame) -> DataFrame:
+    """Metrics of the test rows."""
+    return score(materialize(fitted.predict(test), "predicted"), fitted.target)
+
+
 def grid_search(
     df: DataFrame, target: str, kind: str, grid: dict, folds: int = GRID_FOLDS, parallelism: int = 4,
     order: tuple[str, ...] = ("timestamp", "id"), **settings,

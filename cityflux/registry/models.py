@@ -144,3 +144,33 @@ def ridge_one_feature(spark, sf):
     rows = readings(spark, sf).select("traffic_level", F.col("aqi_value").cast("double").alias("aqi_value"))
     line = models.train(rows, "aqi_value", "linear").model.stages[-1]
     return spark.createDataFrame([(float(line.coefficients[0]), float(line.intercept))], "weight double, intercept double")
+
+
+@query("analysis_run")
+def analysis_run(spark, sf):
+    """P5 with small trees: the test metrics of both models after the whole run."""
+    from cityflux.registry.base import AS_OF, dirty_readings
+    from cityflux.runs.analysis import run_analysis
+
+    settings = {"aqi_value": _SMALL_FOREST, "traffic_level": _SMALL_FOREST}
+    done = run_analysis(dirty_readings(spark, sf), fresh_path(spark, "run"), AS_OF, settings=settings)
+    parts = [m.select(F.lit(name).alias("model"), "metric", "value") for name, m in done.metrics.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("insight_report", """
+SELECT 'Records: ' || format('{:,}', count(*)) AS line FROM readings
+UNION ALL SELECT 'Locations: ' || count(DISTINCT location) FROM readings
+""")
+def insight_report(spark, sf):
+    """The text report of the readings, written and read back; the lines with counts."""
+    from cityflux.operators import describe, findings
+    from cityflux.runs import reports
+    from cityflux.sources.exports import write_text
+
+    r = readings(spark, sf)
+    text = reports.insight_report(describe.dataset_info(r), findings.key_findings(r), describe.summary_statistics(r))
+    path = fresh_path(spark, "report")
+    write_text(spark, text, path)
+    lines = spark.read.text(path).withColumnRenamed("value", "line")
+    return lines.filter(F.col("line").startswith("Records") | F.col("line").startswith("Locations"))

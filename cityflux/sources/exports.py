@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 # Whole microseconds; the default formats keep only milliseconds.
 _TIMES = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -32,16 +30,7 @@ def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).options(**_TIMES).json(path)
 
 
-def as_document(df: DataFrame, name: str) -> DataFrame:
-    """A small result table as one row (section, body), the body a JSON array."""
-    rows = F.sort_array(F.collect_list(F.to_json(F.struct(*df.columns))))
-    return df.agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("body")).select(
-        F.lit(name).alias("section"), "body"
-    )
-
-
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A short report as text."""
     out = spark.createDataFrame([(text,)], "value string")
     out.coalesce(1).write.mode("overwrite").options(**_REPLACE).text(path)
-
