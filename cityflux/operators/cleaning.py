@@ -47,9 +47,9 @@ def validity(df: DataFrame) -> dict[str, Column]:
     return rules
 
 
-def iqr_bounds(df: DataFrame, measure: str, k: float, check: bool = True) -> DataFrame:
+def iqr_bounds(df: DataFrame, measure: str, k: float) -> DataFrame:
     """One row (lower, upper): quartiles widened by k interquartile ranges."""
-    q = percentiles(df, measure, {"q25": 0.25, "q75": 0.75}, check=check)
+    q = percentiles(df, measure, {"q25": 0.25, "q75": 0.75})
     width = (F.col("q75") - F.col("q25")) * F.lit(float(k))
     return q.select((F.col("q25") - width).alias("lower"), (F.col("q75") + width).alias("upper"))
 
@@ -60,11 +60,11 @@ def inside_bounds(bounds: DataFrame, measure: str) -> Column:
     return (F.col(measure) >= b["lower"]) & (F.col(measure) <= b["upper"])
 
 
-def iqr_filter(df: DataFrame, measures: list[str] | None = None, k: float = 3.0, check: bool = True) -> DataFrame:
+def iqr_filter(df: DataFrame, measures: list[str] | None = None, k: float = 3.0) -> DataFrame:
     """outliers out, each measure judged on what the previous one left."""
     for m in measures or ["aqi_value"]:
         if m in df.columns:
-            df = df.filter(inside_bounds(iqr_bounds(df, m, k, check), m))
+            df = df.filter(inside_bounds(iqr_bounds(df, m, k), m))
     return df
 
 
@@ -79,14 +79,11 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def clean_data(df: DataFrame, k: float = 3.0) -> DataFrame:
-    """dedupe, valid coordinates, index, level, then outliers of the index; one lazy chain.
-
-    The index has few distinct values, so its quartiles need no look at sizes.
-    """
+    """dedupe, valid coordinates, index, level, then outliers of the index; one lazy chain."""
     out = dedupe_first(df)
     for rule in validity(df).values():
         out = out.filter(rule)
-    return iqr_filter(out, ["aqi_value"], k, check=False)
+    return iqr_filter(out, ["aqi_value"], k)
 
 
 def cleaning_counters(df: DataFrame, k: float = 3.0) -> DataFrame:
@@ -103,7 +100,7 @@ def cleaning_counters(df: DataFrame, k: float = 3.0) -> DataFrame:
         left.append(F.count_if(passed).alias(f"n{i}"))
     last = len(rules) + 1
     if "aqi_value" in df.columns:
-        ok = passed & inside_bounds(iqr_bounds(valid, "aqi_value", k, check=False), "aqi_value")
+        ok = passed & inside_bounds(iqr_bounds(valid, "aqi_value", k), "aqi_value")
     else:
         ok = passed
     left.append(F.count_if(ok).alias(f"n{last}"))

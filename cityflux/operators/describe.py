@@ -16,6 +16,7 @@ from cityflux.operators.cleaning import iqr_bounds
 from cityflux.operators.imputation import MEASURES
 from cityflux.operators.rollups import flag_extreme
 from cityflux.plans.ranks import percentiles, value_counts
+from cityflux.plans.series import with_position
 from cityflux.schemas import AQI_BINS, DAY_NAMES, DEFAULT_CENTER, MONTH_NAMES
 
 
@@ -42,32 +43,22 @@ def dataset_info(df: DataFrame) -> DataFrame:
     return a.withColumn("duration_days", days)
 
 
-def summary_statistics(df: DataFrame, measures: list[str] = MEASURES, check: bool = False) -> DataFrame:
-    """Moments, exact quartiles and mode per measure, all from value counts.
-
-    The facts are read once per measure and reduced to counts; every statistic comes from those.
-    """
+def summary_statistics(df: DataFrame, measures: list[str] = MEASURES) -> DataFrame:
+    """Moments, exact quartiles and mode (smallest on ties) per measure."""
     frames = []
     for m in measures:
-        counts = value_counts(df, [], m)
-        n, s = F.sum("n"), F.sum(F.col("v") * F.col("n"))
-        points = {"median": 0.5, "q25": 0.25, "q75": 0.75}
-        mode = F.min(F.struct((-F.col("n")).alias("n"), F.col("v").alias("v")))["v"]
-        if check:
-            q = percentiles(df, m, points).select(F.struct("*")).scalar()
-            quantiles = [q[name].alias(name) for name in points]
-        else:
-            quantiles = [F.percentile("v", F.lit(p), F.col("n")).alias(name) for name, p in points.items()]
-        moments = df.agg(F.avg(m).alias("mean"), F.stddev_samp(m).alias("std")).select(F.struct("*")).scalar()
-        base = counts.agg(
-            F.min("v").alias("min"), F.max("v").alias("max"), mode.alias("mode"), *([] if check else quantiles)
+        moments = df.agg(
+            F.avg(m).alias("mean"), F.stddev_samp(m).alias("std"),
+            F.min(m).cast("double").alias("min"), F.max(m).cast("double").alias("max"),
         )
-        if check:
-            base = base.select("*", *quantiles)
+        q = percentiles(df, m, {"median": 0.5, "q25": 0.25, "q75": 0.75}).select(F.struct("*")).scalar()
+        # Values are counted first, so the most frequent one is looked for among few rows.
+        best = F.min(F.struct((-F.col("n")).alias("n"), F.col("v").alias("v")))["v"]
+        mode = value_counts(df, [], m).agg(best).scalar()
         frames.append(
-            base.select(
-                F.lit(m).alias("measure"), moments["mean"].alias("mean"), "median", moments["std"].alias("std"),
-                "min", "max", "q25", "q75", (F.col("q75") - F.col("q25")).alias("iqr"), "mode",
+            moments.select(
+                F.lit(m).alias("measure"), "mean", q["median"].alias("median"), "std", "min", "max",
+                q["q25"].alias("q25"), q["q75"].alias("q75"), (q["q75"] - q["q25"]).alias("iqr"), mode.alias("mode"),
             )
         )
     return _union(frames)
@@ -181,12 +172,12 @@ def weekend_effect(df: DataFrame, measures: list[str] = MEASURES) -> DataFrame:
 
 def rush_hours(df: DataFrame) -> DataFrame:
     """Hours whose mean level reaches the upper quartile of all levels."""
-    threshold = percentiles(df, "traffic_level", {"q75": 0.75}, check=False).scalar()
+    threshold = percentiles(df, "traffic_level", {"q75": 0.75}).scalar()
     hours = df.groupBy(F.hour("timestamp").alias("hour")).agg(F.avg("traffic_level").alias("mean_traffic"))
     return hours.withColumn("threshold", threshold).filter(F.col("mean_traffic") >= F.col("threshold"))
 
 
-def location_stats(df: DataFrame, check: bool = False) -> DataFrame:
+def location_stats(df: DataFrame) -> DataFrame:
     """Rows, mean coordinates, and statistics of both measures per location.
 
     Moments are one aggregation; medians come from value counts per location.
@@ -202,29 +193,35 @@ def location_stats(df: DataFrame, check: bool = False) -> DataFrame:
         ]
     out = df.groupBy("location").agg(*aggs)
     for m, tag in tags.items():
-        mid = percentiles(df, m, {f"{tag}_median": 0.5}, ["location"], check=check)
+        mid = percentiles(df, m, {f"{tag}_median": 0.5}, ["location"])
         out = out.join(mid, "location", "left")
     return out
 
 
-def location_ranking(df: DataFrame, measures: list[str] = MEASURES) -> DataFrame:
-    """Locations by mean, highest first, name on ties. Ranks run over one row per location."""
+def _location_means(df: DataFrame, measures: list[str]) -> DataFrame:
     means = df.groupBy("location").agg(*[F.avg(m).alias(m) for m in measures])
-    tidy = long_measures(means, measures, ["location"]).withColumnRenamed("value", "mean")
-    spec = W.partitionBy("measure").orderBy(F.col("mean").desc(), "location")
-    return tidy.withColumn("rank", F.row_number().over(spec))
+    return long_measures(means, measures, ["location"]).withColumnRenamed("value", "mean")
+
+
+def location_ranking(df: DataFrame, measures: list[str] = MEASURES, **plan) -> DataFrame:
+    """Locations by mean, highest first, name on ties."""
+    means = _location_means(df, measures).withColumn("_down", -F.col("mean"))
+    ranked = with_position(means, ["measure"], ["_down", "location"], "rank", **plan)
+    return ranked.withColumn("rank", F.col("rank") + 1).drop("_down")
 
 
 def hotspots(df: DataFrame, n: int = 3, measures: list[str] = MEASURES) -> DataFrame:
-    """T4: the n highest and the n lowest locations per measure, from the same ranking."""
-    ranking = location_ranking(df, measures)
-    total = W.partitionBy("measure")
-    placed = ranking.withColumn("_low", F.count(F.lit(1)).over(total) - F.col("rank") + 1)
-    high = placed.filter(F.col("rank") <= n).select("measure", F.lit("highest").alias("side"), "rank", "location", "mean")
-    low = placed.filter(F.col("_low") <= n).select(
-        "measure", F.lit("lowest").alias("side"), F.col("_low").cast("int").alias("rank"), "location", "mean"
-    )
-    return high.unionByName(low)
+    """T4: the n highest and the n lowest locations per measure; each task passes on n rows at most."""
+    means = _location_means(df, measures)
+    sides = {
+        "highest": [F.col("mean").desc(), F.col("location").asc()],
+        "lowest": [F.col("mean").asc(), F.col("location").desc()],
+    }
+    frames = []
+    for side, order in sides.items():
+        ranked = means.withColumn("rank", F.row_number().over(W.partitionBy("measure").orderBy(*order)))
+        frames.append(ranked.filter(F.col("rank") <= n).select("measure", F.lit(side).alias("side"), "rank", "location", "mean"))
+    return _union(frames)
 
 
 # Up to this many column pairs are plain aggregates of one pass; wider frames use matrix sums.
@@ -318,11 +315,11 @@ def _anomalies(df: DataFrame, measure: str, stats: DataFrame, names: list[str],
     )
 
 
-def anomalies_iqr(df: DataFrame, measures: list[str] = MEASURES, k: float = 1.5, preview: int = 10, check: bool = False) -> DataFrame:
+def anomalies_iqr(df: DataFrame, measures: list[str] = MEASURES, k: float = 1.5, preview: int = 10) -> DataFrame:
     """Values strictly outside the widened quartiles; W15: ids of the first few."""
     frames = []
     for m in [m for m in measures if m in df.columns]:
-        bounds = iqr_bounds(df, m, k, check)
+        bounds = iqr_bounds(df, m, k)
         outside = lambda v, s: (v < s["lower"]) | (v > s["upper"])
         frames.append(_anomalies(df, m, bounds, ["lower", "upper"], outside, preview))
     return _union(frames)

@@ -56,11 +56,11 @@ def impute_mean(df: DataFrame, measures: list[str] = MEASURES) -> DataFrame:
     return _fill_from(df, side.filter("location is not null"), measures)
 
 
-def impute_median(df: DataFrame, measures: list[str] = MEASURES, check: bool = True) -> DataFrame:
+def impute_median(df: DataFrame, measures: list[str] = MEASURES) -> DataFrame:
     """The location's exact median, from value counts."""
     side = None
     for m in measures:
-        one = percentiles(df, m, {f"_{m}": 0.5}, _KEYS, check=check)
+        one = percentiles(df, m, {f"_{m}": 0.5}, _KEYS)
         side = one if side is None else side.join(one, "location", "full")
     return _fill_from(df, side.filter("location is not null"), measures)
 

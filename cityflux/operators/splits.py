@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cityflux.plans.ranks import rank_cut, time_micros
+from cityflux.plans.scratch import measured_side
 from cityflux.plans.series import over_rows, with_position
 
 
@@ -56,7 +57,7 @@ def contiguous_folds(df: DataFrame, folds: int, order: list[str], by: str | None
     rows = with_position(df, keys, order, "_pos", **plan)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if by:
-        rows = rows.join(sizes, by)
+        rows = rows.join(measured_side(sizes, "class-sizes"), by)
     else:
         rows = rows.withColumn("_n", sizes.scalar())
     base, extra = F.expr(f"_n div {folds}"), F.col("_n") % folds

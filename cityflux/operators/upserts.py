@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cityflux.functions.times import AsOf, moment
-from cityflux.plans.scratch import materialize
+from cityflux.plans.scratch import materialize, rebalanced
 
 ROLLUP_KEYS = ["date", "hour", "location"]
 
@@ -48,7 +48,7 @@ def upsert_table(path: str, source: DataFrame, keys: list[str] = ROLLUP_KEYS, pa
 
 def write_partitions(df: DataFrame, path: str, partition: str = "date") -> None:
     """Replace exactly the partitions present in ``df``."""
-    out = df.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out = rebalanced(df, partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     out.partitionBy(partition).parquet(path)
 
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cityflux.plans.series import KEY_ROW_LIMIT, has_hot_key, running_sum
 
@@ -16,27 +17,40 @@ def value_counts(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
     return known.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _small_domain(df: DataFrame, measure: str) -> bool:
+    """Index readings and levels are plain integers of a few hundred values at most."""
+    return isinstance(df.schema[measure].dataType, (T.ByteType, T.ShortType, T.IntegerType))
+
+
 def percentiles(
     df: DataFrame,
     measure: str,
     points: dict[str, float],
     keys: list[str] | None = None,
     limit: int = KEY_ROW_LIMIT,
-    check: bool = True,
     partitions: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated percentiles, one row per key (or one row), a column per point.
 
-    Values are first counted. While a key has few distinct values (always so for index readings and
-    levels) the built-in percentile over (value, count) ends it; with more, running counts over
-    range-cut distinct values find the two neighbours of each rank. ``check=False`` skips the look
-    at the sizes, for measures whose domain is known to be small.
+    Whole-number measures are counted by value first and ended by the built-in percentile over
+    (value, count). Free doubles take the built-in one while no key has more than ``limit`` rows;
+    beyond it a few ranks are found by narrowing, and many ranks, or ranks per key, by running
+    counts over range-cut values.
     """
     keys = keys or []
+    if _small_domain(df, measure):
+        counts = value_counts(df, keys, measure)
+        return counts.groupBy(*keys).agg(*[F.percentile("v", F.lit(p), F.col("n")).alias(c) for c, p in points.items()])
+    if not has_hot_key(df, keys, limit):
+        v = F.col(measure).cast("double")
+        return df.groupBy(*keys).agg(*[F.percentile(v, F.lit(p)).alias(c) for c, p in points.items()])
+    if not keys and len(points) <= _MOST_NARROWED:
+        return _narrowed_percentiles(df, measure, points)
+    return _sorted_percentiles(df, measure, points, keys, limit, partitions)
+
+
+def _sorted_percentiles(df: DataFrame, measure: str, points: dict[str, float], keys: list[str], limit: int, partitions: int | None) -> DataFrame:
     counts = value_counts(df, keys, measure)
-    if not check or not has_hot_key(counts, keys, limit):
-        aggs = [F.percentile("v", F.lit(p), F.col("n")).alias(name) for name, p in points.items()]
-        return counts.groupBy(*keys).agg(*aggs)
     ranked = running_sum(counts, keys, ["v"], "n", "_upto", limit, partitions)
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_rows"))
     if keys:
@@ -54,8 +68,72 @@ def percentiles(
     return ranked.groupBy(*keys).agg(*aggs)
 
 
-def median(df: DataFrame, measure: str, keys: list[str] | None = None, name: str = "median", **kw) -> DataFrame:
-    return percentiles(df, measure, {name: 0.5}, keys, **kw)
+# More points than this are not worth a bracket each.
+_MOST_NARROWED = 6
+_GRID = 400
+
+
+def _narrowed_percentiles(df: DataFrame, measure: str, points: dict[str, float]) -> DataFrame:
+    known = df.select(F.col(measure).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    n = known.count()
+    spots = {name: (n - 1) * p for name, p in points.items()}
+    ranks = sorted({min(r, n - 1) for at in spots.values() for r in (int(at), int(at) + 1)}) if n else []
+    value = values_at_ranks(known, "v", ranks)
+    row = []
+    for at in spots.values():
+        lower, upper = value.get(int(at)), value.get(min(int(at) + 1, n - 1))
+        row.append(None if lower is None else lower + (upper - lower) * (at - int(at)))
+    return df.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{name} double" for name in points))
+
+
+def values_at_ranks(df: DataFrame, col: str, ranks: list[int], leaf: int = 10_000, grid: int = _GRID) -> dict[int, float]:
+    """The exact values at some 0-based ranks of a numeric column, NULLs left out.
+
+    Every rank keeps an open bracket of values. One pass counts what lies under, at and inside all
+    brackets and takes approximate quantiles of the inside; the exact counts then pick the next,
+    some hundred times smaller bracket whatever the distribution. No row is moved; a bracket of at
+    most ``leaf`` rows is ordered outright, and a value many rows share ends the search when hit.
+    """
+    rows = df.filter(F.col(col).isNotNull())
+    low, high = rows.agg(F.min(col), F.max(col)).collect()[0]
+    open_ = {r: (low, high, low, high) for r in ranks} if low is not None else {}
+    found: dict[int, float] = {}
+    v, shares = F.col(col), [i / grid for i in range(grid + 1)]
+    while open_:
+        brackets = sorted({b[:2] for b in open_.values()})
+        aggs = []
+        for i, (lo, hi) in enumerate(brackets):
+            inside = (v > lo) & (v < hi)
+            aggs += [
+                F.count_if(v < lo).alias(f"under{i}"), F.count_if(v == lo).alias(f"low{i}"),
+                F.count_if(inside).alias(f"in{i}"), F.count_if(v == hi).alias(f"high{i}"),
+                F.percentile_approx(F.when(inside, v), shares, 20 * grid).alias(f"grid{i}"),
+            ]
+        seen = rows.agg(*aggs).collect()[0]
+        for r, (lo, hi, wide_lo, wide_hi) in list(open_.items()):
+            i = brackets.index((lo, hi))
+            under, at_low, inside, at_high = (seen[f"{k}{i}"] for k in ("under", "low", "in", "high"))
+            k = r - under - at_low
+            if r < under:
+                open_[r] = (wide_lo, lo, wide_lo, lo)
+            elif k < 0:
+                found[r] = lo
+            elif k < inside:
+                if inside <= leaf:
+                    found[r] = rows.filter((v > lo) & (v < hi)).orderBy(col).offset(k).limit(1).collect()[0][col]
+                else:
+                    step = int(k / inside * grid)
+                    marks = seen[f"grid{i}"]
+                    next_lo = marks[step - 1] if step > 1 else lo
+                    next_hi = marks[step + 2] if step + 2 < grid else hi
+                    open_[r] = (next_lo, next_hi, lo, hi)
+            elif k < inside + at_high or lo == hi:
+                found[r] = hi
+            else:
+                open_[r] = (hi, wide_hi, hi, wide_hi)
+            if r in found:
+                del open_[r]
+    return found
 
 
 @dataclass(frozen=True)

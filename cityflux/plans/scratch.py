@@ -42,3 +42,8 @@ def measured_side(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> Data
     """
     side = materialize(df, name)
     return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
+
+
+def rebalanced(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows gathered by column values into files of even size: small groups share a task, a hot one is split."""
+    return df.sparkSession.sql(f"SELECT /*+ REBALANCE({', '.join(columns)}) */ * FROM {{df}}", df=df)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cityflux.functions.categories import aqi_category_ingest
 from cityflux.functions.times import AsOf, is_peak_hour, moment, shift_hours
+from cityflux.plans.scratch import rebalanced
 
 
 def scan_range(df: DataFrame, start: AsOf | None = None, end: AsOf | None = None, ts: str = "timestamp") -> DataFrame:
@@ -70,11 +71,8 @@ def to_realtime_data(df: DataFrame) -> DataFrame:
 
 
 def append_by_date(df: DataFrame, path: str, ts: str = "timestamp") -> None:
-    """Append to a date-partitioned table; rows of one date land in few files."""
-    out = df.withColumn("date", F.to_date(ts))
-    # Date plus a hash of the row spreads a hot day over several writers.
-    out = out.withColumn("_spread", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-    out = out.repartition("date", "_spread").drop("_spread")
+    """Append to a date-partitioned table; a date lands in few files, a hot one in several."""
+    out = rebalanced(df.withColumn("date", F.to_date(ts)), "date")
     out.write.mode("append").partitionBy("date").parquet(path)
 
 

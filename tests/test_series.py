@@ -71,6 +71,10 @@ def test_percentiles(hot):
     points = {"q25": 0.25, "median": 0.5, "q75": 0.75, "p99": 0.99, "lo": 0.0, "hi": 1.0}
     measured = hot.withColumn("v", F.col("aqi_value") + F.col("id") / F.lit(1000.0))
     pdf = measured.select("location", "v").toPandas()
+    few = {k: points[k] for k in ("q25", "median", "p99")}
+    row = ranks.percentiles(measured, "v", few, limit=5).collect()[0]
+    for name, p in few.items():
+        assert row[name] == pytest.approx(pdf["v"].quantile(p))
     for kw in ({}, {"limit": 5, "partitions": 7}):
         row = ranks.percentiles(measured, "v", points, **kw).collect()[0]
         for name, p in points.items():
@@ -82,6 +86,20 @@ def test_percentiles(hot):
                     assert r[name] == pytest.approx(mine["v"].quantile(p))
 
 
+def test_values_at_ranks(spark):
+    """Narrowing on a skewed column where one value holds a third of the rows."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.exp(F.col("id") % 97 / 9.0) - F.lit(3.0)).alias("v")
+    )
+    ordered = sorted(r["v"] for r in df.collect())
+    wanted = [0, 1, 700, 1000, 1500, 1999, 2500, 2999]
+    for leaf, grid in ((1, 4), (20, 10), (10_000, 400)):
+        got = ranks.values_at_ranks(df, "v", wanted, leaf=leaf, grid=grid)
+        assert got == {r: ordered[r] for r in wanted}
+    same = spark.range(50).select(F.lit(2.5).alias("v"))
+    assert ranks.values_at_ranks(same, "v", [0, 49], leaf=1) == {0: 2.5, 49: 2.5}
+
+
 def test_rank_cut(hot):
     ordered = [(r["timestamp"], r["id"]) for r in hot.orderBy("timestamp", "id").collect()]
     for rank in (0, 1, 350, 560, 699):
