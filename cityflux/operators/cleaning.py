@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from cityflux.functions.numbers import to_number
 from cityflux.plans.ranks import percentiles
+from cityflux.plans.scratch import materialize
 
 
 def dedupe_first(df: DataFrame, keys: tuple[str, ...] = ("timestamp", "location"), tie: str = "id") -> DataFrame:
@@ -79,17 +80,23 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def clean_data(df: DataFrame, k: float = 3.0) -> DataFrame:
-    """dedupe, valid coordinates, index, level, then outliers of the index; one lazy chain."""
+    """dedupe, valid coordinates, index, level, then outliers of the index.
+
+    The rows before the last step are written once: the quartiles then read one column of them, and
+    the rows are shuffled once, not twice.
+    """
     out = dedupe_first(df)
     for rule in validity(df).values():
         out = out.filter(rule)
-    return iqr_filter(out, ["aqi_value"], k)
+    if "aqi_value" not in df.columns:
+        return out
+    return iqr_filter(materialize(out, "valid"), ["aqi_value"], k)
 
 
 def cleaning_counters(df: DataFrame, k: float = 3.0) -> DataFrame:
-    """Rows removed by each cleaning step: (step, removed), from two aggregations in one plan."""
+    """Rows removed by each cleaning step: (step, removed), from two aggregations of the unique rows."""
     rules = validity(df)
-    unique = dedupe_first(df)
+    unique = materialize(dedupe_first(df), "unique")
     valid = unique
     for rule in rules.values():
         valid = valid.filter(rule)

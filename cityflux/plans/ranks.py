@@ -27,7 +27,7 @@ def percentiles(
     measure: str,
     points: dict[str, float],
     keys: list[str] | None = None,
-    limit: int = KEY_ROW_LIMIT,
+    limit: int | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated percentiles, one row per key (or one row), a column per point.
@@ -41,10 +41,13 @@ def percentiles(
     if _small_domain(df, measure):
         counts = value_counts(df, keys, measure)
         return counts.groupBy(*keys).agg(*[F.percentile("v", F.lit(p), F.col("n")).alias(c) for c, p in points.items()])
+    narrow = not keys and len(points) <= _MOST_NARROWED
+    if limit is None:
+        limit = _NARROW_FROM if narrow else KEY_ROW_LIMIT
     if not has_hot_key(df, keys, limit):
         v = F.col(measure).cast("double")
         return df.groupBy(*keys).agg(*[F.percentile(v, F.lit(p)).alias(c) for c, p in points.items()])
-    if not keys and len(points) <= _MOST_NARROWED:
+    if narrow:
         return _narrowed_percentiles(df, measure, points)
     return _sorted_percentiles(df, measure, points, keys, limit, partitions)
 
@@ -70,7 +73,9 @@ def _sorted_percentiles(df: DataFrame, measure: str, points: dict[str, float], k
 
 # More points than this are not worth a bracket each.
 _MOST_NARROWED = 6
-_GRID = 400
+# Fewer rows than this are quicker through the built-in aggregate.
+_NARROW_FROM = 100_000
+_GRID = 200
 
 
 def _narrowed_percentiles(df: DataFrame, measure: str, points: dict[str, float]) -> DataFrame:
@@ -92,12 +97,13 @@ def values_at_ranks(df: DataFrame, col: str, ranks: list[int], leaf: int = 10_00
     Every rank keeps an open bracket of values. One pass counts what lies under, at and inside all
     brackets and takes approximate quantiles of the inside; the exact counts then pick the next,
     some hundred times smaller bracket whatever the distribution. No row is moved; a bracket of at
-    most ``leaf`` rows is ordered outright, and a value many rows share ends the search when hit.
+    most ``leaf`` rows is read outright, and a value many rows share ends the search when hit.
     """
     rows = df.filter(F.col(col).isNotNull())
     low, high = rows.agg(F.min(col), F.max(col)).collect()[0]
     open_ = {r: (low, high, low, high) for r in ranks} if low is not None else {}
     found: dict[int, float] = {}
+    leaves: dict[tuple, list[float]] = {}
     v, shares = F.col(col), [i / grid for i in range(grid + 1)]
     while open_:
         brackets = sorted({b[:2] for b in open_.values()})
@@ -107,7 +113,7 @@ def values_at_ranks(df: DataFrame, col: str, ranks: list[int], leaf: int = 10_00
             aggs += [
                 F.count_if(v < lo).alias(f"under{i}"), F.count_if(v == lo).alias(f"low{i}"),
                 F.count_if(inside).alias(f"in{i}"), F.count_if(v == hi).alias(f"high{i}"),
-                F.percentile_approx(F.when(inside, v), shares, 20 * grid).alias(f"grid{i}"),
+                F.percentile_approx(F.when(inside, v), shares, 10 * grid).alias(f"grid{i}"),
             ]
         seen = rows.agg(*aggs).collect()[0]
         for r, (lo, hi, wide_lo, wide_hi) in list(open_.items()):
@@ -120,7 +126,9 @@ def values_at_ranks(df: DataFrame, col: str, ranks: list[int], leaf: int = 10_00
                 found[r] = lo
             elif k < inside:
                 if inside <= leaf:
-                    found[r] = rows.filter((v > lo) & (v < hi)).orderBy(col).offset(k).limit(1).collect()[0][col]
+                    if (lo, hi) not in leaves:
+                        leaves[lo, hi] = sorted(x[0] for x in rows.filter((v > lo) & (v < hi)).select(col).collect())
+                    found[r] = leaves[lo, hi][k]
                 else:
                     step = int(k / inside * grid)
                     marks = seen[f"grid{i}"]

@@ -35,6 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, per_core: int = 1_000_000) -> DataFrame:
+    """Rows dealt over all cores when they are few; many rows already come in many partitions.
+
+    For work that reads a small table again and again, such as fitting trees.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if rows < cores * per_core else df
+
+
 def measured_side(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A small join side, written once and marked for broadcast only if it has few enough rows.
 

@@ -140,12 +140,13 @@ def nearest_known(
         return F.when(F.col(m).isNotNull(), F.struct(F.col(m).alias("v"), F.col(order[0]).alias("t")))
 
     def columns(group: list[str]) -> dict[str, Column]:
-        spec = W.partitionBy(*group).orderBy(*order)
-        out = {}
-        for m in measures:
-            out[f"{m}_prev"] = F.last(known(m), ignorenulls=True).over(spec.rowsBetween(W.unboundedPreceding, 0))
-            if ahead:
-                out[f"{m}_next"] = F.first(known(m), ignorenulls=True).over(spec.rowsBetween(0, W.unboundedFollowing))
+        # Looking ahead is looking back in the reverse order: a growing frame costs one step a row,
+        # a shrinking one starts over at every row.
+        back = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        forth = W.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(W.unboundedPreceding, 0)
+        out = {f"{m}_prev": F.last(known(m), ignorenulls=True).over(back) for m in measures}
+        if ahead:
+            out |= {f"{m}_next": F.last(known(m), ignorenulls=True).over(forth) for m in measures}
         return out
 
     if not has_hot_key(df, keys, limit):
@@ -160,13 +161,12 @@ def nearest_known(
         ends.append(F.max_by(known(m), when).alias(f"_last_{m}"))
         ends.append(F.min_by(known(m), when).alias(f"_first_{m}"))
     edges = parts.groupBy(*group).agg(*ends)
-    along = W.partitionBy(*keys).orderBy(_CHUNK)
+    past = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    coming = W.partitionBy(*keys).orderBy(F.col(_CHUNK).desc()).rowsBetween(W.unboundedPreceding, -1)
     carried = []
     for m in measures:
-        past = along.rowsBetween(W.unboundedPreceding, -1)
         carried.append(F.last(f"_last_{m}", ignorenulls=True).over(past).alias(f"_from_{m}"))
-        coming = along.rowsBetween(1, W.unboundedFollowing)
-        carried.append(F.first(f"_first_{m}", ignorenulls=True).over(coming).alias(f"_to_{m}"))
+        carried.append(F.last(f"_first_{m}", ignorenulls=True).over(coming).alias(f"_to_{m}"))
     rows = _join_null_safe(parts.withColumns(columns(group)), edges.select(*group, *carried), group)
     for m in measures:
         rows = rows.withColumn(f"{m}_prev", F.coalesce(f"{m}_prev", f"_from_{m}"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cityflux.operators import evaluation as ev, forecasting, models
 from cityflux.operators.features import engineer_features, prepare_features
 from cityflux.operators.splits import time_split
-from cityflux.plans.scratch import fresh_path, materialize
+from cityflux.plans.scratch import fresh_path, materialize, spread
 from cityflux.registry.base import query, readings
 
 _SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
@@ -16,8 +16,10 @@ _SMALL_BOOST = {"maxIter": 5, "maxDepth": 4}
 
 def _prepared(spark, sf, target):
     """Features of all readings, split by time, written once since fitting reads them many times."""
-    rows = prepare_features(engineer_features(readings(spark, sf), feature_set="no_leak"), target, ["id", "timestamp"])
-    return materialize(time_split(rows), "prepared")
+    r = readings(spark, sf)
+    rows = prepare_features(engineer_features(r, feature_set="no_leak"), target, ["id", "timestamp"])
+    prepared = materialize(spread(rows, r.count()), "prepared")
+    return time_split(prepared)
 
 
 def _parts(rows):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cityflux.functions.times import AsOf
 from cityflux.operators import describe, evaluation as ev, features, findings, models, splits
-from cityflux.plans.scratch import materialize
+from cityflux.plans.scratch import materialize, spread
 from cityflux.runs import reports
 from cityflux.sources import exports
 from cityflux.sources.tables import scan_range
@@ -65,7 +65,8 @@ def run_analysis(
     rows = scan_range(raw, end - timedelta(days=days_back), end)
     cleaned = features.handle_missing(features.clean_data(rows))
     # The one shared node: every later step reads these rows again.
-    prepared = materialize(features.engineer_features(cleaned, feature_set=feature_set), "prepared")
+    built = features.engineer_features(cleaned, feature_set=feature_set)
+    prepared = materialize(spread(built, rows.count()), "prepared")
     exports.write_csv(prepared, f"{out_dir}/processed_data")
     summary = features.preprocessing_summary(rows, prepared)
     exports.write_json(summary, f"{out_dir}/reports/preprocessing_summary")
