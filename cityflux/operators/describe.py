@@ -43,6 +43,11 @@ def dataset_info(df: DataFrame) -> DataFrame:
     return a.withColumn("duration_days", days)
 
 
+def distinct_locations(df: DataFrame) -> DataFrame:
+    """The locations seen, as rows."""
+    return df.select("location").distinct()
+
+
 def summary_statistics(df: DataFrame, measures: list[str] = MEASURES) -> DataFrame:
     """Moments, exact quartiles and mode (smallest on ties) per measure."""
     frames = []

@@ -43,9 +43,10 @@ def tail_split(df: DataFrame, share: float = 0.2, time: str = "timestamp", tie:
 
 
 def random_split(df: DataFrame, test: float = 0.2, seed: int = 42, tie: str = "id") -> DataFrame:
-    """Add ``split`` by a hash of the id: disjoint, complete, the same on every run."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(tie)), F.lit(1_000_000))
-    return df.withColumn("split", F.when(draw < F.lit(int(test * 1_000_000)), "test").otherwise("train"))
+    """Add ``split`` by a hash of the id: disjoint, complete, the same on every run and engine."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(tie).cast("string")))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return df.withColumn("split", F.when(draw < F.lit(int(test * (1 << 32))), "test").otherwise("train"))
 
 
 def contiguous_folds(df: DataFrame, folds: int, order: list[str], by: str | None = None, name: str = "fold", **plan) -> DataFrame:

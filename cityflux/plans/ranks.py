@@ -165,7 +165,6 @@ def rank_cut(df: DataFrame, time: str, tie: str, rank: int, leaf: int = 10_000,
     later passes scan only the bracket. Rows that share one time are narrowed by ``tie`` alike.
     """
     rows = df.select(time_micros(F.col(time)).alias("k"), F.col(tie).cast("long").alias("i"))
-    rows = rows.filter(F.col("k").isNotNull())
     micros, rank, rows = _narrow(rows, "k", rank, leaf, fan)
     if rank is None:
         return Cut(None, None)
@@ -196,5 +195,10 @@ def _narrow(rows: DataFrame, col: str, rank: int, leaf: int, fan: int):
     return None, rank, rows.filter(F.col(col).between(low, high))
 
 
+# Stands for a missing time: after every real one, and far from overflow when subtracted.
+_NO_TIME = 1 << 62
+
+
 def time_micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds since the epoch; a missing time sorts last."""
+    return F.coalesce(F.unix_micros(ts.cast("timestamp")), F.lit(_NO_TIME))

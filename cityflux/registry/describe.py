@@ -21,6 +21,11 @@ def dataset_info(spark, sf):
     return describe.dataset_info(readings(spark, sf))
 
 
+@query("distinct_locations", "SELECT DISTINCT location FROM dirty_readings")
+def distinct_locations(spark, sf):
+    return describe.distinct_locations(dirty_readings(spark, sf))
+
+
 @query("summary_statistics", _each("""
 SELECT '{m}' AS measure, round(avg({m}), 6) AS mean, round(median({m}), 6) AS median, round(stddev_samp({m}), 6) AS std,
   CAST(min({m}) AS DOUBLE) AS min, CAST(max({m}) AS DOUBLE) AS max, round(quantile_cont(CAST({m} AS DOUBLE), 0.25), 6) AS q25,

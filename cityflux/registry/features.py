@@ -130,7 +130,10 @@ def time_split(spark, sf):
     return splits.time_split(readings(spark, sf)).select("id", "split")
 
 
-@query("random_split")
+@query("random_split", """
+SELECT id, CASE WHEN CAST('0x' || substr(md5('42:' || id), 1, 8) AS BIGINT) < CAST(0.2::DOUBLE * 4294967296 AS BIGINT) THEN 'test' ELSE 'train' END AS split
+FROM readings
+""")
 def random_split(spark, sf):
     return splits.random_split(readings(spark, sf)).select("id", "split")
 

@@ -77,7 +77,7 @@ def raw_table_append(spark, sf):
 @query("processed_table", f"SELECT {_READING} FROM readings")
 def processed_table(spark, sf):
     path = fresh_path(spark, "processed")
-    tables.replace_table(readings(spark, sf).limit(0), path)
+    tables.replace_table(dirty_readings(spark, sf), path)
     tables.replace_table(readings(spark, sf), path)
     return spark.read.parquet(path)
 

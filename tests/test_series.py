@@ -118,6 +118,15 @@ def test_time_split_is_exact(hot):
     assert got == want
 
 
+def test_missing_times_come_last(spark):
+    rows = [(0, None), (1, "2024-01-02"), (2, None), (3, "2024-01-01"), (4, None)]
+    df = spark.createDataFrame(rows, "id long, ts string").select("id", F.col("ts").cast("timestamp_ntz").alias("timestamp"))
+    got = {r["id"]: r["split"] for r in splits.time_split(df, test=0.4, val=0.0).collect()}
+    assert got == {3: "train", 1: "train", 0: "train", 2: "test", 4: "test"}
+    head, tail = splits.tail_split(df, 0.4)
+    assert {r["id"] for r in head.collect()} == {0, 1, 3} and {r["id"] for r in tail.collect()} == {2, 4}
+
+
 def test_random_split(hot):
     parts = splits.random_split(hot, 0.3)
     shares = {r["split"]: r["count"] for r in parts.groupBy("split").count().collect()}

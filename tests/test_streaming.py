@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from cityflux.operators import rollups
@@ -103,5 +102,3 @@ def test_offsets_of_hour_rules(spark):
     df = readings(spark, 0, 3)
     here = rollups.hourly_state(df, offset_hours=7).select("hour").distinct().collect()
     assert [r["hour"] for r in here] == [7]
-    with pytest.raises(Exception):
-        messages.kafka_source(spark, "nowhere:1").isStreaming
