@@ -33,6 +33,9 @@ GRID_FOLDS = 3
 LEVELS = [1, 2, 3, 4, 5]
 # ----------------------------------------------------------------------------------------------
 
+# Room for split statistics per pass; the more fits, the fewer passes deep trees need.
+TREE_MEMORY = {"maxMemoryInMB": 1024}
+
 AQI_KINDS = ("random_forest", "gradient_boosting", "xgboost", "linear")
 TRAFFIC_KINDS = ("random_forest", "gradient_boosting", "xgboost")
 
@@ -51,9 +54,9 @@ def aqi_estimator(kind: str, target: str = "aqi_value", **settings) -> Estimator
     """M2-M4: regressor by kind. Boosted trees also stand in for the optional external booster."""
     common = {"featuresCol": "features", "labelCol": target}
     if kind == "random_forest":
-        return RandomForestRegressor(**common, **{**FOREST, **settings})
+        return RandomForestRegressor(**common, **{**FOREST, **TREE_MEMORY, **settings})
     if kind in ("gradient_boosting", "xgboost"):
-        return GBTRegressor(**common, **{**BOOSTED, **settings})
+        return GBTRegressor(**common, **{**BOOSTED, **TREE_MEMORY, **settings})
     if kind == "linear":
         return LinearRegression(**common, elasticNetParam=0.0, standardization=False, solver="normal", **settings)
     raise ValueError(f"Unknown model type: {kind}")
@@ -63,9 +66,9 @@ def traffic_estimator(kind: str, **settings) -> Estimator:
     """M5: classifier by kind over label = level - 1."""
     common = {"featuresCol": "features", "labelCol": "label"}
     if kind == "random_forest":
-        return RandomForestClassifier(**common, **{**CLASS_FOREST, **settings})
+        return RandomForestClassifier(**common, **{**CLASS_FOREST, **TREE_MEMORY, **settings})
     if kind in ("gradient_boosting", "xgboost"):
-        return OneVsRest(classifier=GBTClassifier(**common, **{**BOOSTED, **settings}), **common)
+        return OneVsRest(classifier=GBTClassifier(**common, **{**BOOSTED, **TREE_MEMORY, **settings}), **common)
     raise ValueError(f"Unknown model type: {kind}")
 
 

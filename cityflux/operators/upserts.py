@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -32,18 +33,29 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str] = ROLLUP_KEYS,
     return target.join(new, same, "left_anti").unionByName(new)
 
 
+# A source with at most this many partition values names them, so that only those are listed and read.
+_NAMED_PARTITIONS = 10_000
+
+
 def upsert_table(path: str, source: DataFrame, keys: list[str] = ROLLUP_KEYS, partition: str = "date") -> None:
-    """U4 on a stored table partitioned by ``partition``: only touched partitions are rewritten.
+    """U4 on a stored table partitioned by ``partition``: only touched partitions are read and rewritten.
 
     The merged partitions are written aside first, since a plan may not overwrite what it reads.
+    A table not there yet is made.
     """
     spark = source.sparkSession
     source = materialize(source, "upsert-source")
-    target = spark.read.parquet(path).select(*source.columns)
+    try:
+        target = spark.read.schema(source.schema).parquet(path).select(*source.columns)
+    except AnalysisException:
+        return write_partitions(source, path, partition)
     touched = source.select(partition).distinct()
-    old = target.join(touched, partition, "left_semi")
-    merged = materialize(upsert(old, source, keys), "upsert-merged")
-    write_partitions(merged, path, partition)
+    names = [r[0] for r in touched.limit(_NAMED_PARTITIONS + 1).collect()]
+    if len(names) <= _NAMED_PARTITIONS:
+        old = target.filter(F.col(partition).isin(names))
+    else:
+        old = target.join(touched, partition, "left_semi")
+    write_partitions(materialize(upsert(old, source, keys), "upsert-merged"), path, partition)
 
 
 def write_partitions(df: DataFrame, path: str, partition: str = "date") -> None:

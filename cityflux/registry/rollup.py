@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cityflux.operators import rollups, upserts
 from cityflux.plans.scratch import fresh_path
 from cityflux.registry.base import AS_OF, analysis_table, hourly, query, readings, realtime
+from cityflux.runs import batch
 
 _HOURLY = """date::VARCHAR AS date, hour, location, avg_aqi, avg_traffic, max_aqi, max_traffic, min_aqi, min_traffic,
        data_points_count, is_peak_hour"""
@@ -183,3 +184,53 @@ def incremental_hourly(spark, sf):
     odd = F.col("id") % 2 == 1
     parts = rollups.hourly_state(r.filter(odd)).unionByName(rollups.hourly_state(r.filter(~odd)))
     return rollups.hourly_analysis(rollups.merge_states(parts))
+
+
+@query("batch_jobs", f"""
+SELECT {_HOURLY} FROM hourly WHERE date = DATE '2024-01-16' AND hour = 4
+UNION ALL
+SELECT CAST(timestamp AS DATE)::VARCHAR, NULL, location, avg(aqi_value), avg(traffic_level), max(aqi_value), max(traffic_level),
+       min(aqi_value), min(traffic_level), count(*), FALSE
+FROM readings WHERE CAST(timestamp AS DATE) = DATE '2024-01-15' GROUP BY 1, 3
+""")
+def batch_jobs(spark, sf):
+    """The hourly and the daily job at one reference time, run twice over."""
+    table, r = fresh_path(spark, "rollup"), readings(spark, sf)
+    for _ in range(2):
+        batch.hourly_job(r, table, "2024-01-16 05:05:00")
+        batch.daily_job(r, table, "2024-01-16 05:05:00")
+    return batch.stored_rollup(spark, table)
+
+
+@query("backfill", f"""
+SELECT {_HOURLY} FROM hourly
+UNION ALL
+SELECT CAST(timestamp AS DATE)::VARCHAR, NULL, location, avg(aqi_value), avg(traffic_level), max(aqi_value), max(traffic_level),
+       min(aqi_value), min(traffic_level), count(*), FALSE
+FROM readings GROUP BY 1, 3
+""")
+def backfill(spark, sf):
+    """A1, A2, U4: the whole history into an empty table."""
+    table = fresh_path(spark, "rollup")
+    batch.backfill(readings(spark, sf), table)
+    return batch.stored_rollup(spark, table)
+
+
+@query("peak_job", """
+, d AS (SELECT * FROM hourly WHERE date IN (DATE '2024-01-15', DATE '2024-01-16')),
+per_hour AS (SELECT date, hour, avg(avg_aqi) AS aqi, avg(avg_traffic) AS traffic FROM d GROUP BY 1, 2),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(aqi, 9) DESC, hour) AS rn FROM per_hour) WHERE rn = 1),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(traffic, 9) DESC, hour) AS rn FROM per_hour) WHERE rn = 1)
+SELECT a.date::VARCHAR AS analysis_date, a.hour AS peak_aqi_hour, round(a.aqi, 6) AS peak_aqi_value,
+  (SELECT location FROM d WHERE d.date = a.date AND d.hour = a.hour ORDER BY avg_aqi DESC, location LIMIT 1) AS peak_aqi_location,
+  t.hour AS peak_traffic_hour, round(t.traffic, 6) AS peak_traffic_value,
+  (SELECT location FROM d WHERE d.date = t.date AND d.hour = t.hour ORDER BY avg_traffic DESC, location LIMIT 1) AS peak_traffic_location
+FROM a JOIN t ON a.date = t.date
+""", places=6)
+def peak_job(spark, sf):
+    """Peak hours of two days from the stored table, the second day twice."""
+    table, peaks = fresh_path(spark, "rollup"), fresh_path(spark, "peaks")
+    batch.backfill(readings(spark, sf), table)
+    for as_of in ("2024-01-16 03:00:00", "2024-01-17 03:00:00", "2024-01-17 03:00:00"):
+        batch.peak_job(spark, table, peaks, as_of)
+    return batch.stored_peaks(spark, peaks)

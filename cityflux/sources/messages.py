@@ -66,6 +66,12 @@ def kafka_sink(messages: DataFrame, servers: str, topic: str = TOPIC):
     out.option("kafka.acks", "all").option("kafka.compression.type", "gzip").save()
 
 
+def kafka_stream_sink(messages: DataFrame, servers: str, checkpoint: str, topic: str = TOPIC):
+    """S5 on a broker, from a stream."""
+    out = messages.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+    return out.option("kafka.acks", "all").option("checkpointLocation", checkpoint).start()
+
+
 def file_source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """S3 and S4 over a folder of text files, one message a line: file as topic partition."""
     reader = spark.readStream.format("text")
