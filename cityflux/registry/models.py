@@ -179,3 +179,45 @@ def insight_report(spark, sf):
     write_text(spark, text, path)
     lines = spark.read.text(path).withColumnRenamed("value", "line")
     return lines.filter(F.col("line").startswith("Records") | F.col("line").startswith("Locations"))
+
+
+def _folds_sql(k: int) -> str:
+    """CTE ``f``: readings as (y, x, rn, n, fold) in k contiguous folds along time."""
+    return f"""
+, r AS (SELECT CAST(aqi_value AS DOUBLE) AS y, CAST(traffic_level AS DOUBLE) AS x,
+               row_number() OVER (ORDER BY timestamp, id) - 1 AS rn, count(*) OVER () AS n FROM readings),
+f AS (SELECT *, CASE WHEN rn < (n // {k} + 1) * (n % {k}) THEN rn // (n // {k} + 1)
+                     ELSE n % {k} + (rn - (n // {k} + 1) * (n % {k})) // (n // {k}) END AS fold FROM r)
+"""
+
+
+def _one_feature(spark, sf):
+    return readings(spark, sf).select("id", "timestamp", "traffic_level", F.col("aqi_value").cast("double").alias("aqi_value"))
+
+
+@query("cross_validate_one_feature", _folds_sql(5) + """
+, s AS (SELECT k, covar_pop(y, x) / (var_pop(x) + 1.0::DOUBLE / count(*)) AS b, avg(y) AS my, avg(x) AS mx
+        FROM f, (SELECT unnest(range(0, 5)) AS k) WHERE fold <> k GROUP BY k)
+SELECT k AS fold, round(avg((y - my - b * (x - mx)) ** 2), 4) AS score FROM f JOIN s ON f.fold = s.k GROUP BY k
+""", places=4)
+def cross_validate_one_feature(spark, sf):
+    """E6 with a single feature, where SQL has the closed form."""
+    return models.cross_validate(_one_feature(spark, sf), "aqi_value", "linear", folds=5)
+
+
+@query("learning_curve_one_feature", _folds_sql(3) + """
+, sizes AS (SELECT fold AS k, count(*) AS nk FROM f GROUP BY 1),
+t AS (SELECT k, share, y, x, fold, CAST(floor((n - nk) * share) AS BIGINT) AS size, CASE WHEN fold < k THEN rn ELSE rn - nk END AS pos
+      FROM f, sizes, (SELECT unnest([0.2::DOUBLE, 0.6::DOUBLE, 1.0::DOUBLE]) AS share)),
+s AS (SELECT k, share, min(size) AS size, covar_pop(y, x) / (var_pop(x) + 1.0::DOUBLE / count(*)) AS b, avg(y) AS my, avg(x) AS mx
+      FROM t WHERE fold <> k AND pos < size GROUP BY 1, 2),
+e AS (SELECT t.k, t.share, min(s.size) AS size,
+        avg(CASE WHEN fold <> t.k AND pos < t.size THEN (y - my - b * (x - mx)) ** 2 END) AS train,
+        avg(CASE WHEN fold = t.k THEN (y - my - b * (x - mx)) ** 2 END) AS val
+      FROM t JOIN s ON t.k = s.k AND t.share = s.share GROUP BY 1, 2)
+SELECT share, min(size) AS train_size, round(avg(train), 4) AS train_mean, round(stddev_pop(train), 4) AS train_std,
+       round(avg(val), 4) AS val_mean, round(stddev_pop(val), 4) AS val_std FROM e GROUP BY share
+""", places=4)
+def learning_curve_one_feature(spark, sf):
+    """E7 with a single feature, where SQL has the closed form."""
+    return models.learning_curve(_one_feature(spark, sf), folds=3, shares=(0.2, 0.6, 1.0))
