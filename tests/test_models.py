@@ -147,3 +147,13 @@ def test_quantile_pairs(spark):
     pairs = ev.residual_quantiles(df, points=3).orderBy("share").collect()
     assert [r["observed"] for r in pairs] == [250.0, 500.0, 750.0]
     assert pairs[1]["theoretical"] == pytest.approx(0.0) and pairs[0]["theoretical"] == pytest.approx(-0.6744897)
+
+
+def test_boosted_trees(rows):
+    fitted = models.train(rows, "aqi_value", "gradient_boosting", maxIter=5, maxDepth=4)
+    assert fitted.metrics["train_r2"] > 0.5
+    several = models.train(rows, "traffic_level", "xgboost", maxIter=2, maxDepth=2)
+    out = several.predict(rows)
+    assert "probability" not in out.columns
+    assert {r["prediction"] for r in out.collect()} <= {1, 2, 3, 4, 5}
+    assert {r["metric"] for r in models.evaluate(several, rows).collect()} == {"accuracy", "precision", "recall", "f1"}
