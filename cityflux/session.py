@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Set on any session, also one that a cluster made: all of them may change at run time.
@@ -19,9 +23,23 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the application, once: they import it by name."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="cityflux-package-")
+        context.addPyFile(shutil.make_archive(f"{folder}/cityflux", "zip", package.parent, package.name))
+        _SHIPPED.add(context.applicationId)
+
+
 def local_session(cores: int | str = 8, memory: str = "8g", app: str = "cityflux") -> SparkSession:
     """A single-JVM session for tests and the benchmark."""
     builder = (
