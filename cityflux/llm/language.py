@@ -206,13 +206,17 @@ def fit(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_chars: int = SAMPLE_
 
 
 def _calibrate(found: Identifier, held: pd.DataFrame) -> None:
-    """Usual entropy and largest excess per language; slope and offset of the logistic curve from margin to score."""
+    """Usual entropy per language and largest excess of any; slope and offset of the logistic curve from margin to score."""
     held = held[held["chars"] > 0]
+    most, calibrated = 0.0, []
     for i, language in enumerate(found.languages):
         own = held[(held["lang"] == language) & (held["best"] == i)]
         if len(own) >= 5:
             found.usual[i] = own["entropy"].mean()
-            found.excess[i] = HEADROOM * ((own["entropy"] - found.usual[i]) * np.sqrt(own["chars"])).max() + 1.0
+            most = max(most, ((own["entropy"] - found.usual[i]) * np.sqrt(own["chars"])).max())
+            calibrated.append(i)
+    # One bound for all languages: a language with few held documents would get too tight a one of its own.
+    found.excess[calibrated] = HEADROOM * most + 1.0
     x = (held["margin"] * np.sqrt(held["chars"])).to_numpy(float)
     y = (held["lang"].to_numpy() == np.array([*found.languages, None], object)[held["best"].to_numpy(int)]).astype(float)
     if not len(x):
