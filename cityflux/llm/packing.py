@@ -3,8 +3,8 @@
 Only the histogram of piece lengths, at most ``capacity`` numbers whatever the input, reaches the
 driver. There the configuration linear program (how often to use each way of filling a sequence) is
 solved by multiplicative weights: a knapsack dynamic program prices the fillings, lengths served
-too little get dearer, those served too much cheaper. The fractional solution is rounded down, what
-is left is filled greedily with priced fillings and then by best fit, all on counts. Each piece then
+too little get dearer, those served too much cheaper. The fractional solution is rounded down and what
+is left goes by best fit, all on counts. Each piece then
 finds its sequence from its length and its rank among pieces of that length.
 """
 
@@ -26,7 +26,7 @@ from cityflux.plans.scratch import materialize
 
 CAPACITY = 2048
 # Rounds of multiplicative weights.
-ROUNDS = 30
+ROUNDS = 80
 # Spacing other than single blanks and line ends between words.
 _ODD_SPACES = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\t\r\x{b}\x{c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Distinct words whose ids a Python worker remembers.
@@ -191,7 +191,7 @@ def _filling(first: int, taken: np.ndarray, capacity: int) -> tuple[int, ...]:
     return tuple(sorted(out, reverse=True))
 
 
-def _fractional(counts: dict[int, int], capacity: int, rounds: int, step: float = 2.0, slack: float = 0.02) -> dict[tuple[int, ...], float]:
+def _fractional(counts: dict[int, int], capacity: int, rounds: int, step: float = 1.0, slack: float = 0.005) -> dict[tuple[int, ...], float]:
     """Fillings and how often to use them, by multiplicative weights over the lengths.
 
     Each round every length asks for its share of the round in the dearest filling it is part of,
@@ -268,9 +268,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS)
     fullest = sorted(used, key=lambda f: (-sum(f), -used[f], f))
     for filling in fullest:
         use(filling, used[filling])
-    for filling in fullest:
-        if sum(filling) == capacity:
-            use(filling, float("inf"))
     for filling, many in _best_fit({s: n for s, n in left.items() if n}, capacity):
         out[filling] += many
     return list(out.items())
