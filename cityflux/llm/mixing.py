@@ -60,7 +60,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int = GAP) -> np.ndarray:
-    """How many documents of each length come nearest below or at ``budget`` words; 0 <= budget <= all."""
+    """How many documents of each length to take to come near ``budget`` words; 0 <= budget <= all."""
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
@@ -76,20 +76,23 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int = GAP) ->
         take[i] += more
         left -= more * int(n)
     rest = counts - take
-    # Bounded knapsack over what is left: the length by which a sum was first reached, and how often.
-    reached = np.full(left + 1, -1, np.int64)
+    # Bounded knapsack over what is left, up to one document more: the length by which a sum was first reached.
+    open_ = np.flatnonzero((rest > 0) & (lengths > 0))
+    top = left + (min(left, int(lengths[open_].max())) if len(open_) else 0)
+    reached = np.full(top + 1, -1, np.int64)
     reached[0] = len(lengths)
-    for i in np.flatnonzero((rest > 0) & (lengths > 0) & (lengths <= left)):
+    for i in open_:
         n, fresh = int(lengths[i]), np.flatnonzero(reached >= 0)
         for _ in range(int(rest[i])):
-            fresh = fresh[fresh <= left - n] + n
+            fresh = fresh[fresh <= top - n] + n
             fresh = fresh[reached[fresh] < 0]
             if not len(fresh):
                 break
             reached[fresh] = i
         if reached[left] >= 0:
             break
-    at = int(np.flatnonzero(reached >= 0)[-1])
+    sums = np.flatnonzero(reached >= 0)
+    at = int(sums[np.abs(sums - left).argmin()])
     while at:
         take[reached[at]] += 1
         at -= int(lengths[reached[at]])
