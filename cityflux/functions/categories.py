@@ -39,8 +39,8 @@ def aqi_bin(value: Column) -> Column:
 
 
 def aqi_color(value: Column) -> Column:
-    """RGBA by class, grey when missing."""
-    return _by_upper_bound(value, [(b, _rgba(rgba)) for b, _, rgba, _ in AQI_CLASSES], _rgba(UNKNOWN_COLOR))
+    """RGBA by class of the whole part, grey when missing."""
+    return _by_upper_bound(value.cast("int"), [(b, _rgba(rgba)) for b, _, rgba, _ in AQI_CLASSES], _rgba(UNKNOWN_COLOR))
 
 
 def aqi_hex(value: Column) -> Column:
@@ -49,8 +49,8 @@ def aqi_hex(value: Column) -> Column:
 
 
 def traffic_color(level: Column) -> Column:
-    """C17: RGBA by level, grey when missing or out of range."""
-    expr = None
+    """C17: RGBA by level, its whole part, grey when missing or out of range."""
+    expr, level = None, level.cast("int")
     for key, rgba in TRAFFIC_COLORS.items():
         expr = (F if expr is None else expr).when(level == key, _rgba(rgba))
     return expr.otherwise(_rgba(UNKNOWN_COLOR))

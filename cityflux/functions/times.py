@@ -12,9 +12,9 @@ from cityflux.schemas import DAY_PARTS, LOCAL_OFFSET_HOURS, LOCAL_ZONE_MARK, PEA
 AsOf = str | datetime
 
 
-def moment(as_of: AsOf) -> Column:
-    """A reference time as a zone-less timestamp literal."""
-    return F.lit(str(as_of)).cast("timestamp_ntz")
+def moment(as_of: AsOf | Column) -> Column:
+    """A reference time as a zone-less timestamp literal; a column is taken as it is."""
+    return (as_of if isinstance(as_of, Column) else F.lit(str(as_of))).cast("timestamp_ntz")
 
 
 def shift_hours(ts: Column, hours: int) -> Column:
@@ -90,8 +90,8 @@ def time_from_parts(date: Column, hour: Column, missing_hour: int = 12) -> Colum
     return date.cast("timestamp_ntz") + F.make_dt_interval(hours=hours)
 
 
-def previous_hour(as_of: AsOf) -> Column:
-    """Start of the hour before."""
+def previous_hour(as_of: AsOf | Column) -> Column:
+    """Start of the hour before a moment or the times of a column."""
     return shift_hours(F.date_trunc("hour", moment(as_of)).cast("timestamp_ntz"), -1)
 
 

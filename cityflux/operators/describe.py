@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,6 +13,7 @@ from cityflux.operators.cleaning import iqr_bounds
 from cityflux.operators.imputation import MEASURES
 from cityflux.operators.rollups import flag_extreme
 from cityflux.plans.ranks import percentiles, value_counts
+from cityflux.plans.scratch import materialize
 from cityflux.plans.series import with_position
 from cityflux.schemas import AQI_BINS, DAY_NAMES, DEFAULT_CENTER, MONTH_NAMES
 
@@ -229,15 +227,24 @@ def hotspots(df: DataFrame, n: int = 3, measures: list[str] = MEASURES) -> DataF
     return _union(frames)
 
 
-# Up to this many column pairs are plain aggregates of one pass; wider frames use matrix sums.
-_PAIR_AGGREGATES = 30
+# Column pairs that one pass aggregates; wider frames take several passes over their columns, written once.
+_PAIRS_A_PASS = 40
 
 
-def correlation_matrix(df: DataFrame, columns: list[str], most_aggregates: int = _PAIR_AGGREGATES) -> DataFrame:
-    """Pearson r of every column pair over rows where both are known; NULL for a constant column."""
+def correlation_matrix(df: DataFrame, columns: list[str], pairs_a_pass: int = _PAIRS_A_PASS) -> DataFrame:
+    """Pearson r of every column pair over rows where both are known; NULL for a constant column.
+
+    Every pair is the same built-in aggregates whatever the number of columns.
+    """
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    if len(pairs) > most_aggregates:
-        return _correlation_by_matrix(df, columns)
+    parts = [pairs[k : k + pairs_a_pass] for k in range(0, len(pairs), pairs_a_pass)] or [[]]
+    rows = df if len(parts) == 1 else materialize(df.select(*columns), "correlated")
+    return _union([_correlations(rows, columns, part) for part in parts])
+
+
+def _correlations(df: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "variable1 string, variable2 string, correlation double")
     aggs = []
     for n, (i, j) in enumerate(pairs):
         a, b = F.col(columns[i]), F.col(columns[j])
@@ -252,44 +259,6 @@ def correlation_matrix(df: DataFrame, columns: list[str], most_aggregates: int =
     return wide.select(F.inline(F.array(*rows)))
 
 
-def _correlation_by_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The same from four products of the value and presence matrices, summed batch by batch.
-
-    Values are first shifted by their column mean, which leaves r unchanged and keeps the sums small.
-    """
-    size = len(columns)
-    means = df.agg(*[F.avg(c).cast("double").alias(c) for c in columns]).select(F.struct("*").alias("m")).scalar()
-    shifted = df.select(*[(F.col(c).cast("double") - means[c]).alias(c) for c in columns])
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((4, size, size))
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=float)
-            known = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x)
-            held += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
-        i, j = np.triu_indices(size, 1)
-        yield pd.DataFrame(
-            {
-                "i": i, "j": j, "n": held[0][i, j], "sx": held[1][i, j], "sy": held[1].T[i, j],
-                "sxx": held[2][i, j], "syy": held[2].T[i, j], "sxy": held[3][i, j],
-            }
-        )
-
-    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-    parts = shifted.mapInPandas(sums, "i int, j int, " + ", ".join(f"{c} double" for c in names))
-    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
-    covariance = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    spread_x = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    spread_y = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    # What is left of a constant column is rounding noise far below its own squares.
-    flat = (spread_x <= F.col("n") * F.col("sxx") * 1e-12) | (spread_y <= F.col("n") * F.col("syy") * 1e-12)
-    r = F.when(~flat, F.try_divide(covariance, F.sqrt(spread_x) * F.sqrt(spread_y)))
-    label = F.array(*[F.lit(c) for c in columns])
-    a, b = F.element_at(label, F.col("i") + 1), F.element_at(label, F.col("j") + 1)
-    return total.select(F.least(a, b).alias("variable1"), F.greatest(a, b).alias("variable2"), r.alias("correlation"))
-
-
 def strong_correlations(matrix: DataFrame, floor: float = 0.5) -> DataFrame:
     """Pairs beyond the floor, with strength and wording."""
     r = F.col("correlation")
@@ -340,6 +309,11 @@ def anomalies_zscore(df: DataFrame, measures: list[str] = MEASURES, bound: float
     return _union(frames)
 
 
+def total_anomalies(found: DataFrame) -> DataFrame:
+    """Anomalies over all measures together, from their rows per measure."""
+    return found.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_anomalies"))
+
+
 def map_center(df: DataFrame) -> DataFrame:
     """Mean coordinates, or the default centre."""
     lat, lon = DEFAULT_CENTER

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cityflux.functions.numbers import ratio
 from cityflux.plans.ranks import percentiles
+from cityflux.plans.scratch import materialize
 from cityflux.plans.series import running_sum
 
 
@@ -66,8 +67,11 @@ def confusion_matrix(df: DataFrame, true: str = "c_true", pred: str = "c_pred")
 
 
 def confusion_wide(df: DataFrame, labels: list, true: str = "c_true", pred: str = "c_pred") -> DataFrame:
-    """E3 wide: one row per actual label, one column per given label."""
-    return confusion_counts(df, true, pred).groupBy("actual").pivot("predicted", labels).sum("n").fillna(0)
+    """E3 wide: one row per actual label, one column per given label and per other label predicted."""
+    counts = materialize(confusion_counts(df, true, pred), "confusion")
+    seen = {r[0] for r in counts.select("predicted").distinct().collect()} - {None}
+    columns = [*labels, *sorted(seen - set(labels))]
+    return counts.groupBy("actual").pivot("predicted", columns).sum("n").fillna(0)
 
 
 def per_class(df: DataFrame, true: str = "c_true", pred: str = "c_pred") -> DataFrame:
@@ -134,9 +138,9 @@ def roc_auc_ovr(scores: DataFrame, **kw) -> DataFrame:
 
 
 def explode_scores(df: DataFrame, probability: str, classes: list, true: str) -> DataFrame:
-    """Class probabilities of a prediction frame as (class, label, score) rows."""
+    """Class probabilities of a prediction frame as (class, label, score) rows; a class the model never saw scores 0."""
     cells = [
-        F.struct(F.lit(c).alias("class"), (F.col(true) == c).cast("int").alias("label"), F.col(probability)[i].alias("score"))
+        F.struct(F.lit(c).alias("class"), (F.col(true) == c).cast("int").alias("label"), F.coalesce(F.get(F.col(probability), F.lit(i)), F.lit(0.0)).alias("score"))
         for i, c in enumerate(classes)
     ]
     return df.select(F.inline(F.array(*cells)))

@@ -18,6 +18,7 @@ _HELD_LOCATIONS = 256
 
 NO_MODEL = "no model trained for location"
 TOO_SHORT = "not enough data for forecast"
+MISSING = "missing value among the last ones"
 
 
 def _gram_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,10 +47,10 @@ def forecast_fit(
 
     Tasks reduce their windows to one small matrix per location; matrices are added cell by cell, so
     no location's windows ever meet in one place. A singular system gets its smallest solution.
-    Windows with a missing value are left out.
+    Windows with a missing value, NULL or NaN, are left out.
     """
     seq = sequences(df, value, lookback, horizon, **plan)
-    whole = seq.filter(~F.exists(F.concat("past", "future"), lambda v: v.isNull()))
+    whole = seq.filter(~F.exists(F.concat("past", "future"), lambda v: v.isNull() | F.isnan(v.cast("double"))))
     parts = whole.select("location", "past", "future").mapInPandas(_gram_parts, "location string, gram array<double>")
     cells = parts.select("location", F.posexplode("gram").alias("at", "s"))
     sums = cells.groupBy("location", "at").agg(F.sum("s").alias("s"))
@@ -78,8 +79,10 @@ def forecast(df: DataFrame, fit: DataFrame, value: str = "aqi_value", lookback:
     """(location, step, value, reason): the next values of every location, or why there are none."""
     tail = lookback_tail(df, value, lookback)
     steps = tail.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
-    joined = steps.join(fit, ["location", "step"], "left")
+    same = steps["location"].eqNullSafe(fit["location"]) & (steps["step"] == fit["step"])
+    joined = steps.join(fit, same, "left").select(steps["*"], "intercept", "weights")
     products = F.zip_with("values", "weights", lambda v, w: v * w)
     guess = F.col("intercept") + F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
     reason = F.when(F.col("weights").isNull(), NO_MODEL).when(F.col("n") < lookback, TOO_SHORT)
+    reason = reason.when(F.exists("values", lambda v: v.isNull() | F.isnan(v.cast("double"))), MISSING)
     return joined.select("location", "step", F.when(reason.isNull(), guess).alias("value"), reason.alias("reason"))

@@ -89,12 +89,18 @@ class Fitted:
         return self.target == "traffic_level"
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """The frame with ``prediction``, and ``probability`` (array by level) for forests."""
+        """The frame with ``prediction``, and ``probability`` (array by level) for classifiers."""
         out = self.model.transform(df)
         if self.is_classifier:
             out = out.withColumn("prediction", (F.col("prediction") + 1).cast("int"))
             if "probability" in out.columns:
                 out = out.withColumn("probability", vector_to_array("probability"))
+            elif "rawPrediction" in out.columns:
+                # One against the rest: each class's own boosted probability, together made one.
+                own = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
+                out = out.withColumn("probability", own)
+                whole = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+                out = out.withColumn("probability", F.transform("probability", lambda x: F.try_divide(x, whole)))
         keep = df.columns + [c for c in ("prediction", "probability") if c in out.columns]
         return out.select(*keep)
 
@@ -180,6 +186,8 @@ def grid_search(
 ) -> tuple[PipelineModel, DataFrame]:
     """M7: best model by mean squared error over contiguous folds, and (settings, mse) of every point."""
     names = feature_names(df, target)
+    if kind == "linear":
+        settings["regParam"], names = ridge_setup(df, target, names, settings.pop("alpha", RIDGE_ALPHA))
     stages = _stages(target, kind, names, **settings)
     estimator = stages.getStages()[-1]
     builder = ParamGridBuilder()
@@ -191,7 +199,8 @@ def grid_search(
     rows = materialize(rows, "folds")
     search = CrossValidator(
         estimator=stages, estimatorParamMaps=points, numFolds=folds, foldCol="fold", parallelism=parallelism,
-        evaluator=RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="mse"),
+        # Classifiers predict the label, one below the level.
+        evaluator=RegressionEvaluator(labelCol="label" if target == "traffic_level" else target, predictionCol="prediction", metricName="mse"),
     )
     found = search.fit(rows)
     table = [

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cityflux.functions.times import AsOf, moment
-from cityflux.plans.scratch import materialize, rebalanced
+from cityflux.plans.scratch import exists, materialize, rebalanced
 
 ROLLUP_KEYS = ["date", "hour", "location"]
 
 
 def newest_per_key(df: DataFrame, keys: list[str], newest: str | None) -> DataFrame:
-    """One row per key; the limit runs before the shuffle too, so copies of a key stay where they are."""
+    """One row per key, and an error if there are more and nothing says which is newest; the limit runs before the shuffle too, so copies of a key stay where they are."""
     if newest is None:
-        return df
+        # Two rows for one key would both stay and break the key: the job ends instead.
+        many = F.count(F.lit(1)).over(W.partitionBy(*keys)) > 1
+        checked = df.withColumn("_rn", F.when(many, F.raise_error(F.lit("the source repeats a key"))).otherwise(F.lit(True)))
+        return checked.filter("_rn").drop("_rn")
     spec = W.partitionBy(*keys).orderBy(F.col(newest).desc())
     return df.withColumn("_rn", F.row_number().over(spec)).filter("_rn = 1").drop("_rn")
 
@@ -45,10 +47,9 @@ def upsert_table(path: str, source: DataFrame, keys: list[str] = ROLLUP_KEYS, pa
     """
     spark = source.sparkSession
     source = materialize(source, "upsert-source")
-    try:
-        target = spark.read.schema(source.schema).parquet(path).select(*source.columns)
-    except AnalysisException:
-        return write_partitions(source, path, partition)
+    if not exists(spark, path):
+        return write_partitions(newest_per_key(source, keys, None), path, partition)
+    target = spark.read.schema(source.schema).parquet(path).select(*source.columns)
     touched = source.select(partition).distinct()
     names = [r[0] for r in touched.limit(_NAMED_PARTITIONS + 1).collect()]
     if len(names) <= _NAMED_PARTITIONS:

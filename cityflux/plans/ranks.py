@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cityflux.plans.series import KEY_ROW_LIMIT, has_hot_key, running_sum
+from cityflux.plans.series import KEY_ROW_LIMIT, held, key_sizes, running_sum
 
 
 def value_counts(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
@@ -17,11 +17,16 @@ def value_counts(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
     return known.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _small_domain(df: DataFrame, measure: str) -> bool:
-    """Index readings and levels are plain integers of a few hundred values at most."""
+def _whole(df: DataFrame, measure: str) -> bool:
+    """Whether values are whole numbers, so that counting them by value first is likely to pay."""
     return isinstance(df.schema[measure].dataType, (T.ByteType, T.ShortType, T.IntegerType))
 
 
+def between(lower, upper, below, above):
+    """The built-in interpolation to the last digit: ``below`` and ``above`` are the distances to both ranks."""
+    return above * lower + below * upper
+
+
 def percentiles(
     df: DataFrame,
     measure: str,
@@ -32,19 +37,22 @@ def percentiles(
 ) -> DataFrame:
     """Exact linearly interpolated percentiles, one row per key (or one row), a column per point.
 
-    Whole-number measures are counted by value first and ended by the built-in percentile over
-    (value, count). Free doubles take the built-in one while no key has more than ``limit`` rows;
-    beyond it a few ranks are found by narrowing, and many ranks, or ranks per key, by running
-    counts over range-cut values.
+    The one column is written once. Whole-number measures are counted by value and ended by the built-in
+    percentile over (value, count) while no key has more than ``limit`` values; free doubles take the
+    built-in one while no key has more than ``limit`` rows. Beyond it a few ranks are found by narrowing,
+    and many ranks, or ranks per key, by running counts over range-cut values. All interpolate alike.
     """
     keys = keys or []
-    if _small_domain(df, measure):
-        counts = value_counts(df, keys, measure)
-        return counts.groupBy(*keys).agg(*[F.percentile("v", F.lit(p), F.col("n")).alias(c) for c, p in points.items()])
     narrow = not keys and len(points) <= _MOST_NARROWED
     if limit is None:
         limit = _NARROW_FROM if narrow else KEY_ROW_LIMIT
-    if not has_hot_key(df, keys, limit):
+    # Only the keys and the measure are written; keys come back under their names.
+    df = held(df.select(*keys, F.col(measure).alias(measure)))
+    if _whole(df, measure):
+        counts = held(value_counts(df, keys, measure))
+        if key_sizes(counts, keys)[1] <= limit:
+            return counts.groupBy(*keys).agg(*[F.percentile("v", F.lit(p), F.col("n")).alias(c) for c, p in points.items()])
+    elif key_sizes(df, keys)[1] <= limit:
         v = F.col(measure).cast("double")
         return df.groupBy(*keys).agg(*[F.percentile(v, F.lit(p)).alias(c) for c, p in points.items()])
     if narrow:
@@ -53,7 +61,7 @@ def percentiles(
 
 
 def _sorted_percentiles(df: DataFrame, measure: str, points: dict[str, float], keys: list[str], limit: int, partitions: int | None) -> DataFrame:
-    counts = value_counts(df, keys, measure)
+    counts = held(value_counts(df, keys, measure))
     ranked = running_sum(counts, keys, ["v"], "n", "_upto", limit, partitions)
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_rows"))
     if keys:
@@ -64,10 +72,12 @@ def _sorted_percentiles(df: DataFrame, measure: str, points: dict[str, float], k
     aggs = []
     for name, p in points.items():
         at = (F.col("_rows") - 1) * F.lit(float(p))
-        low, frac = F.floor(at), at - F.floor(at)
+        low = F.floor(at)
         lower = F.min(F.when(F.col("_upto") > low, F.col("v")))
         upper = F.min(F.when(F.col("_upto") > F.least(low + 1, F.col("_rows") - 1), F.col("v")))
-        aggs.append((lower + (upper - lower) * F.max(frac)).alias(name))
+        exact = F.max(at) == F.max(low)
+        mixed = between(lower, upper, F.max(at) - F.max(low), F.max(low) + 1 - F.max(at))
+        aggs.append(F.when(exact | (lower == upper), lower).otherwise(mixed).alias(name))
     return ranked.groupBy(*keys).agg(*aggs)
 
 
@@ -87,7 +97,8 @@ def _narrowed_percentiles(df: DataFrame, measure: str, points: dict[str, float])
     row = []
     for at in spots.values():
         lower, upper = value.get(int(at)), value.get(min(int(at) + 1, n - 1))
-        row.append(None if lower is None else lower + (upper - lower) * (at - int(at)))
+        same = lower == upper or at == int(at)
+        row.append(lower if lower is None or same else between(lower, upper, at - int(at), int(at) + 1 - at))
     return df.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{name} double" for name in points))
 
 

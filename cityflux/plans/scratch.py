@@ -29,6 +29,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cityflux-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at the path, on whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once and read back: cuts lineage, survives lost executors, stays columnar and prunable."""
     path = fresh_path(df.sparkSession, name)
@@ -36,13 +42,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, rows: int, per_core: int = 1_000_000) -> DataFrame:
-    """Rows dealt over all cores when they are few; many rows already come in many partitions.
+def spread(df: DataFrame, rows: int, key: str = "id", per_task: int = 8_000, most: int = 4_096) -> DataFrame:
+    """Rows dealt by a hash of ``key`` over a number of partitions that the row count alone decides.
 
-    For work that reads a small table again and again, such as fitting trees.
+    For work that reads a table again and again and draws per partition, such as fitting forests: the
+    same rows then come in the same partitions on any cluster.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if rows < cores * per_core else df
+    return df.repartition(min(most, max(1, -(-rows // per_task))), key)
 
 
 def measured_side(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:

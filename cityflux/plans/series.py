@@ -22,21 +22,35 @@ _CHUNK = "_chunk"
 _HALO = "_halo"
 
 
-def has_hot_key(df: DataFrame, keys: list[str], limit: int = KEY_ROW_LIMIT) -> bool:
-    """Whether some key holds more rows than one task should get; counts are combined map-side."""
+def key_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """(all rows, rows of the hottest key) in one pass; counts are combined map-side."""
     if not keys:
-        return df.count() > limit
-    return not df.groupBy(*keys).count().filter(F.col("count") > limit).limit(1).isEmpty()
+        rows = df.count()
+        return rows, rows
+    sizes = df.groupBy(*keys).count()
+    row = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    return row[0], row[1]
+
+
+def has_hot_key(df: DataFrame, keys: list[str], limit: int = KEY_ROW_LIMIT) -> bool:
+    """Whether some key holds more rows than one task should get."""
+    return key_sizes(df, keys)[1] > limit
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The frame written once: its sizes are looked at before it is used, and its plan must not run twice."""
+    return materialize(df, "held")
 
 
-def chunked(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
-    """Rows range-cut on (keys, order) and written once, with the number of their cut.
+def chunked(df: DataFrame, keys: list[str], order: list[str], rows: int, limit: int, partitions: int | None = None) -> DataFrame:
+    """Rows range-cut on (keys, order) into chunks of about half ``limit`` rows, written once, with the number of their cut.
 
-    The write matters: range bounds come from a sample, so two readings of an unwritten plan
-    could be cut differently.
+    Range bounds come from a sample, so chunks differ in size (hence the half) and two readings of an
+    unwritten plan could be cut differently (hence the write). The number of cuts is asked for by
+    number, which adaptive execution leaves as it is.
     """
-    by = [F.col(c) for c in keys + order]
-    cut = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    cuts = partitions or max(1, -(-2 * rows // limit))
+    cut = df.repartitionByRange(cuts, *[F.col(c) for c in keys + order])
     return materialize(cut.withColumn(_CHUNK, F.spark_partition_id()), "series")
 
 
@@ -71,10 +85,12 @@ def over_rows(
 
     ``order`` must give a total order within a key.
     """
-    if not has_hot_key(df, keys, limit):
+    df = held(df)
+    rows, most = key_sizes(df, keys)
+    if most <= limit:
         spec = W.partitionBy(*keys).orderBy(*order)
         return df.withColumns(columns(spec))
-    rows = _with_halo(chunked(df, keys, order, partitions), keys, order, before)
+    rows = _with_halo(chunked(df, keys, order, rows, limit, partitions), keys, order, before)
     spec = W.partitionBy(*keys, _CHUNK).orderBy(*order)
     return rows.withColumns(columns(spec)).filter(~F.col(_HALO)).drop(_HALO, _CHUNK)
 
@@ -103,11 +119,13 @@ def running_sum(
     partitions: int | None = None,
 ) -> DataFrame:
     """Add the running sum of ``value``, current row included, along ``order`` within a key."""
-    if not has_hot_key(df, keys, limit):
+    df = held(df)
+    rows, most = key_sizes(df, keys)
+    if most <= limit:
         # Without keys every row shares one literal key: at most ``limit`` rows, as just measured.
         spec = W.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
         return df.withColumn(name, F.sum(value).over(spec.rowsBetween(W.unboundedPreceding, 0)))
-    parts = chunked(df, keys, order, partitions)
+    parts = chunked(df, keys, order, rows, limit, partitions)
     group = keys + [_CHUNK]
     totals = parts.groupBy(*group).agg(F.sum(value).alias("_total"))
     before = W.partitionBy(*(keys or [F.lit(0)])).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
@@ -149,9 +167,11 @@ def nearest_known(
             out |= {f"{m}_next": F.last(known(m), ignorenulls=True).over(forth) for m in measures}
         return out
 
-    if not has_hot_key(df, keys, limit):
+    df = held(df)
+    rows, most = key_sizes(df, keys)
+    if most <= limit:
         return df.withColumns(columns(keys))
-    parts = chunked(df, keys, order, partitions)
+    parts = chunked(df, keys, order, rows, limit, partitions)
     group = keys + [_CHUNK]
     # One row per chunk and key: its last and first known value of every measure.
     at = F.struct(*order)

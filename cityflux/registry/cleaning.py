@@ -74,6 +74,17 @@ def iqr_filter_prices(spark, sf):
     return cleaning.iqr_filter(items, ["l_extendedprice"], k=0.5)
 
 
+@query("iqr_filter_parts", """
+, q AS (SELECT quantile_cont(l_partkey::DOUBLE, 0.25) AS q1, quantile_cont(l_partkey::DOUBLE, 0.75) AS q3 FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem, q
+WHERE l_partkey >= q1 - 0.25::DOUBLE * (q3 - q1) AND l_partkey <= q3 + 0.25::DOUBLE * (q3 - q1)
+""")
+def iqr_filter_parts(spark, sf):
+    """F9 on an integer measure with many distinct values."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", "CAST(l_partkey AS INT) AS l_partkey")
+    return cleaning.iqr_filter(items, ["l_partkey"], k=0.25)
+
+
 @query("clean_data", _DEDUPED + f"SELECT {_READING} FROM clean")
 def clean_data(spark, sf):
     return cleaning.clean_data(dirty_readings(spark, sf))

@@ -182,6 +182,26 @@ def correlation_matrix(spark, sf):
     return _matrix(spark, sf)
 
 
+_WIDE = {
+    "aqi_value": "aqi_value", "traffic_level": "traffic_level", "hour": "hour(timestamp)", "month": "month(timestamp)", "interaction": "aqi_value * traffic_level",
+    "latitude": "latitude", "longitude": "longitude", "nothing": "CAST(NULL AS DOUBLE)", "almost": "CASE WHEN id = 1 THEN 1.0 ELSE 0.0 END",
+    "day": "day(timestamp)", "parity": "id % 2",
+}
+_WIDE_PAIRS = [tuple(sorted((a, b))) for i, a in enumerate(_WIDE) for b in list(_WIDE)[i + 1 :]]
+
+
+@query("correlation_matrix_wide", ", f AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _WIDE.items()) + " FROM gappy_readings) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS variable1, '{b}' AS variable2, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) + 0.0 AS correlation "
+    f"FROM (SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM f WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    for a, b in _WIDE_PAIRS
+), places=6)
+def correlation_matrix_wide(spark, sf):
+    """A22 over more pairs than one pass takes, with an empty and a nearly constant column."""
+    from cityflux.registry.base import gappy_readings
+
+    return describe.correlation_matrix(gappy_readings(spark, sf).selectExpr(*[f"{e} AS {c}" for c, e in _WIDE.items()]), list(_WIDE))
+
+
 _WORDS = """CASE WHEN abs(correlation) > 0.7 THEN 'strong' WHEN abs(correlation) > 0.5 THEN 'moderate' WHEN abs(correlation) > 0.3 THEN 'weak'
   ELSE 'very weak' END || CASE WHEN correlation > 0 THEN ' positive correlation' ELSE ' negative correlation' END"""
 
@@ -228,6 +248,14 @@ def anomalies_zscore(spark, sf):
     return describe.anomalies_zscore(dirty_readings(spark, sf))
 
 
+@query("total_anomalies", """
+SELECT sum(n)::BIGINT AS total_anomalies FROM (""" + " UNION ALL ".join(f"""
+  SELECT count(*) AS n FROM dirty_readings, (SELECT quantile_cont(CAST({m} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({m} AS DOUBLE), 0.75) AS q3 FROM dirty_readings)
+  WHERE {m} < q1 - 1.5::DOUBLE * (q3 - q1) OR {m} > q3 + 1.5::DOUBLE * (q3 - q1)""" for m in ("aqi_value", "traffic_level")) + ")")
+def total_anomalies(spark, sf):
+    return describe.total_anomalies(describe.anomalies_iqr(dirty_readings(spark, sf)))
+
+
 @query("map_center", "SELECT round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude FROM readings", places=6)
 def map_center(spark, sf):
     return describe.map_center(readings(spark, sf))

@@ -288,8 +288,7 @@ def time_from_parts(spark, sf):
 SELECT id, date_trunc('hour', timestamp) - INTERVAL 1 HOUR AS previous_hour FROM readings
 """)
 def previous_hour(spark, sf):
-    start = times.shift_hours(F.date_trunc("hour", "timestamp").cast("timestamp_ntz"), -1)
-    return readings(spark, sf).select("id", start.alias("previous_hour"))
+    return readings(spark, sf).select("id", times.previous_hour(F.col("timestamp")).alias("previous_hour"))
 
 
 def _rgba(prefix: str, col: str, cases: list[tuple[str, tuple]]) -> str:

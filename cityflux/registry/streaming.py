@@ -20,12 +20,13 @@ def _sent(spark, sf, twice=False, broken=False):
     """A folder of message files: all readings; a second time over; or with broken lines beside."""
     path = fresh_path(spark, "messages")
     rows = messages.encode(readings(spark, sf))
+    files = max(4, -(-readings(spark, sf).count() // 50_000))
     if broken:
         bad = readings(spark, sf).filter(F.col("id") % 20 == 0)
         rows = rows.unionByName(bad.select("location", F.concat(F.lit('{"timestamp": oops '), F.col("id").cast("string")).alias("value")).withColumnRenamed("location", "key"))
-    messages.write_files(rows, path, 4)
+    messages.write_files(rows, path, files)
     if twice:
-        messages.write_files(rows, path, 2)
+        messages.write_files(rows, path, files // 2)
     return path
 
 
@@ -80,6 +81,21 @@ def stream_hourly(spark, sf):
     return rollups.hourly_analysis(sinks.read_rollup(spark, f"{root}/rollup"))
 
 
+@query("stream_compact_race", """
+SELECT date::VARCHAR AS date, hour, location, avg_traffic_level, avg_aqi_value, is_peak_hour, total_records FROM analysis
+""")
+def stream_compact_race(spark, sf):
+    """A batch lands while a snapshot is taken, and an unfinished snapshot lies about; nothing counts twice."""
+    rows, path = readings(spark, sf), fresh_path(spark, "race")
+    for batch in range(2):
+        sinks.write_batch(rollups.hourly_state(rows.filter(F.col("id") % 3 == batch)), batch, f"{path}/deltas")
+    upto = sinks.newest_batch(spark, path)
+    sinks.write_batch(rollups.hourly_state(rows.filter(F.col("id") % 3 == 2)), 2, f"{path}/deltas")
+    sinks.write_snapshot(spark, path, upto)
+    sinks.read_rollup(spark, path, 0).write.parquet(f"{path}/snapshots/upto=2")
+    return rollups.hourly_analysis(sinks.read_rollup(spark, path))
+
+
 @query("stream_expire", """
 SELECT timestamp, location, timestamp >= TIMESTAMP '2024-01-30 23:00:00' AS is_active FROM readings
 """)

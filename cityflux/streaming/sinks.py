@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityflux.operators.rollups import hourly_state, merge_states
 from cityflux.operators.upserts import expire
+from cityflux.plans.scratch import exists
 from cityflux.sources.messages import decode, good, quarantine
 from cityflux.sources.tables import to_raw_data, to_realtime_data
 
@@ -34,30 +34,52 @@ def delta_sink(path: str) -> Sink:
     return lambda df, batch_id: write_batch(hourly_state(df), batch_id, path)
 
 
-def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """The hourly state over all batches: newest snapshot merged with the batches after it."""
-    base, upto = _snapshot(spark, path)
-    deltas = read_batches(spark, f"{path}/deltas", upto).drop("batch_id")
+# Written last into a snapshot; one without it is not read.
+_COMPLETE = "_COMPLETE"
+
+
+def read_rollup(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The hourly state over all batches, or those up to ``upto``: newest snapshot merged with the batches after it."""
+    base, done = _snapshot(spark, path, upto)
+    deltas = read_batches(spark, f"{path}/deltas", done)
+    if upto is not None:
+        deltas = deltas.filter(F.col("batch_id") <= upto)
+    deltas = deltas.drop("batch_id")
     return merge_states(deltas if base is None else base.unionByName(deltas))
 
 
-def _snapshot(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
-    try:
-        snaps = spark.read.parquet(f"{path}/snapshots")
-    except AnalysisException:
-        return None, -1
-    upto = snaps.agg(F.max("upto")).collect()[0][0]
-    return snaps.filter(F.col("upto") == upto).drop("upto"), upto
+def _snapshot(spark: SparkSession, path: str, upto: int | None) -> tuple[DataFrame | None, int]:
+    """The newest complete snapshot, of those up to ``upto``."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshots/upto=*/{_COMPLETE}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    marks = [int(str(f.getPath().getParent().getName()).split("=")[1]) for f in found]
+    done = max((m for m in marks if upto is None or m <= upto), default=None)
+    return (None, -1) if done is None else (spark.read.parquet(f"{path}/snapshots/upto={done}"), done)
 
 
 def compact(spark: SparkSession, path: str) -> int:
-    """Merge all batches so far into a snapshot; readers move to it once it is complete."""
-    upto = spark.read.parquet(f"{path}/deltas").agg(F.max("batch_id")).collect()[0][0]
-    state = read_rollup(spark, path)
-    state.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/snapshots/upto={upto}")
+    """Merge all batches so far into a snapshot; readers move to it once it is marked complete.
+
+    Batches that land meanwhile are not part of it: readers take them from their own folders.
+    """
+    upto = newest_batch(spark, path)
+    write_snapshot(spark, path, upto)
     return upto
 
 
+def write_snapshot(spark: SparkSession, path: str, upto: int) -> None:
+    """The state of the batches up to ``upto``, marked complete once it is written."""
+    folder = f"{path}/snapshots/upto={upto}"
+    if not exists(spark, f"{folder}/{_COMPLETE}"):
+        read_rollup(spark, path, upto).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{_COMPLETE}")
+        mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark, True).close()
+
+
+def newest_batch(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(f"{path}/deltas").agg(F.max("batch_id")).first()[0]
+
+
 def read_realtime(spark: SparkSession, path: str, as_of, hours: int = 1) -> DataFrame:
     """Realtime rows with those older than the cutoff inactive; expiry costs no rewrite."""
     rows = spark.read.parquet(path).drop("batch_id")

@@ -132,3 +132,23 @@ def test_random_split(hot):
     shares = {r["split"]: r["count"] for r in parts.groupBy("split").count().collect()}
     assert sum(shares.values()) == 700 and 0.2 < shares["test"] / 700 < 0.4
     same(parts, splits.random_split(hot.repartition(5), 0.3))
+
+
+def test_chunks_keep_to_the_limit(spark, hot):
+    one = hot.withColumn("location", F.lit("a"))
+    parts = series.chunked(one, ["location"], ["timestamp", "id"], 700, 50)
+    sizes = [r["count"] for r in parts.groupBy(series._CHUNK).count().collect()]
+    assert sum(sizes) == 700 and max(sizes) <= 50
+    same(features.lag_features(one), features.lag_features(one, limit=50))
+
+
+@pytest.mark.parametrize("kind", ["int", "double"])
+def test_percentile_plans_agree_to_the_last_digit(spark, kind):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 4999 / F.lit(1 if kind == "int" else 7.0)).cast(kind).alias("v"), (F.col("id") % 3).alias("k"))
+    points = {"a": 0.25, "b": 0.5, "c": 0.123, "d": 0.75}
+    plain = ranks.percentiles(rows, "v", points, limit=10**9).collect()
+    assert plain == ranks.percentiles(rows, "v", points, limit=10).collect()
+    many = points | {f"p{i}": i / 20 for i in range(8)}
+    assert ranks.percentiles(rows, "v", many, limit=10**9).collect() == ranks.percentiles(rows, "v", many, limit=10, partitions=5).collect()
+    keyed = [sorted(ranks.percentiles(rows, "v", points, ["k"], limit=n).collect()) for n in (10**9, 10)]
+    assert keyed[0] == keyed[1]
