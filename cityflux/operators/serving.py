@@ -26,6 +26,11 @@ def latest_per_location(df: DataFrame, columns: list[str], ts: str = "timestamp"
     return newest.select("location", *[c for c in columns if c != "location"])
 
 
+def few_rows(df: DataFrame) -> DataFrame:
+    """A frame that a limit already bounds, run once and held as literal rows: what follows plans nothing twice."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def with_coordinates(df: DataFrame, raw: DataFrame) -> DataFrame:
     """Latest coordinates of the location, the row's own kept where there are none."""
     coords = latest_per_location(raw, ["latitude", "longitude"]).select(
@@ -50,7 +55,10 @@ def batch_as_readings(rollup: DataFrame, raw: DataFrame, as_of: AsOf, days: int
         F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"),
         round_to_int(F.col("avg_aqi")).alias("aqi_value"), round_to_int(F.col("avg_traffic")).alias("traffic_level"),
     )
-    out = with_coordinates(newest_rows(rows, n), raw)
+    newest = few_rows(newest_rows(rows, n))
+    # At most n locations are asked for: the scan of the raw history keeps only theirs.
+    places = [r[0] for r in newest.select("location").distinct().collect() if r[0] is not None]
+    out = with_coordinates(newest, raw.filter(F.col("location").isin(places)))
     return out.select(*READING_COLUMNS, F.coalesce("aqi_value", F.lit(0)).alias("aqi_clean"))
 
 
@@ -95,9 +103,9 @@ def combined_view(
     else:
         recent = lookback_days(rollup, as_of, 1).filter(F.col("hour").isNotNull())
         if found == 0 and recent.isEmpty():
-            view = raw_fallback(raw).withColumn("source", F.lit("raw"))
+            view = few_rows(raw_fallback(raw).withColumn("source", F.lit("raw")))
         else:
-            view = serving_union(speed, batch_as_readings(rollup, raw, as_of))
+            view = few_rows(serving_union(speed, batch_as_readings(rollup, raw, as_of)))
     newest = view.agg(F.max("timestamp"))
     return view.withColumn("last_update", newest.scalar())
 
