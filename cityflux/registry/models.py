@@ -151,6 +151,65 @@ def ridge_one_feature(spark, sf):
     return spark.createDataFrame([(float(line.coefficients[0]), float(line.intercept))], "weight double, intercept double")
 
 
+_STUMP = """
+, cuts AS (
+  SELECT t, sum(n * v) AS loss FROM (
+    SELECT t, traffic_level > t AS above, count(*) AS n, var_pop(aqi_value) AS v FROM readings, (SELECT unnest([1, 2, 3, 4]) AS t) GROUP BY 1, 2) GROUP BY t
+), best AS (SELECT t FROM cuts ORDER BY loss, t LIMIT 1)
+SELECT traffic_level, round(avg(avg_side), 5) AS prediction FROM (
+  SELECT traffic_level, avg(aqi_value) OVER (PARTITION BY traffic_level > t) AS avg_side FROM readings, best) GROUP BY traffic_level
+"""
+
+
+def _one_feature(spark, sf):
+    return readings(spark, sf).select("traffic_level", F.col("aqi_value").cast("double").alias("aqi_value"))
+
+
+@query("aqi_forest_stump", _STUMP, places=5)
+def aqi_forest_stump(spark, sf):
+    """M2 where SQL has the closed form: one tree with one split is the best split by variance."""
+    rows = _one_feature(spark, sf)
+    fitted = models.train(rows, "aqi_value", "random_forest", numTrees=1, maxDepth=1, bootstrap=False)
+    return fitted.predict(rows.select("traffic_level").distinct())
+
+
+@query("aqi_gbt_stump", _STUMP, places=5)
+def aqi_gbt_stump(spark, sf):
+    """M3 where SQL has the closed form: the first round is the best split by variance."""
+    rows = _one_feature(spark, sf)
+    fitted = models.train(rows, "aqi_value", "gradient_boosting", maxIter=1, maxDepth=1)
+    return fitted.predict(rows.select("traffic_level").distinct())
+
+
+@query("traffic_forest_stump", """
+, sides AS (SELECT t, hour(timestamp) > t AS above, traffic_level AS level, count(*) AS n FROM readings, (SELECT unnest(range(0, 23)) AS t) GROUP BY 1, 2, 3)
+, whole AS (SELECT *, sum(n) OVER (PARTITION BY t, above) AS m FROM sides)
+, cuts AS (SELECT t, sum(g) AS loss FROM (SELECT t, above, any_value(m) * (1 - sum((n / m) * (n / m))) AS g FROM whole GROUP BY 1, 2) GROUP BY t)
+, best AS (SELECT t FROM cuts ORDER BY loss, t LIMIT 1)
+SELECT h.hour::BIGINT AS hour, w.level::BIGINT AS level, round(w.n / w.m, 5) AS probability
+FROM (SELECT DISTINCT hour(timestamp) AS hour FROM readings) h, best b JOIN whole w ON w.t = b.t WHERE w.above = (h.hour > b.t)
+""", places=5)
+def traffic_forest_stump(spark, sf):
+    """M5, M11 where SQL has the closed form: one split by Gini, leaf shares as probabilities."""
+    rows = readings(spark, sf).select(F.hour("timestamp").alias("hour"), "traffic_level")
+    fitted = models.train(rows, "traffic_level", "random_forest", numTrees=1, maxDepth=1, bootstrap=False)
+    told = fitted.predict(rows.select("hour").distinct())
+    return told.select("hour", F.posexplode("probability").alias("at", "probability")).select("hour", (F.col("at") + 1).alias("level"), "probability")
+
+
+@query("train_report_one_feature", """
+, s AS (SELECT covar_pop(aqi_value, traffic_level) AS c, var_pop(traffic_level) AS v, count(*) AS n, avg(aqi_value) AS my, avg(traffic_level) AS mx FROM readings)
+, e AS (SELECT aqi_value - (my + c / (v + 1.0::DOUBLE / n) * (traffic_level - mx)) AS r FROM readings, s)
+SELECT 'linear' AS model_type, (SELECT n FROM s) AS train_samples, 'traffic_level' AS features,
+       round(sqrt(avg(r * r)), 5) AS train_rmse, round(avg(abs(r)), 5) AS train_mae FROM e
+""", places=5)
+def train_report_one_feature(spark, sf):
+    """M8 where SQL has the closed form: what is stored about a training, with its errors."""
+    told = models.train(_one_feature(spark, sf), "aqi_value", "linear").history(spark)
+    metrics = [F.col("metrics")[m].alias(m) for m in ("train_rmse", "train_mae")]
+    return told.select("model_type", "train_samples", F.array_join("features", ",").alias("features"), *metrics)
+
+
 @query("analysis_run")
 def analysis_run(spark, sf):
     """P5 with small trees: the test metrics of both models after the whole run."""
