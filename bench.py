@@ -11,6 +11,7 @@ import os
 import sys
 import time
 
+from cityflux.plans.scratch import clear
 from cityflux.registry import QUERIES
 from cityflux.session import local_session
 
@@ -38,6 +39,7 @@ def main() -> None:
         print(f"{seconds[name]:8.3f} {name}", file=sys.stderr, flush=True)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec", "queries": seconds, "sf": sf_dir.rsplit("sf", 1)[-1]}))
+    clear(spark)
     spark.stop()
 
 

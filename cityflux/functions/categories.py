@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cityflux.schemas import AQI_BINS, AQI_CLASSES, TRAFFIC_COLORS, UNKNOWN_COLOR
+from cityflux.schemas import (
+    AQI_BINS, AQI_CLASSES, CORRELATION_SMALL, CORRELATION_WORDS, QUALITY_BEYOND, QUALITY_OF_MEAN, TRAFFIC_COLORS, UNKNOWN_COLOR,
+)
 
 
 def _by_upper_bound(value: Column, steps: list[tuple], missing: Column) -> Column:
@@ -69,16 +71,16 @@ def yes_no(flag: Column) -> Column:
 def correlation_wording(r: Column) -> Column:
     """Strength and direction of a correlation."""
     size = F.abs(r)
-    strength = F.when(size > 0.7, "strong").when(size > 0.5, "moderate").when(size > 0.3, "weak").otherwise("very weak")
+    strength = F.lit(CORRELATION_SMALL)
+    for floor, word in reversed(CORRELATION_WORDS):
+        strength = F.when(size > floor, word).otherwise(strength)
     direction = F.when(r > 0, "positive").otherwise("negative")
     return F.when(r.isNotNull(), F.concat_ws(" ", strength, direction, F.lit("correlation")))
 
 
 def overall_quality(mean_aqi: Column) -> Column:
     """Class of an average, bounds open above."""
-    return (
-        F.when(mean_aqi < 50, "Good")
-        .when(mean_aqi < 100, "Moderate")
-        .when(mean_aqi < 150, "Unhealthy for Sensitive Groups")
-        .otherwise("Unhealthy")
-    )
+    label = F.lit(QUALITY_BEYOND)
+    for bound, name in reversed(QUALITY_OF_MEAN):
+        label = F.when(mean_aqi < bound, name).otherwise(label)
+    return F.when(mean_aqi.isNull(), QUALITY_BEYOND).otherwise(label)

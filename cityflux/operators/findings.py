@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cityflux.functions.categories import overall_quality
 from cityflux.operators.describe import weekend_effect
+from cityflux.schemas import FINDINGS
 
 
 def _row(order: int, category: str, finding: Column, severity: Column) -> list[Column]:
@@ -24,19 +25,19 @@ def key_findings(df: DataFrame, aqi: str = "aqi_value", weekend_floor: float = 1
     first = overall.select(
         *_row(
             1, "Air Quality",
-            F.format_string("Average AQI is %.1f, classified as '%s'", a, overall_quality(a)),
+            F.format_string(FINDINGS["overall"], a, overall_quality(a)),
             F.when(a > 100, "high").otherwise("medium"),
         )
     )
     second = hours.orderBy(a.desc(), "h").limit(1).select(
-        *_row(2, "Temporal Pattern", F.format_string("Peak pollution occurs at %d:00 with average AQI of %.1f", "h", a), medium)
+        *_row(2, "Temporal Pattern", F.format_string(FINDINGS["peak"], "h", a), medium)
     )
     third = places.orderBy(a.desc(), "location").limit(1).select(
-        *_row(3, "Spatial Pattern", F.format_string("'%s' has the highest average AQI of %.1f", "location", a), F.lit("high"))
+        *_row(3, "Spatial Pattern", F.format_string(FINDINGS["worst"], "location", a), F.lit("high"))
     )
     d = F.col("difference")
     way = F.when(d > 0, "higher").otherwise("lower")
     fourth = weekend.select(
-        *_row(4, "Temporal Pattern", F.format_string("Weekend AQI is %.1f points %s than weekdays", F.abs(d), way), medium)
+        *_row(4, "Temporal Pattern", F.format_string(FINDINGS["weekend"], F.abs(d), way), medium)
     )
     return first.unionByName(second).unionByName(third).unionByName(fourth)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -210,17 +214,25 @@ def grid_search(
     return found.bestModel, scores
 
 
+def _pooled(spark: SparkSession, fits: list[Callable[[], tuple]], parallelism: int) -> list[tuple]:
+    """Results of fits that do not depend on each other, a few at a time, in the given order."""
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda fit: fit()), fits)
+
+
 def cross_validate(
     df: DataFrame, target: str = "aqi_value", kind: str = "linear", folds: int = 5,
-    order: tuple[str, ...] = ("timestamp", "id"), metric: str = "mse", **settings,
+    order: tuple[str, ...] = ("timestamp", "id"), metric: str = "mse", parallelism: int = 4, **settings,
 ) -> DataFrame:
     """(fold, score). Classifiers get folds that keep class shares and are scored by accuracy."""
     by = target if target == "traffic_level" else None
     rows = materialize(contiguous_folds(df, folds, list(order), by), "folds")
-    scores = []
-    for k in range(folds):
+
+    def one(k: int) -> tuple:
         head, tail = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
-        scores.append((k, _fold_score(_fit(head, target, kind, **settings), tail, metric)))
+        return k, _fold_score(_fit(head, target, kind, **settings), tail, metric)
+
+    scores = _pooled(df.sparkSession, [partial(one, k) for k in range(folds)], parallelism)
     return df.sparkSession.createDataFrame(scores, "fold int, score double")
 
 
@@ -242,7 +254,8 @@ def cv_summary(scores: DataFrame) -> DataFrame:
 
 def learning_curve(
     df: DataFrame, target: str = "aqi_value", kind: str = "linear", folds: int = 5,
-    shares: tuple[float, ...] = tuple(i / 10 for i in range(1, 11)), order: tuple[str, ...] = ("timestamp", "id"), **settings,
+    shares: tuple[float, ...] = tuple(i / 10 for i in range(1, 11)), order: tuple[str, ...] = ("timestamp", "id"), parallelism: int = 4,
+    **settings,
 ) -> DataFrame:
     """(train_size, train_mean, train_std, val_mean, val_std) of the mean squared error.
 
@@ -251,20 +264,22 @@ def learning_curve(
     rows = contiguous_folds(df, folds, list(order))
     rows = materialize(with_position(rows, ["fold"], list(order), "_in_fold"), "folds")
     sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
-    n, out = sum(sizes.values()), []
+    n = sum(sizes.values())
     starts = {k: sum(sizes[j] for j in range(k)) for k in range(folds)}
-    for share in shares:
-        for k in range(folds):
-            # Position of a row among the training rows of fold k, which skip fold k.
-            at = F.col("_in_fold")
-            for j in range(folds):
-                shift = starts[j] - (sizes[k] if j > k else 0)
-                at = at + F.when(F.col("fold") == j, shift).otherwise(0)
-            size = int((n - sizes[k]) * share)
-            head = rows.filter((F.col("fold") != k) & (at < size))
-            fitted = _fit(head, target, kind, **settings)
-            tail = rows.filter(F.col("fold") == k)
-            out.append((share, size, _fold_score(fitted, head, "mse"), _fold_score(fitted, tail, "mse")))
+
+    def one(share: float, k: int) -> tuple:
+        # Position of a row among the training rows of fold k, which skip fold k.
+        at = F.col("_in_fold")
+        for j in range(folds):
+            shift = starts[j] - (sizes[k] if j > k else 0)
+            at = at + F.when(F.col("fold") == j, shift).otherwise(0)
+        size = int((n - sizes[k]) * share)
+        head = rows.filter((F.col("fold") != k) & (at < size))
+        fitted = _fit(head, target, kind, **settings)
+        tail = rows.filter(F.col("fold") == k)
+        return share, size, _fold_score(fitted, head, "mse"), _fold_score(fitted, tail, "mse")
+
+    out = _pooled(df.sparkSession, [partial(one, share, k) for share in shares for k in range(folds)], parallelism)
     runs = df.sparkSession.createDataFrame(out, "share double, size long, train double, val double")
     return runs.groupBy("share").agg(
         F.min("size").alias("train_size"), F.avg("train").alias("train_mean"), F.stddev_pop("train").alias("train_std"),

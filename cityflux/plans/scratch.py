@@ -35,6 +35,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables this application has put aside; for the end of a run, when no frame reads them any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cityflux-{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once and read back: cuts lineage, survives lost executors, stays columnar and prunable."""
     path = fresh_path(df.sparkSession, name)

@@ -111,7 +111,7 @@ def cross_validate_classes(spark, sf):
 @query("learning_curve")
 def learning_curve(spark, sf):
     rows = _prepared(spark, sf, "aqi_value").drop("split")
-    return models.learning_curve(rows, folds=3, shares=(0.2, 0.6, 1.0))
+    return models.learning_curve(rows)
 
 
 @query("forecast_fit")
@@ -161,14 +161,14 @@ SELECT traffic_level, round(avg(avg_side), 5) AS prediction FROM (
 """
 
 
-def _one_feature(spark, sf):
+def _level_and_index(spark, sf):
     return readings(spark, sf).select("traffic_level", F.col("aqi_value").cast("double").alias("aqi_value"))
 
 
 @query("aqi_forest_stump", _STUMP, places=5)
 def aqi_forest_stump(spark, sf):
     """M2 where SQL has the closed form: one tree with one split is the best split by variance."""
-    rows = _one_feature(spark, sf)
+    rows = _level_and_index(spark, sf)
     fitted = models.train(rows, "aqi_value", "random_forest", numTrees=1, maxDepth=1, bootstrap=False)
     return fitted.predict(rows.select("traffic_level").distinct())
 
@@ -176,7 +176,7 @@ def aqi_forest_stump(spark, sf):
 @query("aqi_gbt_stump", _STUMP, places=5)
 def aqi_gbt_stump(spark, sf):
     """M3 where SQL has the closed form: the first round is the best split by variance."""
-    rows = _one_feature(spark, sf)
+    rows = _level_and_index(spark, sf)
     fitted = models.train(rows, "aqi_value", "gradient_boosting", maxIter=1, maxDepth=1)
     return fitted.predict(rows.select("traffic_level").distinct())
 
@@ -205,7 +205,7 @@ SELECT 'linear' AS model_type, (SELECT n FROM s) AS train_samples, 'traffic_leve
 """, places=5)
 def train_report_one_feature(spark, sf):
     """M8 where SQL has the closed form: what is stored about a training, with its errors."""
-    told = models.train(_one_feature(spark, sf), "aqi_value", "linear").history(spark)
+    told = models.train(_level_and_index(spark, sf), "aqi_value", "linear").history(spark)
     metrics = [F.col("metrics")[m].alias(m) for m in ("train_rmse", "train_mae")]
     return told.select("model_type", "train_samples", F.array_join("features", ",").alias("features"), *metrics)
 

@@ -30,6 +30,20 @@ AQI_CLASSES = [
     (None, "Hazardous", (126, 87, 194, 255), "#7B1FA2"),
 ]
 
+# Wording of correlations: (above this size, word), the word for smaller ones; and classes of an average: (below, label), the label beyond.
+CORRELATION_WORDS = [(0.7, "strong"), (0.5, "moderate"), (0.3, "weak")]
+CORRELATION_SMALL = "very weak"
+QUALITY_OF_MEAN = [(50, "Good"), (100, "Moderate"), (150, "Unhealthy for Sensitive Groups")]
+QUALITY_BEYOND = "Unhealthy"
+
+# Sentences of the key findings, for format_string.
+FINDINGS = {
+    "overall": "Average AQI is %.1f, classified as '%s'",
+    "peak": "Peak pollution occurs at %d:00 with average AQI of %.1f",
+    "worst": "'%s' has the highest average AQI of %.1f",
+    "weekend": "Weekend AQI is %.1f points %s than weekdays",
+}
+
 # Air-quality bins of the feature table, open below and closed above: (lower, upper, label).
 AQI_BINS = [
     (0, 50, "Good"),

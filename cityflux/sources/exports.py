@@ -11,10 +11,9 @@ _TIMES = {
 _REPLACE = {"partitionOverwriteMode": "static"}
 
 
-def write_csv(df: DataFrame, path: str, limit: int | None = None) -> None:
-    """Header, no index. ``limit`` is for a display download; None writes all rows."""
-    out = df if limit is None else df.limit(limit)
-    out.write.mode("overwrite").options(header=True, **_TIMES, **_REPLACE).csv(path)
+def write_csv(df: DataFrame, path: str) -> None:
+    """Header, no index, all rows."""
+    df.write.mode("overwrite").options(header=True, **_TIMES, **_REPLACE).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -154,6 +154,19 @@ def test_boosted_trees(rows):
     assert fitted.metrics["train_r2"] > 0.5
     several = models.train(rows, "traffic_level", "xgboost", maxIter=2, maxDepth=2)
     out = several.predict(rows)
-    assert "probability" not in out.columns
-    assert {r["prediction"] for r in out.collect()} <= {1, 2, 3, 4, 5}
-    assert {r["metric"] for r in models.evaluate(several, rows).collect()} == {"accuracy", "precision", "recall", "f1"}
+    for r in out.collect():
+        assert r["prediction"] in (1, 2, 3, 4, 5) and sum(r["probability"]) == pytest.approx(1.0)
+        assert r["probability"][r["prediction"] - 1] == max(r["probability"])
+    assert {r["metric"] for r in models.evaluate(several, rows).collect()} == {"accuracy", "precision", "recall", "f1", "roc_auc"}
+
+
+def test_classifier_that_never_saw_a_level(rows):
+    few = rows.filter("traffic_level < 5")
+    fitted = models.train(few, "traffic_level", "random_forest", numTrees=3, maxDepth=3)
+    assert {r["metric"] for r in models.evaluate(fitted, rows).collect()} >= {"accuracy", "roc_auc"}
+
+
+def test_grid_search_scores_levels_as_labels(spark):
+    df = spark.range(200).select("id", F.timestamp_seconds(F.col("id")).alias("timestamp"), (F.col("id") % 4 + 1).alias("traffic_level"), (F.col("id") % 4).alias("hour"))
+    _, scores = models.grid_search(df, "traffic_level", "random_forest", {"maxDepth": [3]}, numTrees=5)
+    assert scores.first()["mse"] == 0.0
