@@ -63,7 +63,8 @@ def _ranked(hashes: Column, band: Column) -> Column:
 
 def templates(spark, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     """license, shingles (distinct), n of them, and per band the template's least shingle hash."""
-    rows = spark.createDataFrame(notices, "license string, notice string")
+    literal = F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("notice")) for a, b in notices])
+    rows = spark.range(1).select(F.inline(literal))
     cut = rows.select("license", let(plain_words(F.col("notice")), lambda w: F.struct(F.array_distinct(shingles(w)).alias("s"), F.array_distinct(_hashes(w)).alias("h"))).alias("x"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), _ranked(F.col("x.h"), b)["h"].alias("h")))
     return cut.select("license", F.col("x.s").alias("shingles"), F.size("x.s").alias("n"), bands.alias("bands")).filter("n > 0")

@@ -47,7 +47,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM marked GROUP BY conv_id""",
 )
 def op1(spark, sf):
-    added = spark.createDataFrame([(-7, 0, "user", _ADDED), (-7, 1, "assistant", _ADDED)], "conv_id long, turn long, role string, text string")
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_ADDED).alias("text"))
     given = table(spark, sf, "conversations")
     rows = given.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(added)
     return chat.digest(chat.format_conversations(rows))
