@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are drawn from a bounded sample. A vector is represented by its nearest pivots in order; within a
+Pivots are points of a bounded sample that lie far apart. A vector is represented by its nearest pivots in order; within a
 block of rows, every pivot has an inverted file of the vectors that list it, with the place they list it at.
 A query walks the files of its own pivots, ranks all vectors met by footrule distance between the two
 orders, and compares the best of them exactly. Every row is indexed, every query sees every block.
@@ -47,6 +47,16 @@ def _order(points: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
     return np.take_along_axis(near, np.argsort(np.take_along_axis(away, near, 1), axis=1, kind="stable"), 1)
 
 
+def _apart(points: np.ndarray, most: int) -> np.ndarray:
+    """Points far from each other: each next is the farthest from those chosen, so that copies of one do not crowd the pivots."""
+    chosen = [0]
+    away = ((points - points[0]) ** 2).sum(1)
+    while len(chosen) < min(most, len(points)):
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((points - points[chosen[-1]]) ** 2).sum(1))
+    return points[chosen]
+
+
 class Block:
     """A block's vectors, their inverted files by pivot, and the search in them."""
 
@@ -116,7 +126,7 @@ def search(
     longest = float(np.sqrt(longest))
     # The least hashes: at most ``sample`` rows come to the driver.
     drawn = distinct.select("embedding", F.xxhash64(F.lit(seed), "embedding").alias("h")).orderBy("h").limit(sample).collect()
-    drawn = np.array([r["embedding"] for r in drawn[:pivots]], float)
+    drawn = _apart(np.array([r["embedding"] for r in drawn], float), pivots)
     centres = np.hstack((drawn, np.sqrt(np.maximum(longest**2 - (drawn**2).sum(1), 0))[:, None]))
     blocks, groups = max(1, -(-number // block)), max(1, -(-asked.count() // group))
     # Every group of queries meets every block, a bounded number of each in a task.
