@@ -35,7 +35,7 @@ HIDDEN, CLASSES = 16, 32
 # Learning: documents looked at (about), their greatest length, shards learning side by side, rounds of averaging.
 FIT_DOCS, FIT_CHARS, SHARDS, ROUNDS = 1_200, 20_000, 6, 5
 STREAMS, WINDOW, RATE = 32, 24, 0.01
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 # The end of a text in tables of words: no word is empty.
 END = ""
 

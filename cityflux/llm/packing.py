@@ -30,9 +30,9 @@ ROUNDS = 80
 # Spacing other than single blanks and line ends between words.
 _ODD_SPACES = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\t\r\x{b}\x{c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Distinct words whose ids a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 # Bytes of texts encoded together.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 6_000_000
 
 
 def default_tokenizer() -> str:
