@@ -71,6 +71,8 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         end = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(start, end - start)
         start = end
+    # Workers are reused by later stages: what this batch no longer needs goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 def flat_words(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:

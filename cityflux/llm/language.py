@@ -28,7 +28,7 @@ ORDER = 4
 # Unseen characters share this many places evenly.
 ALPHABET = 65_536
 UNKNOWN = "und"
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 3_000_000
 # Headroom on the largest normalised excess seen in calibration before a text is rejected.
 HEADROOM = 1.5
 _PAD, _END = 1, 2
