@@ -7,6 +7,10 @@ threshold, two bits, of each half: one when the half is a codeword, else 16. Of
 among the other's anchors, so comparing homes with replicas anchor by anchor finds every link.
 
 Equal fingerprints are one node from the start, so copies never meet as pairs.
+
+``keep_one`` works to another measure: texts are near copies when their five-word shingles are similar to 0.8 or more.
+Such texts differ in some ten of 64 bits, where fingerprints no longer tell them from strangers, so its candidates come
+from bands of MinHash rows, and every candidate is held against the shingles themselves.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ from cityflux.plans.scratch import materialize, measured_side
 SHINGLE = 3
 MOST_BITS = 2
 SEED = 42
+# Near copies of keep_one: words of a shingle and the least similarity, in hundredths.
+COPY_SHINGLE, SIMILAR = 5, 80
+# Bands and their rows: a pair of similarity 0.8 shares a band with a chance of 0.9994.
+BANDS, BAND_ROWS = 14, 4
 
 # Byte -> its bits as eight counters of one byte each.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
@@ -45,12 +53,12 @@ def _bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(small, first, axis=0, dtype=np.int64)
 
 
-def _prints(texts: pa.Array, shingle: int) -> np.ndarray:
+def _shingles(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts in order, and how many each text has."""
     words, first = flat_words(texts, lower=True)
     n = np.diff(first)
-    out = np.zeros(len(n), np.uint64)
     if not len(words):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(n), np.int64)
     # A shingle starts at every word that has shingle - 1 more after it; a shorter text is one shingle.
     many = np.maximum(n - shingle + 1, np.minimum(n, 1))
     if len(words) >= shingle:
@@ -68,8 +76,15 @@ def _prints(texts: pa.Array, shingle: int) -> np.ndarray:
         hashes[full] = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in own.to_numpy(zero_copy_only=False)), np.uint64, len(own))
     for i in np.flatnonzero(short):
         hashes[starts[i]] = xxhash.xxh64_intdigest(" ".join(words.slice(first[i], n[i]).to_pylist()), SEED)
-    has = many > 0
-    counts = _bit_counts(hashes, starts[has])
+    return hashes, many
+
+
+def _prints(texts: pa.Array, shingle: int) -> np.ndarray:
+    hashes, many = _shingles(texts, shingle)
+    out, has = np.zeros(len(many), np.uint64), many > 0
+    if not len(hashes):
+        return out
+    counts = _bit_counts(hashes, (np.cumsum(many) - many)[has])
     bits = (2 * counts > many[has][:, None]).astype(np.uint8)
     out[has] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
@@ -150,13 +165,93 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
     return _grouped(docs, shingle, most).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id, with its own columns.
+# --- near copies by shingles ----------------------------------------------------------------
+
+
+def _bands(texts: pa.Array, shingle: int) -> np.ndarray:
+    """A key for each band of each text; texts without words have equal ones."""
+    hashes, many = _shingles(texts, shingle)
+    out, has = np.zeros((len(many), BANDS), np.uint64), many > 0
+    if not len(hashes):
+        return out
+    starts = (np.cumsum(many) - many)[has]
+    rng = np.random.default_rng(SEED)
+    turns = rng.integers(0, 2**63, (BANDS, BAND_ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+    for band, rows in enumerate(turns):
+        key = np.full(len(starts), band, np.uint64)
+        for turn, factor in rows:
+            key = (key ^ np.minimum.reduceat((hashes ^ turn) * factor, starts)) * factor
+            key ^= key >> np.uint64(29)
+        out[has, band] = key
+    return out
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, shingle: int, similar: int) -> DataFrame:
+    """Of pairs (a, b) of text hashes those whose texts' sets of shingles are similar to ``similar`` hundredths or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                hashes, many = _shingles(part.column("text"), shingle)
+                sets = [np.unique(x) for x in np.split(hashes.view(np.int64), np.cumsum(many)[:-1])]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+                grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), grams], names=["node", "grams"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(F.xxhash64("text").alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = materialize(texts.mapInArrow(run, "node long, grams array<long>"), "sets")
+    left, right = (sets.select(F.col("node").alias(n), F.col("grams").alias(f"of_{n}")) for n in "ab")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    # The union times the bound: two texts without words are alike.
+    least = (F.size("of_a") + F.size("of_b") - both) * similar
+    return pairs.join(left, "a").join(right, "b").filter(both * 100 >= least).select("a", "b")
+
+
+def copies(docs: DataFrame, shingle: int = COPY_SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """doc_id, text_hash and root (a text hash that stands for the group) of every document.
+
+    Texts are in one group when a chain of near copies leads from one to the other. Those that share a band are first
+    held against the least of them; what that leaves in other groups is then held against all others of the band.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                keys = _bands(part.column("text"), shingle).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), lists], names=["doc_id", "text_hash", "keys"])
+
+    named = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    signed = materialize(named.mapInArrow(run, "doc_id long, text_hash long, keys array<long>"), "bands")
+    rows = signed.dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("node"), F.posexplode("keys").alias("band", "key"))
+    crowd = rows.groupBy("band", "key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").drop("last")
+    met = materialize(rows.join(crowd, ["band", "key"]), "met")
+    pairs = materialize(met.filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    edges = materialize(_alike(docs, pairs, shingle, similar), "copies")
+    rooted = materialize(components(edges), "rooted")
+    mine = rooted.select("node", F.col("root").alias("own"))
+    theirs = rooted.select(F.col("node").alias("head"), F.col("root").alias("first"))
+    placed = met.join(mine, "node", "left").join(theirs, "head", "left")
+    placed = placed.select("band", "key", "head", "node", F.coalesce("own", "node").alias("own"), F.coalesce("first", "head").alias("first"))
+    placed = materialize(placed.filter("node != head"), "placed")
+    # Of two texts of a band in different groups one at least is not in its head's.
+    apart = placed.filter("own != first").select("band", "key", F.col("node").alias("other"), F.col("own").alias("theirs"))
+    cross = placed.join(apart, ["band", "key"]).filter("own != theirs")
+    more = materialize(cross.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+    if not more.isEmpty():
+        rooted = materialize(components(edges.unionByName(_alike(docs, more, shingle, similar))), "rooted")
+    whole = signed.select("doc_id", "text_hash").join(rooted.withColumnRenamed("node", "text_hash"), "text_hash", "left")
+    return whole.select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
+
+
+def keep_one(docs: DataFrame, shingle: int = COPY_SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """Of each group of near copies (similar to ``similar`` hundredths or more) the document with the least doc_id, with its own columns.
 
     Null doc_ids come last; rows of one doc_id with other texts are told apart by text hash, the least
     stays; of equal rows one stays. Null and empty texts are one group. Empty table: no rows.
     """
-    groups = materialize(_grouped(docs, shingle, most), "groups")
+    groups = materialize(copies(docs, shingle, similar), "groups")
     name = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
     winners = groups.groupBy("root").agg(F.min(name).alias("w"))
     marked = groups.select("root", "doc_id", "text_hash").join(winners, "root").withColumn("wins", F.col("w") == name)

@@ -1,0 +1,35 @@
+"""The near_dedup stage by brute force over planted near copies."""
+
+import numpy as np
+from test_edges_llm import frame
+
+from cityflux.llm import simhash
+
+
+def test_keep_one_finds_near_copies(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5_000, 300)) for _ in range(30)]
+    for text in texts[:20]:
+        for changed in (1, 3, 6):
+            words = text.split(" ")
+            # Words at the end, side by side: all shingles but changed + 4 at most stay.
+            words[-changed:] = [f"x{x}" for x in rng.integers(0, 10**9, changed)]
+            texts.append(" ".join(words))
+        words = text.split(" ")
+        # Spread changes take five shingles each: similarity 0.85, or with many more below the bound.
+        for step in (60, 12):
+            texts.append(" ".join(f"y{i}" if i % step == step // 2 else w for i, w in enumerate(words)))
+
+    def grams(text):
+        words = text.split(" ")
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    sets = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    kept = {r["doc_id"] for r in simhash.keep_one(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert kept == set(root) and len(set(root)) == 50
