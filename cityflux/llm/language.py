@@ -29,8 +29,10 @@ ORDER = 4
 ALPHABET = 65_536
 UNKNOWN = "und"
 BLOCK_BYTES = 3_000_000
-# Headroom on the largest normalised excess seen in calibration before a text is rejected.
-HEADROOM = 1.5
+# Headroom on the largest normalised excess seen in calibration (counted as this many deviations at least) before a text is rejected.
+HEADROOM, DEVIATIONS = 1.5, 3.0
+# Long documents of a language that only calibrate the rejection.
+LONG_HELD = 16
 _PAD, _END = 1, 2
 
 
@@ -165,9 +167,19 @@ class Identifier:
     languages: list[str]
     models: list[Model]
     usual: np.ndarray
-    excess: np.ndarray
     slope: float
     offset: float
+    # Rejected are texts above usual + times * sqrt(between + noise / characters) + 1 / sqrt(characters).
+    times: float = np.inf
+    between: float = 0.0
+    noise: float = 0.0
+
+    def allowed(self, best: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The largest cross-entropy with which a text of so many characters is taken for its best language."""
+        if np.isinf(self.times):
+            return np.full(len(best), np.inf)
+        chars = np.maximum(chars, 1)
+        return self.usual[best] + self.times * np.sqrt(self.between + self.noise / chars) + 1 / np.sqrt(chars)
 
 
 def _sample(docs: DataFrame, most_docs: int, most_chars: int) -> DataFrame:
@@ -178,15 +190,23 @@ def _sample(docs: DataFrame, most_docs: int, most_chars: int) -> DataFrame:
     ranked = known.select("lang", "text", long_.alias("_long"), F.xxhash64("doc_id", "text").alias("_hash")).withColumn("_rank", F.row_number().over(by))
     few = ranked.filter(F.col("_rank") <= most_docs).withColumn("_chars", F.sum(F.length("text")).over(by.rowsBetween(W.unboundedPreceding, 0)))
     kept = few.filter((F.col("_chars") <= most_chars) | (F.col("_rank") == 1))
-    return kept.select("lang", "text", ((F.col("_rank") % 4 == 0) & (F.col("_rank") > 1)).alias("held"))
+    return kept.select("lang", "text", ((F.col("_rank") % 4 == 0) & (F.col("_rank") > 1)).alias("held"), "_hash")
+
+
+def _long_held(docs: DataFrame, sample: DataFrame, most_chars: int, long_held: int) -> DataFrame:
+    """lang, text: of each language's long documents those of greatest hash, without any that teaches."""
+    known = docs.filter(F.col("lang").isNotNull() & learns(F.col("doc_id")) & (F.length("text") > most_chars // 10) & F.col("text").rlike(r"\p{L}"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.col("_hash").desc()))
+    last = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("_hash")).withColumn("_rank", rank).filter(F.col("_rank") <= long_held)
+    return last.join(sample.select("_hash"), "_hash", "left_anti").select("lang", "text")
 
 
-def fit(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> Identifier:
+def fit(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS, long_held: int = 0) -> Identifier:
     """Learn from (doc_id, text, lang): only rows with text, a language, and a doc_id that is not held out.
 
     Per language at most ``most_docs`` documents of together ``most_chars`` characters, chosen by hash, every
-    fourth of them for calibration; a language's first is taken however long. Models travel through the
-    driver: their size is bounded by the sample's.
+    fourth of them for calibration; a language's first is taken however long. Up to ``long_held`` long documents
+    more of each calibrate the rejection alone. Models travel through the driver: their size is bounded by the sample's.
     """
     sample = materialize(_sample(docs, most_docs, most_chars), "languages")
 
@@ -198,25 +218,44 @@ def fit(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_chars: int = SAMPLE_
 
     rows = sorted(sample.filter("not held").groupBy("lang").applyInPandas(learn, "lang string, model array<binary>").collect())
     languages, models = [r["lang"] for r in rows], [Model.unpack([bytes(b) for b in r["model"]]) for r in rows]
-    found = Identifier(languages, models, np.zeros(len(rows)), np.full(len(rows), np.inf), 1.0, 0.0)
+    found = Identifier(languages, models, np.zeros(len(rows)), 1.0, 0.0)
+
+    def told(texts: DataFrame) -> pd.DataFrame:
+        scored = _scored(texts.select(F.lit(None).cast("long").alias("doc_id"), "text", "lang"), found, ["lang"]).collect()
+        return pd.DataFrame([r.asDict() for r in scored], columns=["lang", "best", "entropy", "margin", "chars"])
+
     if len(rows):
-        held = _scored(sample.filter("held").select(F.lit(None).cast("long").alias("doc_id"), "text", "lang"), found, ["lang"]).collect()
-        _calibrate(found, pd.DataFrame([r.asDict() for r in held], columns=["lang", "best", "entropy", "margin", "chars"]))
+        held = told(sample.filter("held"))
+        _calibrate(found, held)
+        _bound(found, pd.concat([held, told(_long_held(docs, sample, most_chars, long_held))]) if long_held else held)
     return found
 
 
+def _bound(found: Identifier, held: pd.DataFrame) -> None:
+    """Usual entropy per language, and the spread of all about it: between documents, and noise that falls with length."""
+    names = np.array([*found.languages, None], object)
+    own = held[(held["chars"] > 0) & (held["lang"].to_numpy() == names[held["best"].to_numpy(int)])].astype({"best": int})
+    if len(own) < 5:
+        return
+    found.usual[:] = own["entropy"].mean()
+    spread = []
+    for i, rows in own.groupby("best"):
+        if len(rows) >= 5:
+            found.usual[i] = rows["entropy"].mean()
+            spread.append(rows)
+    # Languages with few held documents take the usual entropy, and the spread about it, of all.
+    own = pd.concat(spread) if len(spread) == own["best"].nunique() else own
+    over, chars = own["entropy"].to_numpy() - found.usual[own["best"]], own["chars"].to_numpy(float)
+    # The longer half has least noise: what it shows is the spread between documents, which no length takes away.
+    found.between = float((over[chars >= np.median(chars)] ** 2).mean())
+    found.noise = float((over**2 * chars).mean())
+    scale = np.sqrt(found.between + found.noise / chars)
+    found.times = HEADROOM * max(DEVIATIONS, float((over / np.maximum(scale, 1e-12)).max()))
+
+
 def _calibrate(found: Identifier, held: pd.DataFrame) -> None:
-    """Usual entropy per language and largest excess of any; slope and offset of the logistic curve from margin to score."""
+    """Slope and offset of the logistic curve from margin to score."""
     held = held[held["chars"] > 0]
-    most, calibrated = 0.0, []
-    for i, language in enumerate(found.languages):
-        own = held[(held["lang"] == language) & (held["best"] == i)]
-        if len(own) >= 5:
-            found.usual[i] = own["entropy"].mean()
-            most = max(most, ((own["entropy"] - found.usual[i]) * np.sqrt(own["chars"])).max())
-            calibrated.append(i)
-    # One bound for all languages: a language with few held documents would get too tight a one of its own.
-    found.excess[calibrated] = HEADROOM * most + 1.0
     x = (held["margin"] * np.sqrt(held["chars"])).to_numpy(float)
     y = (held["lang"].to_numpy() == np.array([*found.languages, None], object)[held["best"].to_numpy(int)]).astype(float)
     if not len(x):
@@ -290,9 +329,9 @@ def keep_identified(docs: DataFrame, found: Identifier | None = None) -> DataFra
     """The documents whose language is found, with their columns: those rejected go.
 
     Rejected: a null text, one without a letter, and one whose cross-entropy exceeds its language's usual one by more
-    than calibration allows for its length. If nothing is learned nothing is rejected. Empty table: no rows.
+    than documents differ and its length explains. If nothing is learned nothing is rejected. Empty table: no rows.
     """
-    found = found or fit(docs)
+    found = found or fit(docs, long_held=LONG_HELD)
     if not found.models:
         return docs
     columns, schema = docs.columns, docs.schema
@@ -302,7 +341,7 @@ def keep_identified(docs: DataFrame, found: Identifier | None = None) -> DataFra
         for batch in batches:
             for part in chunks(pa.RecordBatch.from_arrays(batch.columns, names=[str(i) for i in range(len(columns))]), str(at), BLOCK_BYTES):
                 best, entropy, _, chars = _best(part.column(at), found)
-                fine = (chars > 0) & ((entropy - found.usual[best]) * np.sqrt(chars) <= found.excess[best])
+                fine = (chars > 0) & (entropy <= found.allowed(best, chars))
                 yield pa.RecordBatch.from_arrays(part.filter(pa.array(fine)).columns, names=batch.schema.names)
 
     return docs.mapInArrow(run, schema)
