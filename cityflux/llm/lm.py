@@ -10,6 +10,7 @@ the state through the whole document, many documents in step.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,6 +44,24 @@ END = ""
 # --- the network ----------------------------------------------------------------------------
 
 
+def _streams(texts: list[np.ndarray], streams: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Targets (time by stream, the longest stream first, filled up with ends) and which of them are real.
+
+    Each text goes to the stream that is shortest so far, as if it were refilled when its text ends.
+    """
+    waiting, dealt = [(0, k) for k in range(streams)], [[] for _ in range(streams)]
+    for text in texts:
+        size, k = heapq.heappop(waiting)
+        dealt[k].append(text)
+        heapq.heappush(waiting, (size + len(text), k))
+    held = sorted((np.concatenate(x) for x in dealt), key=len, reverse=True)
+    sizes = np.array([len(x) for x in held])
+    targets = np.full((sizes[0], streams), end, held[0].dtype)
+    for k, x in enumerate(held):
+        targets[: len(x), k] = x
+    return targets, np.arange(sizes[0])[:, None] < sizes
+
+
 @dataclass
 class Network:
     """Weights by name; tokens are numbered so that a class is a run of them: [bounds[k], bounds[k + 1])."""
@@ -101,11 +120,13 @@ class Network:
             out[rows] = logits[rows, k] - norm[rows] + inside
         return out
 
-    def gradients(self, h: np.ndarray, tokens: np.ndarray, targets: np.ndarray, fresh: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+    def gradients(self, h: np.ndarray, tokens: np.ndarray, targets: np.ndarray, fresh: np.ndarray, real: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Gradients over one window (time by stream) from state h, the last state, and the mean log probability.
 
-        ``fresh`` marks where a stream begins a new text: its state starts from zero there.
+        ``fresh`` marks where a stream begins a new text: its state starts from zero there. Targets that are not
+        ``real`` stand after a stream's end and count for nothing.
         """
+        counts = np.ones(targets.size, bool) if real is None else real.ravel()
         steps, states, before = [], [], []
         for t in range(len(tokens)):
             h = h * ~fresh[t][:, None]
@@ -119,11 +140,15 @@ class Network:
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         owner = np.searchsorted(self.bounds, aims, side="right") - 1
-        total = np.log(p[np.arange(len(aims)), owner] + 1e-30).sum()
+        total = np.log(p[np.arange(len(aims)), owner] + 1e-30)[counts].sum()
         p[np.arange(len(aims)), owner] -= 1
+        p[~counts] = 0
         g["classes"], g["class_bias"] = flat.T @ p, p.sum(0)
         back = p @ self.w["classes"].T
         for k, rows in self._by_class(aims):
+            rows = rows[counts[rows]]
+            if not len(rows):
+                continue
             a, b = self.bounds[k], self.bounds[k + 1]
             own = flat[rows] @ self.w["words"][a:b].T + self.w["word_bias"][a:b]
             q = np.exp(own - own.max(1, keepdims=True))
@@ -147,25 +172,33 @@ class Network:
             np.add.at(g["into"], tokens[t], into)
             g["loop"] += before[t].T @ looped
             carried = (d * (1 - z) + looped @ self.w["loop"].T) * ~fresh[t][:, None]
-        return {name: v / len(aims) for name, v in g.items()}, h, float(total) / len(aims)
+        many = max(1, int(counts.sum()))
+        return {name: v / many for name, v in g.items()}, h, float(total) / many
 
     def fit(self, texts: list[np.ndarray], streams: int = STREAMS, window: int = WINDOW, rate: float = RATE) -> list[float]:
-        """One pass over the texts (each ends with the end token) by Adam; the mean log probability of each window."""
-        streams = max(1, min(streams, len(texts)))
-        held = [np.concatenate(texts[k::streams]) for k in range(streams)]
-        length = min(map(len, held))
-        targets = np.stack([x[:length] for x in held], 1)
+        """One pass over the texts (each ends with the end token) by Adam; the mean log probability of each window.
+
+        Every token is a target once. A stream that ends its text goes on with the next text; when none is left
+        it ends, and the others go on.
+        """
+        targets, real = _streams(texts, max(1, min(streams, len(texts))), self.end)
+        length, streams = targets.shape
         tokens = np.vstack((np.full((1, streams), self.end, targets.dtype), targets[:-1]))
         fresh = tokens == self.end
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         h, said = np.zeros((streams, self.hidden), np.float32), []
         for n, t in enumerate(range(0, length, window), 1):
-            g, h, mean = self.gradients(h, tokens[t : t + window], targets[t : t + window], fresh[t : t + window])
+            # Streams end from the right: those that have no target left in the window are cut off.
+            live = int(real[t].sum())
+            h, cut = h[:live], np.s_[t : t + window, :live]
+            g, h, mean = self.gradients(h, tokens[cut], targets[cut], fresh[cut], real[cut])
             said.append(mean)
+            # Few live streams make a rough gradient: their steps are smaller.
+            share = np.sqrt(live / streams)
             for name, v in g.items():
                 first[name] = 0.9 * first[name] + 0.1 * v
                 second[name] = 0.99 * second[name] + 0.01 * v * v
-                self.w[name] -= (rate * first[name] / (1 - 0.9**n) / (np.sqrt(second[name] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
+                self.w[name] -= (share * rate * first[name] / (1 - 0.9**n) / (np.sqrt(second[name] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
         return said
 
     def score(self, flat: np.ndarray, first: np.ndarray, window: int = 32) -> np.ndarray:
