@@ -33,8 +33,10 @@ HEAD, HEAD_BYTES = 300_000, 64
 # Tokens of the recurrent model: commonest words with the end of a text, and suffix buckets.
 VOCABULARY, BUCKETS = 1_024, 64
 HIDDEN, CLASSES = 16, 32
-# Learning: documents looked at (about), their greatest length, shards learning side by side, rounds of averaging.
-FIT_DOCS, FIT_CHARS, SHARDS, ROUNDS = 1_200, 20_000, 6, 5
+# Learning: rounds of averaging; every training document is in one round at least, in all while there are at most FEW_DOCS.
+ROUNDS, FEW_DOCS = 5, 1_200
+# Shards learning side by side: at least so many, and as many as keep each at about so many documents and characters.
+SHARDS, SHARD_DOCS, SHARD_CHARS = 6, 200, 2_000_000
 STREAMS, WINDOW, RATE = 32, 24, 0.01
 BLOCK_BYTES = 12_000_000
 # The end of a text in tables of words: no word is empty.
@@ -160,7 +162,7 @@ class Network:
             g["word_bias"][a:b] += q.sum(0)
             back[rows] += q @ self.w["words"][a:b]
         back = back.reshape(len(tokens), -1, self.hidden)
-        carried = np.zeros_like(h)
+        carried, inputs = np.zeros_like(h), np.empty((*tokens.shape, 3 * self.hidden), back.dtype)
         for t in range(len(tokens) - 1, -1, -1):
             z, r, c, u = steps[t]
             d = back[t] + carried
@@ -169,9 +171,12 @@ class Network:
             dr = dc * u * r * (1 - r)
             into = np.hstack((dz, dr, dc))
             looped = np.hstack((dz, dr, dc * r))
-            np.add.at(g["into"], tokens[t], into)
+            inputs[t] = into
             g["loop"] += before[t].T @ looped
             carried = (d * (1 - z) + looped @ self.w["loop"].T) * ~fresh[t][:, None]
+        order = np.argsort(tokens.ravel(), kind="stable")
+        met, runs = np.unique(tokens.ravel()[order], return_index=True)
+        g["into"][met] = np.add.reduceat(inputs.reshape(tokens.size, -1)[order], runs)
         many = max(1, int(counts.sum()))
         return {name: v / many for name, v in g.items()}, h, float(total) / many
 
@@ -318,32 +323,53 @@ def _scorer(counts: DataFrame) -> tuple[Scorer, int, int]:
     return Scorer(words, c, token, number[1 + len(inside) :], np.log10(bucket_sum + bucket_words + 1), network), int(total), int(distinct)
 
 
-def _train(docs: DataFrame, scorer: Scorer, taught: int) -> None:
-    """Rounds of learning in shards from common weights, which are then averaged; weights, never texts, reach the driver."""
-    step = max(1, taught // FIT_DOCS)
+def _summed(frame: pd.DataFrame) -> pd.DataFrame:
+    """Weights of several shards as one row: their sums, each times its tokens, and the tokens."""
+    lists = [[np.frombuffer(b, np.float64) for b in row] for row in frame["w"]]
+    return pd.DataFrame({"w": [[sum(own).tobytes() for own in zip(*lists)]], "n": [int(frame["n"].sum())]})
+
+
+def _dealt(docs: DataFrame, taught: int) -> tuple[DataFrame, int, int]:
+    """The training documents (shard, part: which rounds take it, h, text), the number of parts and of shards."""
     hashed = F.xxhash64("doc_id", "text")
-    fine = learns(F.col("doc_id"), MODULUS) & F.col("text").isNotNull() & (F.length("text") <= FIT_CHARS) & (F.pmod(hashed, F.lit(step)) == 0)
-    shard = F.pmod(F.shiftright(hashed, 20), F.lit(SHARDS)).cast("int")
-    sample = materialize(docs.filter(fine).select(shard.alias("shard"), hashed.alias("h"), "text"), "lm-sample")
+    texts = docs.filter(learns(F.col("doc_id"), MODULUS) & F.col("text").isNotNull())
+    parts = min(ROUNDS, max(1, -(-taught // FEW_DOCS)))
+    characters = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(SHARDS, -(-taught // (parts * SHARD_DOCS)), -(-characters // (parts * SHARD_CHARS)))
+    shard = F.pmod(F.shiftright(hashed, 20), F.lit(shards))
+    return texts.select(shard.alias("shard"), F.pmod(hashed, F.lit(parts)).alias("part"), hashed.alias("h"), "text"), parts, shards
+
+
+def _train(docs: DataFrame, scorer: Scorer, taught: int) -> None:
+    """Rounds of learning in shards from common weights, which are then averaged; weights, never texts, reach the driver.
+
+    Of many documents each round takes its own part, so that together the rounds take all, whole; of few each takes
+    all. Shards are bounded and grow in number with the documents; averages are formed in Spark, and the driver gets
+    about as many rows as the root of the number of shards.
+    """
+    dealt, parts, shards = _dealt(docs, taught)
+    fan = int(np.ceil(np.sqrt(shards)))
     names = list(scorer.network.w)
 
     def learner(turn: int):
         def learn(frame: pd.DataFrame) -> pd.DataFrame:
             flat, starts, *_ = scorer.encode(pa.array(frame.sort_values("h")["text"], pa.string()))
-            texts = np.split(flat, starts[1:-1])
+            own = np.split(flat, starts[1:-1])
             mine = Network({k: v.copy() for k, v in scorer.network.w.items()}, scorer.network.bounds)
-            mine.fit(texts[turn % len(texts) :] + texts[: turn % len(texts)], rate=RATE / (1 + turn))
-            return pd.DataFrame({"w": [[mine.w[k].tobytes() for k in names]], "n": [len(flat)]})
+            mine.fit(own[turn % len(own) :] + own[: turn % len(own)], rate=RATE / (1 + turn))
+            weights = [(mine.w[k].astype(np.float64) * len(flat)).tobytes() for k in names]
+            return pd.DataFrame({"branch": [int(frame["shard"].iloc[0]) % fan], "w": [weights], "n": [len(flat)]})
 
         return learn
 
     for turn in range(ROUNDS):
-        told = sample.groupBy("shard").applyInPandas(learner(turn), "w array<binary>, n long").collect()
+        learned = dealt.filter(F.col("part") == turn % parts).groupBy("shard").applyInPandas(learner(turn), "branch int, w array<binary>, n long")
+        told = learned.groupBy("branch").applyInPandas(_summed, "w array<binary>, n long").collect()
         if told:
-            weight = np.array([r["n"] for r in told], float) / sum(r["n"] for r in told)
+            whole = sum(r["n"] for r in told)
             for i, k in enumerate(names):
                 shape = scorer.network.w[k].shape
-                scorer.network.w[k] = sum(p * np.frombuffer(r["w"][i], np.float32) for p, r in zip(weight, told)).astype(np.float32).reshape(shape)
+                scorer.network.w[k] = (sum(np.frombuffer(r["w"][i], np.float64) for r in told) / whole).astype(np.float32).reshape(shape)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -351,8 +377,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     Null and empty texts are the end token alone. A null doc_id is held out. Repeated rows are scored each, and
     count as often in training. Without training documents all counts are zero and the network keeps its start. Empty
-    table: no rows. Other columns are left out. Learning of the network's weights reads about ``FIT_DOCS`` documents of
-    at most ``FIT_CHARS`` characters, chosen by hash; counts, tokens, buckets and scores cover all documents.
+    table: no rows. Other columns are left out. Learning, counts, tokens, buckets and scores cover all documents.
     """
     counts = materialize(word_counts(docs), "counts")
     scorer, total, distinct = _scorer(counts)
