@@ -1,7 +1,7 @@
 """URL filters: listed rules by host and path, then rules mined from labelled URLs.
 
 For URLs that no listed rule fits, FP-growth finds combinations of URL tokens that go with bad labels;
-those with enough support and confidence are kept, smallest first (a rule whose part is a rule adds nothing),
+those with enough bad pages and confidence are kept, smallest first (a rule whose part is a rule adds nothing),
 and are looked up through an inverted index: each is posted under its rarest token, so a page meets only
 rules of which it has that token, and then must have the rest.
 """
@@ -24,10 +24,9 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-# Share of labelled URLs a combination must be in with a bad label, how many at least, and what share of those it is in must be bad.
-SUPPORT, PAGES = 0.005, 25
+# Bad pages a combination must be in, whatever the size of the crawl, and what share of those it is in must be bad.
+PAGES = 25
 CONFIDENCE = 0.7
-_BAD = "label=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,27 +66,33 @@ def tokens(url: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Rules (rule: sorted tokens, support, confidence) from rows (url, bad); smallest combinations only.
+def mine(labelled: DataFrame, least: int = PAGES, confidence: float = CONFIDENCE) -> DataFrame:
+    """Rules (rule: sorted tokens, confidence, support) from rows (url, bad); smallest combinations only.
 
-    Null urls and null labels teach nothing. With fewer than ``PAGES`` labelled rows there are no rules.
+    Null urls and null labels teach nothing. A rule is in ``least`` bad pages or more. Tokens that are rules alone are
+    found by counting; FP-growth then works on the bad pages alone, without these tokens and those of fewer pages.
     """
     empty = labelled.sparkSession.createDataFrame([], "rule array<string>, confidence double, support double")
     known = labelled.filter(F.col("url").isNotNull() & F.col("bad").isNotNull())
-    # A token below the support can be in no rule: numbers of single pages go before the mining.
-    taken = materialize(known.select(tokens(F.col("url")).alias("t"), "bad"), "url-tokens")
-    rows = taken.count()
-    if rows < PAGES:
+    taken = materialize(known.select(F.monotonically_increasing_id().alias("row"), tokens(F.col("url")).alias("t"), "bad"), "url-tokens")
+    rows, bad_rows = taken.agg(F.count("*"), F.count_if("bad")).first()
+    if bad_rows < least:
         return empty
-    support = max(support, PAGES / rows)
-    often = taken.select(F.explode("t").alias("token")).groupBy("token").count().filter(F.col("count") >= support * rows)
-    # At most 1 / support tokens per token of a URL: a bounded list.
-    kept = [r["token"] for r in often.select("token").collect()]
-    items = F.filter("t", lambda x: x.isin(kept)) if kept else F.array().cast("array<string>")
-    baskets = taken.select(F.concat(items, F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    bad = model.associationRules.filter(F.col("consequent") == F.array(F.lit(_BAD)))
-    rules = materialize(bad.select(F.sort_array("antecedent").alias("rule"), "confidence", "support"), "url-rules")
+    counted = taken.select("bad", F.explode("t").alias("token")).groupBy("token").agg(F.count_if("bad").alias("n_bad"), F.count("*").alias("n"))
+    often = materialize(counted.filter(F.col("n_bad") >= least), "url-often")
+    alone = F.col("n_bad") >= confidence * F.col("n")
+    single = often.filter(alone).select(F.array("token").alias("rule"), "n_bad", "n")
+    rest = measured_side(often.filter(~alone).select("token"), "url-rest")
+    baskets = taken.filter("bad").select("row", F.explode("t").alias("token")).join(rest, "token").groupBy("row").agg(F.collect_list("token").alias("items"))
+    baskets = materialize(baskets, "url-baskets")
+    # Half a page less: the share times the rows must not come out above the bound.
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / max(baskets.count(), least)).fit(baskets)
+    several = model.freqItemsets.filter((F.size("items") > 1) & (F.col("freq") >= least)).select(F.sort_array("items").alias("rule"), F.col("freq").alias("n_bad"))
+    several = materialize(several, "url-sets")
+    total = met(taken, several).groupBy("rule").agg(F.count("*").alias("n"))
+    several = several.join(total, "rule").filter(F.col("n_bad") >= confidence * F.col("n"))
+    found = single.unionByName(several.select("rule", "n_bad", "n"))
+    rules = materialize(found.select("rule", (F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / rows).alias("support")), "url-rules")
     small, large = rules.alias("s"), rules.alias("l")
     # Parts of a rule that are rules: look each up among the sets of the rule's tokens less one or more.
     part = F.explode(F.filter(_subsets(F.col("l.rule")), lambda x: F.size(x) < F.size("l.rule")))
@@ -95,6 +100,15 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     return large.join(beaten, "rule", "left_anti")
 
 
+def met(taken: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows of ``taken`` (t: tokens) with each ``rule`` that fits, looked up under the rule's rarest token."""
+    counts = taken.select(F.explode("t").alias("token")).join(measured_side(rules.select(F.explode("rule").alias("token")).distinct(), "rule-tokens"), "token").groupBy("token").count()
+    entries = rules.select("rule", F.explode("rule").alias("token")).join(counts, "token")
+    index = entries.groupBy("rule").agg(F.min_by("token", F.struct("count", "token")).alias("token")).select("rule", "token")
+    found = taken.select("*", F.explode("t").alias("token")).join(measured_side(index, "rule-index"), "token")
+    return found.filter(F.forall("rule", lambda x: F.array_contains(F.col("t"), x)))
+
+
 def _subsets(items: Column) -> Column:
     """All non-empty subsets of a short sorted array, each sorted."""
     start = F.array(F.array().cast("array<string>"))
@@ -103,15 +117,10 @@ def _subsets(items: Column) -> Column:
 
 def matched(pages: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """Distinct ``key`` of pages (key, url) that some mined rule fits."""
-    taken = pages.select(key, tokens(F.col("url")).alias("t"))
-    counts = taken.select(F.explode("t").alias("token")).join(measured_side(rules.select(F.explode("rule").alias("token")).distinct(), "rule-tokens"), "token").groupBy("token").count()
-    entries = rules.select("rule", F.explode("rule").alias("token")).join(counts, "token")
-    index = entries.groupBy("rule").agg(F.min_by("token", F.struct("count", "token")).alias("token")).select("rule", "token")
-    met = taken.select(key, "t", F.explode("t").alias("token")).join(measured_side(index, "rule-index"), "token")
-    return met.filter(F.forall("rule", lambda x: F.array_contains(F.col("t"), x))).select(key).distinct()
+    return met(pages.select(key, tokens(F.col("url")).alias("t")), rules).select(key).distinct()
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]] = RULES, least: int = PAGES, confidence: float = CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict of every page.
 
     ``labelled`` has rows (url, bad). A null url, or one without ://, has an empty host and path, fits no
@@ -120,7 +129,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str
     """
     # Urls repeat; each distinct one is looked up once and joined back.
     named = pages.select("page_id", "url", F.xxhash64("url").alias("_url"))
-    mined = measured_side(mine(labelled, support, confidence), "mined")
+    mined = measured_side(mine(labelled, least, confidence), "mined")
     host, path = F.col("host"), F.col("path")
     rule, verdict = listed(host, path, rules)
     split = named.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
