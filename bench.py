@@ -22,7 +22,7 @@ HEADLINE = [
     "impute_mean", "engineer_features", "rolling_means_items", "scale_standard", "time_split", "sequences",
     "preprocess_full", "summary_statistics", "location_stats", "hourly_pattern", "correlation_matrix",
     "anomalies_iqr", "key_findings", "regression_metrics", "classification_report", "roc_auc_ovr",
-    "residual_histogram", "forecast_fit", "forecast", "aqi_forest", "traffic_forest", "stream_hourly", "stream_5min",
+    "residual_histogram", "forecast_fit", "forecast", "stream_hourly", "stream_5min",
 ]
 
 

@@ -1,4 +1,4 @@
-"""Models, forecasts and whole runs. Trees are kept small here; the settings of record are in the library."""
+"""Models, forecasts and whole runs, at the library's settings of record; the one-split twins have closed forms in SQL."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from cityflux.plans.scratch import fresh_path, materialize, spread
 from cityflux.registry.base import query, readings
 
 _SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
-_SMALL_BOOST = {"maxIter": 5, "maxDepth": 4}
 
 
 def _prepared(spark, sf, target):
@@ -33,12 +32,12 @@ def _metrics(spark, sf, target, kind, **settings):
 
 @query("aqi_forest")
 def aqi_forest(spark, sf):
-    return _metrics(spark, sf, "aqi_value", "random_forest", **_SMALL_FOREST)
+    return _metrics(spark, sf, "aqi_value", "random_forest")
 
 
 @query("aqi_gbt")
 def aqi_gbt(spark, sf):
-    return _metrics(spark, sf, "aqi_value", "gradient_boosting", **_SMALL_BOOST)
+    return _metrics(spark, sf, "aqi_value", "gradient_boosting")
 
 
 @query("aqi_ridge")
@@ -48,12 +47,12 @@ def aqi_ridge(spark, sf):
 
 @query("traffic_forest")
 def traffic_forest(spark, sf):
-    return _metrics(spark, sf, "traffic_level", "random_forest", **_SMALL_FOREST)
+    return _metrics(spark, sf, "traffic_level", "random_forest")
 
 
 @query("traffic_boosted")
 def traffic_boosted(spark, sf):
-    return _metrics(spark, sf, "traffic_level", "gradient_boosting", maxIter=2, maxDepth=3)
+    return _metrics(spark, sf, "traffic_level", "gradient_boosting")
 
 
 @query("feature_importance")
@@ -90,8 +89,7 @@ def model_roundtrip(spark, sf):
 @query("grid_search")
 def grid_search(spark, sf):
     head = _parts(_prepared(spark, sf, "aqi_value"))[0]
-    grid = {"numTrees": [3, 6], "maxDepth": [3], "minInstancesPerNode": [1, 5]}
-    _, scores = models.grid_search(head, "aqi_value", "random_forest", grid, featureSubsetStrategy="all")
+    _, scores = models.grid_search(head, "aqi_value", "random_forest", models.FOREST_GRID)
     return scores.select(F.to_json("settings").alias("settings"), "mse")
 
 
@@ -104,7 +102,7 @@ def cross_validate(spark, sf):
 @query("cross_validate_classes")
 def cross_validate_classes(spark, sf):
     rows = _prepared(spark, sf, "traffic_level").drop("split")
-    scores = models.cross_validate(rows, "traffic_level", "random_forest", folds=3, numTrees=5, maxDepth=4)
+    scores = models.cross_validate(rows, "traffic_level", "random_forest")
     return models.cv_summary(scores)
 
 
@@ -212,12 +210,11 @@ def train_report_one_feature(spark, sf):
 
 @query("analysis_run")
 def analysis_run(spark, sf):
-    """P5 with small trees: the test metrics of both models after the whole run."""
+    """P5: the test metrics of both models after the whole run."""
     from cityflux.registry.base import AS_OF, dirty_readings
     from cityflux.runs.analysis import run_analysis
 
-    settings = {"aqi_value": _SMALL_FOREST, "traffic_level": _SMALL_FOREST}
-    done = run_analysis(dirty_readings(spark, sf), fresh_path(spark, "run"), AS_OF, settings=settings)
+    done = run_analysis(dirty_readings(spark, sf), fresh_path(spark, "run"), AS_OF)
     parts = [m.select(F.lit(name).alias("model"), "metric", "value") for name, m in done.metrics.items()]
     return parts[0].unionByName(parts[1])
 
