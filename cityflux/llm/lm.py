@@ -33,12 +33,13 @@ HEAD, HEAD_BYTES = 300_000, 64
 # Tokens of the recurrent model: commonest words with the end of a text, and suffix buckets.
 VOCABULARY, BUCKETS = 1_024, 64
 HIDDEN, CLASSES = 16, 32
-# Learning: rounds of averaging; every training document is in one round at least, in all while there are at most FEW_DOCS.
-ROUNDS, FEW_DOCS = 5, 1_200
-# Shards learning side by side: at least so many, and as many as keep each at about so many documents and characters.
-SHARDS, SHARD_DOCS, SHARD_CHARS = 6, 200, 2_000_000
-STREAMS, WINDOW, RATE = 32, 24, 0.01
-BLOCK_BYTES = 12_000_000
+# Learning: in a pass the training documents are dealt over so many rounds, each document whole in one of them; after a round weights are averaged.
+PASSES, ROUNDS = 1, 3
+# Shards learning side by side hold about so many tokens. A shard is read by as many streams as make about STEPS windows, STREAMS at most.
+SHARD_TOKENS, STEPS, STREAMS, WINDOW = 2_500_000, 160, 512, 24
+RATE, DECAY = 0.04, 0.9
+# Bytes of text, and of tokens (two each), that a worker holds at a time.
+BLOCK_BYTES, TOKEN_BYTES = 12_000_000, 6_000_000
 # The end of a text in tables of words: no word is empty.
 END = ""
 
@@ -49,8 +50,11 @@ END = ""
 def _streams(texts: list[np.ndarray], streams: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Targets (time by stream, the longest stream first, filled up with ends) and which of them are real.
 
-    Each text goes to the stream that is shortest so far, as if it were refilled when its text ends.
+    Each text goes to the stream that is shortest so far, as if it were refilled when its text ends. Texts that fill
+    more than a stream's share come first, so that the streams end as close to each other as they can.
     """
+    share = sum(map(len, texts)) / streams
+    texts = sorted(texts, key=lambda x: -len(x) if len(x) > share else 0)
     waiting, dealt = [(0, k) for k in range(streams)], [[] for _ in range(streams)]
     for text in texts:
         size, k = heapq.heappop(waiting)
@@ -129,14 +133,14 @@ class Network:
         ``real`` stand after a stream's end and count for nothing.
         """
         counts = np.ones(targets.size, bool) if real is None else real.ravel()
-        steps, states, before = [], [], []
+        steps, before = [], np.empty((len(tokens), *h.shape), h.dtype)
+        states = np.empty_like(before)
         for t in range(len(tokens)):
-            h = h * ~fresh[t][:, None]
-            before.append(h)
-            h, *kept = self.step(h, tokens[t])
+            before[t] = h * ~fresh[t][:, None]
+            h, *kept = self.step(before[t], tokens[t])
             steps.append(kept)
-            states.append(h)
-        flat, aims = np.concatenate(states), targets.ravel()
+            states[t] = h
+        flat, aims = states.reshape(-1, self.hidden), targets.ravel()
         g = {name: np.zeros_like(v) for name, v in self.w.items()}
         logits = flat @ self.w["classes"] + self.w["class_bias"]
         p = np.exp(logits - logits.max(1, keepdims=True))
@@ -163,24 +167,25 @@ class Network:
             back[rows] += q @ self.w["words"][a:b]
         back = back.reshape(len(tokens), -1, self.hidden)
         carried, inputs = np.zeros_like(h), np.empty((*tokens.shape, 3 * self.hidden), back.dtype)
+        looped, k = np.empty_like(inputs), self.hidden
         for t in range(len(tokens) - 1, -1, -1):
             z, r, c, u = steps[t]
             d = back[t] + carried
             dc = d * z * (1 - c * c)
-            dz = d * (c - before[t]) * z * (1 - z)
-            dr = dc * u * r * (1 - r)
-            into = np.hstack((dz, dr, dc))
-            looped = np.hstack((dz, dr, dc * r))
-            inputs[t] = into
-            g["loop"] += before[t].T @ looped
-            carried = (d * (1 - z) + looped @ self.w["loop"].T) * ~fresh[t][:, None]
+            inputs[t, :, :k] = d * (c - before[t]) * z * (1 - z)
+            inputs[t, :, k : 2 * k] = dc * u * r * (1 - r)
+            inputs[t, :, 2 * k :] = dc
+            looped[t, :, : 2 * k] = inputs[t, :, : 2 * k]
+            looped[t, :, 2 * k :] = dc * r
+            carried = (d * (1 - z) + looped[t] @ self.w["loop"].T) * ~fresh[t][:, None]
+        g["loop"] = before.reshape(-1, k).T @ looped.reshape(-1, 3 * k)
         order = np.argsort(tokens.ravel(), kind="stable")
         met, runs = np.unique(tokens.ravel()[order], return_index=True)
         g["into"][met] = np.add.reduceat(inputs.reshape(tokens.size, -1)[order], runs)
         many = max(1, int(counts.sum()))
         return {name: v / many for name, v in g.items()}, h, float(total) / many
 
-    def fit(self, texts: list[np.ndarray], streams: int = STREAMS, window: int = WINDOW, rate: float = RATE) -> list[float]:
+    def fit(self, texts: list[np.ndarray], streams: int = STREAMS, window: int = WINDOW, rate: float = RATE, decay: float = DECAY) -> list[float]:
         """One pass over the texts (each ends with the end token) by Adam; the mean log probability of each window.
 
         Every token is a target once. A stream that ends its text goes on with the next text; when none is left
@@ -191,15 +196,16 @@ class Network:
         tokens = np.vstack((np.full((1, streams), self.end, targets.dtype), targets[:-1]))
         fresh = tokens == self.end
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
-        h, said = np.zeros((streams, self.hidden), np.float32), []
+        h, said, seen = np.zeros((streams, self.hidden), np.float32), [], 0
         for n, t in enumerate(range(0, length, window), 1):
             # Streams end from the right: those that have no target left in the window are cut off.
             live = int(real[t].sum())
             h, cut = h[:live], np.s_[t : t + window, :live]
             g, h, mean = self.gradients(h, tokens[cut], targets[cut], fresh[cut], real[cut])
             said.append(mean)
-            # Few live streams make a rough gradient: their steps are smaller.
-            share = np.sqrt(live / streams)
+            # Steps get smaller towards the end, and where few live streams make a rough gradient.
+            share = np.sqrt(live / streams) * (1 - decay * seen / real.sum())
+            seen += int(real[t : t + window].sum())
             for name, v in g.items():
                 first[name] = 0.9 * first[name] + 0.1 * v
                 second[name] = 0.99 * second[name] + 0.01 * v * v
@@ -329,62 +335,51 @@ def _summed(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"w": [[sum(own).tobytes() for own in zip(*lists)]], "n": [int(frame["n"].sum())]})
 
 
-def _dealt(docs: DataFrame, taught: int) -> tuple[DataFrame, int, int]:
-    """The training documents (shard, part: which rounds take it, h, text), the number of parts and of shards."""
-    hashed = F.xxhash64("doc_id", "text")
-    texts = docs.filter(learns(F.col("doc_id"), MODULUS) & F.col("text").isNotNull())
-    parts = min(ROUNDS, max(1, -(-taught // FEW_DOCS)))
-    characters = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(SHARDS, -(-taught // (parts * SHARD_DOCS)), -(-characters // (parts * SHARD_CHARS)))
-    shard = F.pmod(F.shiftright(hashed, 20), F.lit(shards))
-    return texts.select(shard.alias("shard"), F.pmod(hashed, F.lit(parts)).alias("part"), hashed.alias("h"), "text"), parts, shards
+def _dealt(encoded: DataFrame) -> tuple[DataFrame, int]:
+    """The training documents as tokens (part: the round that takes it, shard, h), and the number of shards of a round.
+
+    Shards are bounded and grow in number with the tokens.
+    """
+    texts = encoded.filter(learns(F.col("doc_id"), MODULUS) & (F.col("n_tokens") > 1))
+    tokens = texts.agg(F.sum("n_tokens")).first()[0] or 0
+    shards = max(1, -(-tokens // (ROUNDS * SHARD_TOKENS)))
+    h = F.xxhash64("doc_id", "tokens")
+    return texts.select(F.pmod(h, F.lit(ROUNDS)).alias("part"), F.pmod(F.shiftright(h, 20), F.lit(shards)).alias("shard"), h.alias("h"), "tokens"), shards
 
 
-def _train(docs: DataFrame, scorer: Scorer, taught: int) -> None:
+def _train(encoded: DataFrame, scorer: Scorer, passes: int) -> None:
     """Rounds of learning in shards from common weights, which are then averaged; weights, never texts, reach the driver.
 
-    Of many documents each round takes its own part, so that together the rounds take all, whole; of few each takes
-    all. Shards are bounded and grow in number with the documents; averages are formed in Spark, and the driver gets
-    about as many rows as the root of the number of shards.
+    Averages are formed in Spark in two levels, and the driver gets one row.
     """
-    dealt, parts, shards = _dealt(docs, taught)
-    fan = int(np.ceil(np.sqrt(shards)))
-    names = list(scorer.network.w)
+    dealt, shards = _dealt(encoded)
+    fan, names, turns = int(np.ceil(np.sqrt(shards))), list(scorer.network.w), passes * ROUNDS
 
     def learner(turn: int):
         def learn(frame: pd.DataFrame) -> pd.DataFrame:
-            flat, starts, *_ = scorer.encode(pa.array(frame.sort_values("h")["text"], pa.string()))
-            own = np.split(flat, starts[1:-1])
+            own = [np.frombuffer(x, np.uint16).astype(np.int64) for x in frame.sort_values("h")["tokens"]]
+            tokens = sum(map(len, own))
+            streams = int(np.clip(tokens // (WINDOW * STEPS), 8, STREAMS))
             mine = Network({k: v.copy() for k, v in scorer.network.w.items()}, scorer.network.bounds)
-            mine.fit(own[turn % len(own) :] + own[: turn % len(own)], rate=RATE / (1 + turn))
-            weights = [(mine.w[k].astype(np.float64) * len(flat)).tobytes() for k in names]
-            return pd.DataFrame({"branch": [int(frame["shard"].iloc[0]) % fan], "w": [weights], "n": [len(flat)]})
+            mine.fit(own, streams, WINDOW, RATE * (1 - turn / turns), DECAY)
+            weights = [(mine.w[k].astype(np.float64) * tokens).tobytes() for k in names]
+            return pd.DataFrame({"branch": [int(frame["shard"].iloc[0]) % fan], "w": [weights], "n": [tokens]})
 
         return learn
 
-    for turn in range(ROUNDS):
-        learned = dealt.filter(F.col("part") == turn % parts).groupBy("shard").applyInPandas(learner(turn), "branch int, w array<binary>, n long")
-        told = learned.groupBy("branch").applyInPandas(_summed, "w array<binary>, n long").collect()
+    for turn in range(turns):
+        learned = dealt.filter(F.col("part") == turn % ROUNDS).groupBy("shard").applyInPandas(learner(turn), "branch int, w array<binary>, n long")
+        branches = learned.groupBy("branch").applyInPandas(_summed, "w array<binary>, n long")
+        told = branches.groupBy().applyInPandas(_summed, "w array<binary>, n long").first()
         if told:
-            whole = sum(r["n"] for r in told)
             for i, k in enumerate(names):
-                shape = scorer.network.w[k].shape
-                scorer.network.w[k] = (sum(np.frombuffer(r["w"][i], np.float64) for r in told) / whole).astype(np.float32).reshape(shape)
-
+                whole = np.frombuffer(told["w"][i], np.float64) / told["n"]
+                scorer.network.w[k] = whole.astype(np.float32).reshape(scorer.network.w[k].shape)
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole document.
 
-    Null and empty texts are the end token alone. A null doc_id is held out. Repeated rows are scored each, and
-    count as often in training. Without training documents all counts are zero and the network keeps its start. Empty
-    table: no rows. Other columns are left out. Learning, counts, tokens, buckets and scores cover all documents.
-    """
-    counts = materialize(word_counts(docs), "counts")
-    scorer, total, distinct = _scorer(counts)
-    taught = counts.filter(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    _train(docs, scorer, taught)
+def _encoded(docs: DataFrame, scorer: Scorer, ends: int) -> DataFrame:
+    """Every document as tokens (two bytes each, the end last), with what counts of common words say, and its rare words (``tail``)."""
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
-    ends = taught
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
@@ -397,21 +392,51 @@ def score(docs: DataFrame) -> DataFrame:
                 bucketed = held.token[place] < 0
                 base = _sums(np.where(common, logs[place], 0.0)[at], first) + np.log10(ends + 1.0)
                 own = np.where(common & bucketed, logs[place], 0.0) - np.where(bucketed, held.bucket_log[_bucket_of(words)], 0.0)
-                model = held.network.score(flat, starts) / np.log(10) + _sums(own[at], first)
+                share = _sums(own[at], first)
                 known = _sums(common[at].astype(float), first).astype(np.int64) + (ends > 0)
                 rare = ~common[at]
                 of = np.concatenate(([0], np.cumsum(rare)))[first]
                 tail = pa.ListArray.from_arrays(pa.array(of, pa.int32()), words.take(pa.array(at[rare])))
+                cuts = pa.py_buffer((2 * starts).astype(np.int32).tobytes())
+                tokens = pa.Array.from_buffers(pa.binary(), len(part), [None, cuts, pa.py_buffer(flat.astype(np.uint16).tobytes())])
                 ids = pa.array(row + np.arange(len(part)))
                 row += len(part)
-                columns = [ids, part.column("doc_id"), pa.array(np.diff(starts)), pa.array(known), pa.array(base), pa.array(model), tail]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "known", "base", "model", "tail"])
+                columns = [ids, part.column("doc_id"), pa.array(np.diff(starts)), pa.array(known), pa.array(base), pa.array(share), tokens, tail]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "known", "base", "share", "tokens", "tail"])
+
+    schema = "row long, doc_id long, n_tokens long, known long, base double, share double, tokens binary, tail array<string>"
+    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "tokens")
+
 
-    schema = "row long, doc_id long, n_tokens long, known long, base double, model double, tail array<string>"
-    parts = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "scores")
-    rare = parts.select("row", F.explode("tail").alias("word")).join(counts, "word").groupBy("row")
+def score(docs: DataFrame, passes: int = PASSES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole document.
+
+    Null and empty texts are the end token alone. A null doc_id is held out. Repeated rows are scored each, and
+    count as often in training. Without training documents all counts are zero and the network keeps its start. Empty
+    table: no rows. Other columns are left out. Counts, tokens, buckets and scores cover all documents; every pass learns from
+    every token of every training document that has a word.
+    """
+    counts = materialize(word_counts(docs), "counts")
+    scorer, total, distinct = _scorer(counts)
+    ends = counts.filter(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    encoded = _encoded(docs, scorer, ends)
+    _train(encoded, scorer, passes)
+    sent = docs.sparkSession.sparkContext.broadcast(scorer.network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "tokens", TOKEN_BYTES):
+                texts = part.column("tokens")
+                flat = np.frombuffer(b"".join(texts.to_pylist()), np.uint16).astype(np.int64)
+                starts = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy() // 2)))
+                model = sent.value.score(flat, starts) / np.log(10) + part.column("share").to_numpy()
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(model)], names=[*names, "model"])
+
+    names = ["row", "doc_id", "n_tokens", "known", "base"]
+    scored = encoded.select(*names, "share", "tokens").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, model double")
+    rare = encoded.select("row", F.explode("tail").alias("word")).join(counts, "word").groupBy("row")
     found = rare.agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("logs"))
-    both = parts.drop("tail").join(found, "row", "left").na.fill(0, ["more", "logs"])
+    both = scored.join(found, "row", "left").na.fill(0, ["more", "logs"])
     return both.select(
         "doc_id", (~learns(F.col("doc_id"), MODULUS)).alias("held_out"), "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("logs") - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"), (F.col("model") + F.col("logs")).alias("score"),

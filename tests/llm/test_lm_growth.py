@@ -15,13 +15,21 @@ def test_learns_from_long_documents(spark):
     assert held["score"] - held["base_score"] > 0.3 * held["n_tokens"]
 
 
-def test_every_training_document_is_in_a_round(spark):
-    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a "), "id", F.repeat(F.lit(" b"), F.when(F.col("id") % 900 == 0, 30_000).otherwise(3))).alias("text"))
-    taught = docs.filter(language.learns(F.col("doc_id"), lm.MODULUS))
-    dealt, parts, shards = lm._dealt(docs, taught.count())
+def test_every_training_document_is_in_a_round(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 5_000)
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a "), "id", F.repeat(F.lit(" b"), F.when(F.col("id") % 900 == 0, 3_000).otherwise(3))).alias("text"))
+    counts = lm.word_counts(docs)
+    scorer, *_ = lm._scorer(lm.materialize(counts, "counts"))
+    encoded = lm._encoded(docs, scorer, 1)
+    taught = encoded.filter(language.learns(F.col("doc_id"), lm.MODULUS))
+    dealt, shards = lm._dealt(encoded)
     rows = dealt.collect()
-    assert Counter(r["text"] for r in rows) == Counter(r["text"] for r in taught.collect())
-    assert parts == lm.ROUNDS and {r["part"] for r in rows} == set(range(parts))
-    # Shards stay about as large as documents grow in number.
-    assert max(Counter((r["part"], r["shard"]) for r in rows).values()) <= 1.5 * lm.SHARD_DOCS
-    assert lm._dealt(docs, 10 * taught.count())[2] > 5 * shards
+    assert Counter(bytes(r["tokens"]) for r in rows) == Counter(bytes(r["tokens"]) for r in taught.collect())
+    assert {r["part"] for r in rows} == set(range(lm.ROUNDS))
+    # Shards stay about as large as tokens grow in number.
+    sizes = Counter()
+    for r in rows:
+        sizes[r["part"], r["shard"]] += len(r["tokens"]) // 2
+    assert shards >= 4 and max(sizes.values()) <= 2 * lm.SHARD_TOKENS + 3_003
+    assert lm._dealt(encoded.unionByName(encoded))[1] >= 2 * shards - 1
+    assert sum(sizes.values()) == taught.agg(F.sum("n_tokens")).first()[0]
