@@ -6,12 +6,14 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import partial
+from itertools import product
+from math import ceil, sqrt
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityflux.operators import evaluation as ev
+from cityflux.operators import trees
 from cityflux.operators.features import feature_names
 from cityflux.operators.splits import contiguous_folds
-from cityflux.plans.scratch import materialize
+from cityflux.plans.scratch import exists, materialize
 from cityflux.plans.series import with_position
 
 # --- fixed values: model settings -------------------------------------------------------------
@@ -31,7 +34,7 @@ FOREST = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 2, "featureSub
 BOOSTED = {"maxIter": 100, "maxDepth": 8, "stepSize": 0.1, "seed": 42}
 RIDGE_ALPHA = 1.0
 CLASS_FOREST = {"numTrees": 100, "maxDepth": 15, "featureSubsetStrategy": "sqrt", "seed": 42}
-FOREST_GRID = {"numTrees": [50, 100, 200], "maxDepth": [10, 15, 20], "minInstancesPerNode": [1, 2, 5]}
+FOREST_GRID = {"numTrees": [50, 100, 200], "maxDepth": [10, 15, 20], "minSamplesSplit": [2, 5, 10]}
 BOOSTED_GRID = {"maxIter": [50, 100, 200], "maxDepth": [5, 8, 10], "stepSize": [0.01, 0.1, 0.2]}
 GRID_FOLDS = 3
 LEVELS = [1, 2, 3, 4, 5]
@@ -42,6 +45,7 @@ TREE_MEMORY = {"maxMemoryInMB": 1024}
 
 AQI_KINDS = ("random_forest", "gradient_boosting", "xgboost", "linear")
 TRAFFIC_KINDS = ("random_forest", "gradient_boosting", "xgboost")
+BOOSTED_KINDS = ("gradient_boosting", "xgboost")
 
 
 def ridge_setup(df: DataFrame, target: str, names: list[str], alpha: float = RIDGE_ALPHA) -> tuple[float, list[str]]:
@@ -67,12 +71,9 @@ def aqi_estimator(kind: str, target: str = "aqi_value", **settings) -> Estimator
 
 
 def traffic_estimator(kind: str, **settings) -> Estimator:
-    """M5: classifier by kind over label = level - 1."""
-    common = {"featuresCol": "features", "labelCol": "label"}
+    """M5: forest over label = level - 1; boosted classes are fitted by ``fit_trees``."""
     if kind == "random_forest":
-        return RandomForestClassifier(**common, **{**CLASS_FOREST, **TREE_MEMORY, **settings})
-    if kind in ("gradient_boosting", "xgboost"):
-        return OneVsRest(classifier=GBTClassifier(**common, **{**BOOSTED, **TREE_MEMORY, **settings}), **common)
+        return RandomForestClassifier(featuresCol="features", labelCol="label", **{**CLASS_FOREST, **TREE_MEMORY, **settings})
     raise ValueError(f"Unknown model type: {kind}")
 
 
@@ -80,7 +81,7 @@ def traffic_estimator(kind: str, **settings) -> Estimator:
 class Fitted:
     """A trained model with what is known about its training."""
 
-    model: PipelineModel
+    model: PipelineModel | trees.TreeModel
     kind: str
     target: str
     features: list[str]
@@ -97,14 +98,8 @@ class Fitted:
         out = self.model.transform(df)
         if self.is_classifier:
             out = out.withColumn("prediction", (F.col("prediction") + 1).cast("int"))
-            if "probability" in out.columns:
+            if isinstance(self.model, PipelineModel):
                 out = out.withColumn("probability", vector_to_array("probability"))
-            elif "rawPrediction" in out.columns:
-                # One against the rest: each class's own boosted probability, together made one.
-                own = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
-                out = out.withColumn("probability", own)
-                whole = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
-                out = out.withColumn("probability", F.transform("probability", lambda x: F.try_divide(x, whole)))
         keep = df.columns + [c for c in ("prediction", "probability") if c in out.columns]
         return out.select(*keep)
 
@@ -157,6 +152,8 @@ def _labelled(df: DataFrame, target: str) -> DataFrame:
 def _fit(df: DataFrame, target: str, kind: str, **settings) -> Fitted:
     """Fit one model on prepared rows."""
     names = feature_names(df, target)
+    if kind in BOOSTED_KINDS and target == "traffic_level":
+        return Fitted(fit_trees(df, target, kind, names, **settings), kind, target, names)
     if kind == "linear" and target != "traffic_level":
         settings["regParam"], names = ridge_setup(df, target, names, settings.pop("alpha", RIDGE_ALPHA))
     model = _stages(target, kind, names, **settings).fit(_labelled(df, target))
@@ -184,27 +181,103 @@ def evaluate(fitted: Fitted, test: DataFrame) -> DataFrame:
     return score(materialize(fitted.predict(test), "predicted"), fitted.target)
 
 
+# --- models of cityflux.operators.trees -------------------------------------------------------
+
+
+def _tree_setup(df: DataFrame, target: str, kind: str, names: list[str], settings: dict, keep: tuple[str, ...] = ()) -> tuple[dict, DataFrame, list, str, int]:
+    """(settings, written table of bins, cuts, label, number of classes) for growing trees over prepared rows."""
+    classes = len(LEVELS) if target == "traffic_level" else 0
+    default = BOOSTED if kind in BOOSTED_KINDS else CLASS_FOREST if classes else FOREST
+    label = "label" if classes else target
+    cuts = trees.find_cuts(df, names)
+    return {**default, **settings}, trees.binned(_labelled(df, target), names, cuts, [label, *keep]), cuts, label, classes
+
+
+def _growth(settings: dict, width: int) -> trees.Growth:
+    subset = ceil(sqrt(width)) if settings.get("featureSubsetStrategy") == "sqrt" else None
+    return trees.Growth(settings["maxDepth"], settings.get("minInstancesPerNode", 1), settings.get("minSamplesSplit", 2), subset, settings["seed"])
+
+
+def _grown(rows: DataFrame, kind: str, cuts: list, names: list[str], label: str, classes: int, settings: dict) -> trees.TreeModel:
+    """A model over a written table of bins."""
+    width, plan = len(names), _growth(settings, len(names))
+    if kind in BOOSTED_KINDS:
+        forest, base = trees.boost(rows, width, plan, settings["maxIter"], settings["stepSize"], label, classes)
+        told = {k: settings[k] for k in ("maxIter", "maxDepth", "stepSize")}
+        return trees.TreeModel(names, cuts, forest, "softmax" if classes else "sum", base, told)
+    forest = trees.fit_forest(rows, width, plan, settings["numTrees"], label, bootstrap=settings.get("bootstrap", True), classes=classes)
+    told = {k: settings[k] for k in ("numTrees", "maxDepth", "minInstancesPerNode", "minSamplesSplit") if k in settings}
+    return trees.TreeModel(names, cuts, forest, "shares" if classes else "mean", [], told)
+
+
+def fit_trees(df: DataFrame, target: str, kind: str, names: list[str], **settings) -> trees.TreeModel:
+    """Boosted classes by one multinomial gradient a round, or a forest, over prepared rows."""
+    settings, rows, cuts, label, classes = _tree_setup(df, target, kind, names, settings)
+    return _grown(rows, kind, cuts, names, label, classes, settings)
+
+
+def _nested_errors(rows: DataFrame, kind: str, label: str, classes: int, width: int, settings: dict, points: list[dict], folds: int) -> list[float]:
+    """Mean of the folds' mean squared errors for every point.
+
+    Points share fits: a forest holds those of fewer trees, less depth or larger nodes to split, boosted trees those of
+    fewer rounds. One fit per fold is left for each setting of the other axes.
+    """
+    inside = ("maxIter",) if kind in BOOSTED_KINDS else ("numTrees", "maxDepth", "minSamplesSplit")
+    groups: dict[tuple, list[int]] = {}
+    for i, point in enumerate(points):
+        groups.setdefault(tuple((k, v) for k, v in point.items() if k not in inside), []).append(i)
+    sums = [0.0] * len(points)
+    for outside, members in groups.items():
+        own = {**settings, **dict(outside)}
+        full = [{**own, **points[i]} for i in members]
+        for fold in range(folds):
+            if kind in BOOSTED_KINDS:
+                most = max(p["maxIter"] for p in full)
+                forest, base = trees.boost(rows, width, _growth(full[0], width), most, own["stepSize"], label, classes, without=fold)
+                found = trees.boosted_errors(rows, width, forest, base, own["stepSize"], label, own["maxDepth"], [p["maxIter"] for p in full], fold, classes)
+                errors = [found[p["maxIter"]] for p in full]
+            else:
+                keys = [(p["numTrees"], p["maxDepth"], p.get("minSamplesSplit", 2)) for p in full]
+                widest = {**own, "maxDepth": max(k[1] for k in keys), "minSamplesSplit": min(k[2] for k in keys)}
+                forest = trees.fit_forest(rows, width, _growth(widest, width), max(k[0] for k in keys), label, without=fold, bootstrap=own.get("bootstrap", True), classes=classes)
+                found = trees.forest_errors(rows, width, forest, label, keys, fold, classes)
+                errors = [found[k] for k in keys]
+            for i, e in zip(members, errors):
+                sums[i] += e / folds
+    return sums
+
+
 def grid_search(
     df: DataFrame, target: str, kind: str, grid: dict, folds: int = GRID_FOLDS, parallelism: int = 4,
     order: tuple[str, ...] = ("timestamp", "id"), **settings,
-) -> tuple[PipelineModel, DataFrame]:
-    """M7: best model by mean squared error over contiguous folds, and (settings, mse) of every point."""
+) -> tuple[PipelineModel | trees.TreeModel, DataFrame]:
+    """M7: best model by mean squared error over contiguous folds, and (settings, mse) of every point.
+
+    Of points with equal errors the first is the best. Classifiers are scored on their labels.
+    """
     names = feature_names(df, target)
-    if kind == "linear":
-        settings["regParam"], names = ridge_setup(df, target, names, settings.pop("alpha", RIDGE_ALPHA))
+    if kind != "linear":
+        folded = contiguous_folds(df, folds, list(order))
+        settings, rows, cuts, label, classes = _tree_setup(folded, target, kind, names, settings, ("fold",))
+        points = [dict(zip(grid, values)) for values in product(*grid.values())]
+        errors = _nested_errors(rows, kind, label, classes, len(names), settings, points, folds)
+        best = points[min(range(len(points)), key=errors.__getitem__)]
+        model = _grown(rows, kind, cuts, names, label, classes, {**settings, **best})
+        table = [({k: str(v) for k, v in p.items()}, float(e)) for p, e in zip(points, errors)]
+        return model, df.sparkSession.createDataFrame(table, "settings map<string,string>, mse double")
+    settings["regParam"], names = ridge_setup(df, target, names, settings.pop("alpha", RIDGE_ALPHA))
     stages = _stages(target, kind, names, **settings)
     estimator = stages.getStages()[-1]
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(name), values)
     points = builder.build()
-    rows = contiguous_folds(_labelled(df, target), folds, list(order))
+    rows = contiguous_folds(df, folds, list(order))
     # Every point and fold reads the folded rows again: write them once.
     rows = materialize(rows, "folds")
     search = CrossValidator(
         estimator=stages, estimatorParamMaps=points, numFolds=folds, foldCol="fold", parallelism=parallelism,
-        # Classifiers predict the label, one below the level.
-        evaluator=RegressionEvaluator(labelCol="label" if target == "traffic_level" else target, predictionCol="prediction", metricName="mse"),
+        evaluator=RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="mse"),
     )
     found = search.fit(rows)
     table = [
@@ -289,7 +362,10 @@ def learning_curve(
 
 def save_model(fitted: Fitted, spark: SparkSession, path: str) -> None:
     """Model folder, training row and importances side by side."""
-    fitted.model.write().overwrite().save(f"{path}/model")
+    if isinstance(fitted.model, trees.TreeModel):
+        fitted.model.save(spark, f"{path}/model")
+    else:
+        fitted.model.write().overwrite().save(f"{path}/model")
     fitted.history(spark).write.mode("overwrite").json(f"{path}/history")
     fitted.importance(spark).write.mode("overwrite").json(f"{path}/importance")
 
@@ -298,5 +374,6 @@ def load_model(spark: SparkSession, path: str) -> Fitted:
     """S12."""
     schema = "model_type string, target string, training_time double, train_samples long, features array<string>, metrics map<string,double>"
     h = spark.read.schema(schema).json(f"{path}/history").collect()[0]
-    model = PipelineModel.load(f"{path}/model")
+    grown = exists(spark, f"{path}/model/trees")
+    model = trees.TreeModel.load(spark, f"{path}/model") if grown else PipelineModel.load(f"{path}/model")
     return Fitted(model, h["model_type"], h["target"], h["features"], h["train_samples"], h["training_time"], dict(h["metrics"] or {}))

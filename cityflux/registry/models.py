@@ -195,6 +195,25 @@ def traffic_forest_stump(spark, sf):
     return told.select("hour", F.posexplode("probability").alias("at", "probability")).select("hour", (F.col("at") + 1).alias("level"), "probability")
 
 
+@query("traffic_boosted_stump", """
+, d AS (SELECT hour(timestamp) AS hour, traffic_level AS y FROM readings),
+prior AS (SELECT k, count(*) FILTER (y = k) / count(*) AS p FROM d, (SELECT unnest(range(1, 6)) AS k) GROUP BY k),
+r AS (SELECT hour, k, CASE WHEN y = k THEN 1 - p ELSE -p END AS r FROM d, prior),
+sums AS (SELECT k, hour, count(*) AS n, sum(r) AS g, sum(abs(r) * (1 - abs(r))) AS h FROM r GROUP BY k, hour),
+sides AS (SELECT s.k, t.hour AS t, s.hour > t.hour AS above, sum(n) AS n, sum(g) AS g, sum(h) AS h FROM sums s, (SELECT DISTINCT hour FROM d) t GROUP BY 1, 2, 3),
+best AS (SELECT k, arg_max(t, gain) AS t FROM (SELECT k, t, sum(g * g / n) AS gain FROM sides GROUP BY k, t HAVING count(*) = 2) GROUP BY k),
+logits AS (SELECT a.hour, b.k, ln(p) + 0.1::DOUBLE * 0.8::DOUBLE * s.g / s.h AS f
+           FROM (SELECT DISTINCT hour FROM d) a, best b JOIN sides s ON s.k = b.k AND s.t = b.t JOIN prior ON prior.k = b.k WHERE s.above = (a.hour > b.t))
+SELECT hour::BIGINT AS hour, k::BIGINT AS level, round(exp(f) / sum(exp(f)) OVER (PARTITION BY hour), 5) AS probability FROM logits
+""", places=5)
+def traffic_boosted_stump(spark, sf):
+    """M5, M11 where SQL has the closed form: one round of one split per class on the multinomial gradient."""
+    rows = readings(spark, sf).select(F.hour("timestamp").alias("hour"), "traffic_level")
+    fitted = models.train(rows, "traffic_level", "gradient_boosting", maxIter=1, maxDepth=1)
+    told = fitted.predict(rows.select("hour").distinct())
+    return told.select("hour", F.posexplode("probability").alias("at", "probability")).select("hour", (F.col("at") + 1).alias("level"), "probability")
+
+
 @query("train_report_one_feature", """
 , s AS (SELECT covar_pop(aqi_value, traffic_level) AS c, var_pop(traffic_level) AS v, count(*) AS n, avg(aqi_value) AS my, avg(traffic_level) AS mx FROM readings)
 , e AS (SELECT aqi_value - (my + c / (v + 1.0::DOUBLE / n) * (traffic_level - mx)) AS r FROM readings, s)

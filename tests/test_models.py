@@ -65,7 +65,7 @@ def test_grid_picks_the_best(rows):
     mse = {r["settings"]["maxDepth"]: r["mse"] for r in scores.collect()}
     assert mse["6"] < mse["1"]
     tuned = models.train(rows, "aqi_value", "random_forest", tune={"maxDepth": [1, 6], "numTrees": [5]})
-    assert tuned.model.stages[-1].getOrDefault("maxDepth") == 6
+    assert tuned.model.settings["maxDepth"] == 6
 
 
 def test_cross_validation(rows):
@@ -149,11 +149,14 @@ def test_quantile_pairs(spark):
     assert pairs[1]["theoretical"] == pytest.approx(0.0) and pairs[0]["theoretical"] == pytest.approx(-0.6744897)
 
 
-def test_boosted_trees(rows):
+def test_boosted_trees(spark, rows, tmp_path):
     fitted = models.train(rows, "aqi_value", "gradient_boosting", maxIter=5, maxDepth=4)
     assert fitted.metrics["train_r2"] > 0.5
     several = models.train(rows, "traffic_level", "xgboost", maxIter=2, maxDepth=2)
+    models.save_model(several, spark, f"{tmp_path}/m")
+    again = models.load_model(spark, f"{tmp_path}/m")
     out = several.predict(rows)
+    assert again.predict(rows).orderBy("id").collect() == out.orderBy("id").collect()
     for r in out.collect():
         assert r["prediction"] in (1, 2, 3, 4, 5) and sum(r["probability"]) == pytest.approx(1.0)
         assert r["probability"][r["prediction"] - 1] == max(r["probability"])
