@@ -17,6 +17,14 @@ _MEANS = ", ".join(
 _MEANS_OPEN = ", ".join(
     f"round(avg({m}) OVER ({_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 6) AS {m}_ma_{n}h" for m in _M for n in (3, 6, 24)
 )
+
+
+def means_sql(before: int, digits: int | None = 6) -> str:
+    """Rolling means that leave the row itself out, rounded or whole."""
+    whole = [(f"avg({m}) OVER ({_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)", f"{m}_ma_{n}h") for m in _M for n in (3, 6, 24) if n <= before]
+    return ", ".join(f"{f'round({c}, {digits})' if digits else c} AS {name}" for c, name in whole)
+
+
 _BIN = """CASE WHEN aqi_value > 0 AND aqi_value <= 50 THEN 'Good' WHEN aqi_value > 50 AND aqi_value <= 100 THEN 'Moderate'
   WHEN aqi_value > 100 AND aqi_value <= 150 THEN 'Unhealthy_Sensitive' WHEN aqi_value > 150 AND aqi_value <= 200 THEN 'Unhealthy'
   WHEN aqi_value > 200 AND aqi_value <= 300 THEN 'Very_Unhealthy' WHEN aqi_value > 300 AND aqi_value <= 500 THEN 'Hazardous' END"""

@@ -9,6 +9,59 @@ from cityflux.operators.features import engineer_features, prepare_features
 from cityflux.operators.splits import time_split
 from cityflux.plans.scratch import fresh_path, materialize, spread
 from cityflux.registry.base import query, readings
+from cityflux.registry.features import feature_sql, means_sql
+
+# --- SQL twins with all features: rows, ridge fits by elimination, positions ---------------------
+
+_FEATURES = ["hour", "day_of_week", "month", "is_weekend", "is_rush_hour", "traffic_level", "latitude", "longitude"]
+_FEATURES += [f"{m}_{tag}" for m in ("aqi_value", "traffic_level") for tag in ("lag_1h", "lag_2h", "lag_24h", "ma_3h", "ma_6h", "ma_24h")]
+_WIDTH = len(_FEATURES) + 2
+
+# ``x``: position rn, count n and v = [1, features, target], all but the 1 less their means.
+_ROWS_SQL = feature_sql("readings", means_sql(24, digits=None)) + f"""
+, raw AS (SELECT row_number() OVER (ORDER BY timestamp, id) - 1 AS rn, count(*) OVER () AS n, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in [*_FEATURES, "aqi_value"])}
+          FROM features WHERE aqi_value_lag_24h IS NOT NULL),
+mu AS (SELECT {", ".join(f"avg({c}) AS {c}" for c in [*_FEATURES, "aqi_value"])} FROM raw),
+x AS MATERIALIZED (SELECT rn, n, [1, {", ".join(f"raw.{c} - mu.{c}" for c in [*_FEATURES, "aqi_value"])}] AS v, raw.aqi_value AS y FROM raw, mu)
+"""
+
+
+def _gram_sql(runs: str) -> str:
+    """CTE ``cells``: sums of v[i] * v[j] per run of positions; ``runs`` is an expression of rn and n."""
+    return f"""
+, cells AS MATERIALIZED (SELECT {runs} AS run, i, j, sum(v[i] * v[j]) AS s
+          FROM x, (SELECT unnest(range(1, {_WIDTH + 1})) AS i) a, (SELECT unnest(range(1, {_WIDTH + 1})) AS j) b GROUP BY 1, 2, 3)
+"""
+
+
+def _ridge_sql(fits: str) -> str:
+    """CTE ``fit`` (key, w): residuals are the products of w and v. ``fits`` has rows (key, run): the runs each fit learns from."""
+    p = len(_FEATURES)
+    out = f"""
+, fits AS ({fits}),
+g AS (SELECT key, i, j, sum(s) AS s FROM fits JOIN cells USING (run) GROUP BY 1, 2, 3),
+ends AS (SELECT key, max(s) FILTER (i = 1 AND j = 1) AS n FROM g GROUP BY key),
+centered AS (SELECT g.key, g.i, g.j, g.s - a.s * b.s / n + CASE WHEN g.i = g.j THEN 1.0::DOUBLE ELSE 0 END AS s
+             FROM g JOIN g a ON a.key = g.key AND a.i = 1 AND a.j = g.i JOIN g b ON b.key = g.key AND b.i = 1 AND b.j = g.j JOIN ends ON ends.key = g.key
+             WHERE g.i > 1 AND g.i < {_WIDTH} AND g.j > 1),
+e0 AS (SELECT key, list(r ORDER BY i) AS m FROM (SELECT key, i, list(s ORDER BY j) AS r FROM centered GROUP BY key, i) GROUP BY key)"""
+    for k in range(1, p + 1):
+        out += f""",
+e{k} AS MATERIALIZED (SELECT key, list_transform(m, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda q: q / r[{k}])
+        ELSE list_transform(r, lambda q, c: q - r[{k}] / m[{k}][{k}] * m[{k}][c]) END) AS m FROM e{k - 1})"""
+    return out + f""",
+solved AS (SELECT key, list_transform(m, lambda r: r[{p + 1}]) AS w FROM e{p}),
+means AS (SELECT key, list(s / n ORDER BY j) AS a FROM g JOIN ends USING (key) WHERE i = 1 GROUP BY key),
+fit AS MATERIALIZED (SELECT key, list_concat([list_dot_product(a[2:{_WIDTH - 1}], w) - a[{_WIDTH}]], list_transform(w, lambda q: -q), [1.0::DOUBLE]) AS w FROM solved JOIN means USING (key))
+"""
+
+
+def _fold_of(k: int) -> str:
+    return f"CASE WHEN rn < (n // {k} + 1) * (n % {k}) THEN rn // (n // {k} + 1) ELSE n % {k} + (rn - (n // {k} + 1) * (n % {k})) // (n // {k}) END"
+
+
+_SPLIT = "CASE WHEN rn < floor(n * 0.8::DOUBLE) - floor(floor(n * 0.8::DOUBLE) * 0.2::DOUBLE) THEN 0 WHEN rn < floor(n * 0.8::DOUBLE) THEN 1 ELSE 2 END"
+# ------------------------------------------------------------------------------------------------
 
 _SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
 
@@ -40,7 +93,13 @@ def aqi_gbt(spark, sf):
     return _metrics(spark, sf, "aqi_value", "gradient_boosting")
 
 
-@query("aqi_ridge")
+@query("aqi_ridge", _ROWS_SQL + _gram_sql(_SPLIT) + _ridge_sql("SELECT 0 AS key, 0 AS run") + f"""
+, r AS (SELECT y, list_dot_product(v, w) AS r FROM x, fit WHERE {_SPLIT} = 2),
+m AS (SELECT count(*) AS n, avg(r * r) AS mse, avg(abs(r)) AS mae, 1 - avg(r * r) / var_pop(y) AS r2, avg(CASE WHEN y <> 0 THEN abs(r / y) END) * 100 AS mape,
+             avg(r) AS residual_mean, stddev_pop(r) AS residual_std, min(r) AS residual_min, max(r) AS residual_max FROM r)
+SELECT unnest(['mse', 'rmse', 'mae', 'r2', 'mape', 'residual_mean', 'residual_std', 'residual_min', 'residual_max', 'adj_r2']) AS metric,
+       round(unnest([mse, sqrt(mse), mae, r2, mape, residual_mean, residual_std, residual_min, residual_max, 1 - (1 - r2) * (n - 1) / (n - 2)]), 3) AS value FROM m
+""", places=3)
 def aqi_ridge(spark, sf):
     return _metrics(spark, sf, "aqi_value", "linear")
 
@@ -93,7 +152,9 @@ def grid_search(spark, sf):
     return scores.select(F.to_json("settings").alias("settings"), "mse")
 
 
-@query("cross_validate")
+@query("cross_validate", _ROWS_SQL + _gram_sql(_fold_of(5)) + _ridge_sql("SELECT key, run FROM (SELECT unnest(range(0, 5)) AS key) a, (SELECT unnest(range(0, 5)) AS run) b WHERE key <> run") + f"""
+SELECT key AS fold, round(avg(list_dot_product(v, w) ** 2), 3) AS score FROM x JOIN fit ON key = {_fold_of(5)} GROUP BY key
+""", places=3)
 def cross_validate(spark, sf):
     rows = _prepared(spark, sf, "aqi_value").drop("split")
     return models.cross_validate(rows, "aqi_value", "linear", folds=5)
@@ -106,7 +167,18 @@ def cross_validate_classes(spark, sf):
     return models.cv_summary(scores)
 
 
-@query("learning_curve")
+@query("learning_curve", _ROWS_SQL + f"""
+, sizes AS MATERIALIZED (SELECT {_fold_of(5)} AS k, count(*) AS nk, min(rn) AS a, any_value(n) AS n FROM x GROUP BY 1),
+tries AS MATERIALIZED (SELECT k * 100 + s AS key, k, a, nk, s / 10 AS share, CAST(floor((n - nk) * (s / 10)) AS BIGINT) AS size,
+          CASE WHEN floor((n - nk) * (s / 10)) <= a THEN floor((n - nk) * (s / 10)) ELSE floor((n - nk) * (s / 10)) + nk END AS stop
+          FROM sizes, (SELECT unnest(range(1, 11)) AS s)),
+starts AS MATERIALIZED (SELECT b, row_number() OVER (ORDER BY b) AS run FROM (SELECT a AS b FROM sizes UNION SELECT stop FROM tries))
+""" + _gram_sql("(SELECT count(*) FROM starts WHERE b <= rn)") + _ridge_sql("SELECT key, run FROM tries, starts WHERE b < stop AND NOT (b >= a AND b < a + nk)") + """
+, errors AS (SELECT key, avg(CASE WHEN rn < stop AND NOT (rn >= a AND rn < a + nk) THEN list_dot_product(v, w) ** 2 END) AS train,
+          avg(CASE WHEN rn >= a AND rn < a + nk THEN list_dot_product(v, w) ** 2 END) AS val FROM x, tries JOIN fit USING (key) GROUP BY key)
+SELECT share, min(size) AS train_size, round(avg(train), 2) AS train_mean, round(stddev_pop(train), 2) AS train_std,
+       round(avg(val), 2) AS val_mean, round(stddev_pop(val), 2) AS val_std FROM tries JOIN errors USING (key) GROUP BY share
+""", places=2)
 def learning_curve(spark, sf):
     rows = _prepared(spark, sf, "aqi_value").drop("split")
     return models.learning_curve(rows)
