@@ -50,11 +50,11 @@ END = ""
 def _streams(texts: list[np.ndarray], streams: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Targets (time by stream, the longest stream first, filled up with ends) and which of them are real.
 
-    Each text goes to the stream that is shortest so far, as if it were refilled when its text ends. Texts that fill
-    more than a stream's share come first, so that the streams end as close to each other as they can.
+    Each text goes to the stream that is shortest so far, as if it were refilled when its text ends. A text longer
+    than a stream's share is read in parts, so that the streams end as close to each other as they can.
     """
-    share = sum(map(len, texts)) / streams
-    texts = sorted(texts, key=lambda x: -len(x) if len(x) > share else 0)
+    share = max(1, -(-sum(map(len, texts)) // streams))
+    texts = [x[k : k + share] for x in texts for k in range(0, len(x), share)]
     waiting, dealt = [(0, k) for k in range(streams)], [[] for _ in range(streams)]
     for text in texts:
         size, k = heapq.heappop(waiting)
@@ -115,15 +115,17 @@ class Network:
                 yield k, order[ends[k] : ends[k + 1]]
 
     def log_probability(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        logits = states @ self.w["classes"] + self.w["class_bias"]
-        norm = np.log(np.exp(logits - logits.max(1, keepdims=True)).sum(1)) + logits.max(1)
+        # Tokens along the last axis: numpy reduces over the few rows of a class far faster than along many short ones.
+        logits = self.w["classes"].T @ states.T + self.w["class_bias"][:, None]
+        top = logits.max(0)
+        norm = np.log(np.exp(logits - top).sum(0)) + top
         out = np.empty(len(targets), np.float32)
         for k, rows in self._by_class(targets):
             a, b = self.bounds[k], self.bounds[k + 1]
-            own = states[rows] @ self.w["words"][a:b].T + self.w["word_bias"][a:b]
-            top = own.max(1)
-            inside = own[np.arange(len(rows)), targets[rows] - a] - top - np.log(np.exp(own - top[:, None]).sum(1))
-            out[rows] = logits[rows, k] - norm[rows] + inside
+            own = self.w["words"][a:b] @ states[rows].T + self.w["word_bias"][a:b, None]
+            top = own.max(0)
+            inside = own[targets[rows] - a, np.arange(len(rows))] - top - np.log(np.exp(own - top).sum(0))
+            out[rows] = logits[k, rows] - norm[rows] + inside
         return out
 
     def gradients(self, h: np.ndarray, tokens: np.ndarray, targets: np.ndarray, fresh: np.ndarray, real: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
@@ -142,29 +144,30 @@ class Network:
             states[t] = h
         flat, aims = states.reshape(-1, self.hidden), targets.ravel()
         g = {name: np.zeros_like(v) for name, v in self.w.items()}
-        logits = flat @ self.w["classes"] + self.w["class_bias"]
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        owner = np.searchsorted(self.bounds, aims, side="right") - 1
-        total = np.log(p[np.arange(len(aims)), owner] + 1e-30)[counts].sum()
-        p[np.arange(len(aims)), owner] -= 1
-        p[~counts] = 0
-        g["classes"], g["class_bias"] = flat.T @ p, p.sum(0)
-        back = p @ self.w["classes"].T
+        # As in log_probability, tokens lie along the last axis.
+        logits = self.w["classes"].T @ flat.T + self.w["class_bias"][:, None]
+        p = np.exp(logits - logits.max(0))
+        p /= p.sum(0)
+        owner, at = np.searchsorted(self.bounds, aims, side="right") - 1, np.arange(len(aims))
+        total = np.log(p[owner, at] + 1e-30)[counts].sum()
+        p[owner, at] -= 1
+        p[:, ~counts] = 0
+        g["classes"], g["class_bias"] = flat.T @ p.T, p.sum(1)
+        back = p.T @ self.w["classes"].T
         for k, rows in self._by_class(aims):
             rows = rows[counts[rows]]
             if not len(rows):
                 continue
             a, b = self.bounds[k], self.bounds[k + 1]
-            own = flat[rows] @ self.w["words"][a:b].T + self.w["word_bias"][a:b]
-            q = np.exp(own - own.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            at = aims[rows] - a
-            total += np.log(q[np.arange(len(rows)), at] + 1e-30).sum()
-            q[np.arange(len(rows)), at] -= 1
-            g["words"][a:b] += q.T @ flat[rows]
-            g["word_bias"][a:b] += q.sum(0)
-            back[rows] += q @ self.w["words"][a:b]
+            states_k, at = flat[rows], np.arange(len(rows))
+            q = self.w["words"][a:b] @ states_k.T + self.w["word_bias"][a:b, None]
+            q = np.exp(q - q.max(0))
+            q /= q.sum(0)
+            total += np.log(q[aims[rows] - a, at] + 1e-30).sum()
+            q[aims[rows] - a, at] -= 1
+            g["words"][a:b] = q @ states_k
+            g["word_bias"][a:b] = q.sum(1)
+            back[rows] += q.T @ self.w["words"][a:b]
         back = back.reshape(len(tokens), -1, self.hidden)
         carried, inputs = np.zeros_like(h), np.empty((*tokens.shape, 3 * self.hidden), back.dtype)
         looped, k = np.empty_like(inputs), self.hidden
