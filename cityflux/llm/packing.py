@@ -11,6 +11,9 @@ finds its sequence from its length and its rank among pieces of that length.
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -48,19 +51,24 @@ class Encoder:
 
     The vocabulary never joins across a single blank or line end between two words, so the distinct
     words of a block of texts are encoded once and each text is put together from them. Texts with
-    other spacing are encoded as they are. Rank files and ``.json`` files of one vocabulary give the
-    same ids; the former are faster.
+    other spacing are encoded as they are, and so are those that hold one of the vocabulary's added tokens
+    (such as ``<|endoftext|>``), which have ids of their own. Rank files and ``.json`` files of one vocabulary
+    give the same ids; the former are faster, and take the added tokens from the latter.
     """
 
     def __init__(self, file: str):
         import public_tokenizers
 
         path = file if "/" in file else public_tokenizers.path(file)
+        added = f"{path.rsplit('.', 1)[0]}.json"
+        self._added = {}
+        if os.path.exists(added):
+            with open(added, encoding="utf-8") as told:
+                self._added = {t["content"]: t["id"] for t in json.load(told)["added_tokens"]}
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
             self.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         else:
             import tiktoken
@@ -68,7 +76,15 @@ class Encoder:
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
             ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.whole = lambda text: np.array(ranked.encode_ordinary(text), np.uint32)
+            # The library cuts texts at added tokens first, the longest at a place.
+            cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self._added, key=len, reverse=True)) + ")") if self._added else None
+
+            def whole(text: str) -> np.ndarray:
+                parts = cut.split(text) if cut else [text]
+                ids = [[self._added[part]] if k % 2 else ranked.encode_ordinary(part) for k, part in enumerate(parts)]
+                return np.array([x for own in ids for x in own], np.uint32)
+
+            self.whole = whole
         self._line = self.whole("\n")[0]
         # Words seen before: their ids lie in _ids from _start on, _size of them.
         self._words = pa.array([], pa.string())
@@ -77,6 +93,8 @@ class Encoder:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; none may be null."""
         odd = pc.match_substring_regex(texts, _ODD_SPACES).to_numpy(zero_copy_only=False)
+        for token in self._added:
+            odd = odd | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         even = iter(self._together(texts.filter(pa.array(~odd))))
         return [self.whole(text.as_py()) if is_odd else next(even) for text, is_odd in zip(texts, odd)]
 
