@@ -120,12 +120,18 @@ def mix(
     Only numbers of documents are ranked, never their texts. The order is that of a seeded hash of doc_id
     and text, so reruns agree; rows equal in both stand or fall together. A null text has size 0; such
     documents are taken as often as their source goes whole into its target. A null source is a source
-    of its own, the last. Empty table: no rows. Columns of docs pass through, but for those named as the
-    four added, which are replaced.
+    of its own, the last. Empty table: no rows. Columns of docs pass through, whatever their names, but for those named
+    as the four added, which are replaced.
     """
     own = ["size", "source_size", "target", "times"]
+    rows = _mixed_rows(docs, weights, most, share, seed, gap, per_bucket)
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in own], *own)
+
+
+def _mixed_rows(docs: DataFrame, weights: tuple[float, ...], most: int, share: float, seed: int, gap: int, per_bucket: int) -> DataFrame:
+    """The documents as one column ``_row``, so that no name of theirs meets one of the mix, with what ``mix`` adds."""
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).bitwiseAND(2**63 - 1)
-    sized = docs.drop(*own).withColumns({"size": size_of(F.col("text")), "_key": key})
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "source", size_of(F.col("text")).alias("size"), key.alias("_key"))
     slim = materialize(sized.select("source", "size", "_key"), "sizes")
     histogram = materialize(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     sums = histogram.select("source", (F.col("size") * F.col("n")).alias("size"))
@@ -144,8 +150,7 @@ def mix(
     limits = ranked.filter(F.col("_rank") == F.col("_need")).select("source", "size", F.col("_key").alias("_limit"))
     rules = measured_side(_join(_join(planned, limits, ["source", "size"], "left"), aims, ["source"]), "rules")
     chosen = F.when(F.col("_limit").isNull(), F.col("picked") > 0).otherwise(F.col("_key") <= F.col("_limit"))
-    out = _join(sized, rules, ["source", "size"]).withColumn("times", F.col("repeats") + chosen.cast("long"))
-    return out.select(*[c for c in docs.columns if c not in own], *own)
+    return _join(sized, rules, ["source", "size"]).withColumn("times", F.col("repeats") + chosen.cast("long"))
 
 
 def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -158,7 +163,8 @@ def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     return a.join(b, same, how).select("_a.*", *extra)
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: documents repeated as often as taken, with their own columns."""
-    taken = mix(docs, **how).filter(F.col("times") > 0)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, share: float = 1.0, seed: int = 11, gap: int = GAP, per_bucket: int = 100_000) -> DataFrame:
+    """The mix itself: documents repeated as often as taken, with their own columns, whatever their names."""
+    taken = _mixed_rows(docs, weights, most, share, seed, gap, per_bucket).filter(F.col("times") > 0)
+    copies = taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_copy"))
+    return copies.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
