@@ -32,11 +32,10 @@ BLOCK, GROUP = 16_384, 2_048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding of the rows that take part, one per vec_id (the least vector, of repeats)."""
+    """vec_id, embedding of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long"), v.alias("embedding")).filter(F.col("vec_id").isNotNull() & fine)
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return vectors.select(F.col("vec_id").cast("long"), v.alias("embedding")).filter(F.col("vec_id").isNotNull() & fine)
 
 
 def _order(points: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
@@ -107,17 +106,27 @@ def search(
     """query_id, rank (from 1), vec_id, score: each query's k nearest other rows by inner product.
 
     Rows with a null id, a null or zero vector, or null or non-finite components take no part, on
-    either side. Repeated ids count once. Equal vectors are indexed once with their k + 1 least ids,
-    which is all that can be in a result, as ties go to the smaller id. Vectors of other length than the
-    first by id do not take part. Empty tables: no rows. Other columns are left out.
+    either side. Every row is a candidate, also of several with one id; those with the query's id are its own. Of queries
+    with one id the least vector of each length asks. Equal vectors are indexed once with their k + 1 least ids,
+    which is all that can be in a result, as ties go to the smaller id. Vectors of each length are searched among
+    themselves. Empty tables: no rows. Other columns are left out.
     """
     rows = materialize(usable(vectors), "vectors")
-    first = rows.orderBy("vec_id").select(F.size("embedding")).first()
-    asked = usable(queries).select(F.col("vec_id").alias("query_id"), "embedding")
-    if first is None:
+    asked = usable(queries).groupBy(F.col("vec_id").alias("query_id"), F.size("embedding").alias("width")).agg(F.min("embedding").alias("embedding"))
+    asked = materialize(asked, "queries")
+    found = None
+    for r in rows.select(F.size("embedding").alias("width")).distinct().collect():
+        of_width = rows.filter(F.size("embedding") == r["width"])
+        own = _search(of_width, asked.filter(F.col("width") == r["width"]).drop("width"), k, pivots, listed, share, least, sample, block, group, seed)
+        found = own if found is None else found.unionByName(own)
+    if found is None:
         return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    width = first[0]
-    rows, asked = rows.filter(F.size("embedding") == width), asked.filter(F.size("embedding") == width)
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, asked: DataFrame, k: int, pivots: int, listed: int, share: float, least: int, sample: int, block: int, group: int, seed: int) -> DataFrame:
+    """query_id, vec_id, score: of every block each query's k best, over vectors of one length."""
     # One row per distinct vector; the rank filter also runs before the shuffle, so copies do not pile up.
     rank = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
     few = rows.withColumn("_rank", rank).filter(F.col("_rank") <= k + 1)
@@ -146,9 +155,7 @@ def search(
                 out += sorted(pairs, key=lambda p: (-p[2], p[1]))[:k]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(run, "query_id long, vec_id long, score double")
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(run, "query_id long, vec_id long, score double")
 
 
 def every(vectors: DataFrame, step: int = QUERY_EVERY) -> DataFrame:

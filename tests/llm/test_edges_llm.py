@@ -44,10 +44,9 @@ def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
-    texts = ["", " ", "a", " a", "a ", "a  b", "a\n\nb", "it's\nthe 's", "a\u00a0 b", "x\x1fy z", "1,000.5 \u00b2", "<|endoftext|>", "\n", "a\tb", "\u00e9 \u4e2d\u6587 \U0001f600 b", "a\x00 b"]
-    coder = packing.Encoder("byte_bpe_50k.tiktoken")
-    for _ in range(2):
+    texts = ["", " ", "a", " a", "a ", "a  b", "a\n\nb", "it's\nthe 's", "a\u00a0 b", "x\x1fy z", "1,000.5 \u00b2", "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>\nb c", "<|endoftext| >", "\n", "a\tb", "\u00e9 \u4e2d\u6587 \U0001f600 b", "a\x00 b"]
+    assert whole.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for coder in (packing.Encoder("byte_bpe_50k.tiktoken"), packing.Encoder("byte_bpe_50k.json"), packing.Encoder("byte_bpe_50k.tiktoken")):
         assert [list(x) for x in coder.encode(pa.array(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -196,6 +195,19 @@ def test_mixing_edges(spark, odd):
     assert mixing.mixed(copies).columns == copies.columns
 
 
+def test_mixing_columns_of_any_name(spark):
+    names = ["n", "picked", "repeats", "_limit", "_key", "_copy", "_bucket", "_row", "_rank", "count", "times", "size", "target"]
+    plain = frame(spark, [(i % 40, "one two three", None, "a") for i in range(300)] + [(900 + i, "x y", None, "b") for i in range(30)]).select("doc_id", "text", "source")
+    named = plain.select("*", *[F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in names])
+    want = Counter(r["doc_id"] for r in mixing.mixed(plain).collect())
+    rows = mixing.mixed(named).collect()
+    assert Counter(r["doc_id"] for r in rows) == want
+    assert all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in names)
+    taken = mixing.mix(named)
+    assert {r["doc_id"] for r in taken.filter("times > 0").collect()} == set(want)
+    assert all(r["picked"] == f"picked-{r['doc_id']}" and r["_key"] == f"_key-{r['doc_id']}" for r in taken.collect())
+
+
 def test_url_edges(spark):
     pages = spark.createDataFrame([(1, None), (2, "no scheme"), (3, "http://WWW.Example.COM/en/x?y"), (4, "https://net/es/"), (5, "ftp://a.net"), (5, "ftp://a.net"), (6, "http://com?x"), (7, "x://y://z/p")], "page_id long, url string")
     none = spark.createDataFrame([], "url string, bad boolean")
@@ -250,7 +262,10 @@ def test_neighbours_edges(spark):
     rows = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [5.0, 1.0]), (8, [-1.0, 0.0]), (None, [9.0, 9.0]), (9, [1.0]), (40, [float("inf"), 1.0]), (1, [1.0, 0.0])]
     table = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, rank int, block int")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.search(table, neighbours.every(table), k=3).orderBy("query_id", "rank").collect()]
-    assert got == [(20, 1, 7, 5.0), (20, 2, 1, 1.0), (20, 3, 2, 1.0)]
+    assert got == [(20, 1, 7, 5.0), (20, 2, 1, 1.0), (20, 3, 1, 1.0)]
+    other = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (20, [1.0, 2.0]), (21, [2.0, 1.0]), (21, [3.0, 1.0]), (22, [0.0, 0.0, 1.0])], "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in neighbours.search(other, neighbours.every(other)).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 22, 3.0), (20, 1, 21, 5.0), (20, 2, 21, 4.0)]
     assert neighbours.search(table.limit(0), table.limit(0)).count() == 0
 
 

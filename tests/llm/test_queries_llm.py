@@ -46,7 +46,6 @@ def test_packing_round_trip(spark, sf, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = QUERIES["op2_best_fit_packing"](spark, sf).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
