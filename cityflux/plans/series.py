@@ -1,8 +1,8 @@
 """Ordered per-key series whose hottest key may hold any share of the rows.
 
-A plain window hands a whole key to one task. Here the sizes are looked at first: while every key
-stays under the limit the plain window runs; beyond it the rows are cut by range on (keys, order)
-into chunks of even size, and each chunk gets what it needs from the chunks before it: the last
+A plain window hands a whole key to one task. Here the sizes are looked at first, from the key columns
+alone: while every key stays under the limit the plain window runs, and nothing is written; beyond it
+the rows are cut by range on (keys, order) into chunks of even size, and each chunk gets what it needs from the chunks before it: the last
 ``before`` rows (halo) for row frames, or one carried value for running results. Both are exact.
 """
 
@@ -23,7 +23,7 @@ _HALO = "_halo"
 
 
 def key_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """(all rows, rows of the hottest key) in one pass; counts are combined map-side."""
+    """(all rows, rows of the hottest key) in one pass over the keys alone; counts are combined map-side."""
     if not keys:
         rows = df.count()
         return rows, rows
@@ -38,7 +38,7 @@ def has_hot_key(df: DataFrame, keys: list[str], limit: int = KEY_ROW_LIMIT) -> b
 
 
 def held(df: DataFrame) -> DataFrame:
-    """The frame written once: its sizes are looked at before it is used, and its plan must not run twice."""
+    """The frame written once, where several passes read it."""
     return materialize(df, "held")
 
 
@@ -85,7 +85,6 @@ def over_rows(
 
     ``order`` must give a total order within a key.
     """
-    df = held(df)
     rows, most = key_sizes(df, keys)
     if most <= limit:
         spec = W.partitionBy(*keys).orderBy(*order)
@@ -119,7 +118,6 @@ def running_sum(
     partitions: int | None = None,
 ) -> DataFrame:
     """Add the running sum of ``value``, current row included, along ``order`` within a key."""
-    df = held(df)
     rows, most = key_sizes(df, keys)
     if most <= limit:
         # Without keys every row shares one literal key: at most ``limit`` rows, as just measured.
@@ -167,7 +165,6 @@ def nearest_known(
             out |= {f"{m}_next": F.last(known(m), ignorenulls=True).over(forth) for m in measures}
         return out
 
-    df = held(df)
     rows, most = key_sizes(df, keys)
     if most <= limit:
         return df.withColumns(columns(keys))

@@ -121,6 +121,30 @@ def test_forecast_is_least_squares(spark, plan):
     assert tail == {"long": 24, "short": 24, "tiny": 5}
 
 
+@pytest.mark.parametrize("plan", [{}, {"limit": 12, "partitions": 4}])
+def test_forecast_fit_over_windows_without_gaps(spark, plan):
+    """Sums of lagged products give the windows of every run between missing values."""
+    rng = np.random.default_rng(2)
+    back, ahead = 3, 2
+    parts, want = [], {}
+    for name, n, holes in (("a", 60, []), ("b", 70, [5, 6, 20, 69]), ("c", 40, [33]), ("d", 7, []), ("e", 5, []), ("f", 50, [0, 49]), ("g", 30, list(range(3, 30, 4)))):
+        v = np.cumsum(rng.normal(size=n)) + 100
+        v[holes] = np.nan
+        parts.append(pd.DataFrame({"location": name, "v": v, "timestamp": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), unit="h")}))
+        windows = np.array([v[i : i + 5] for i in range(n - 5) if not np.isnan(v[i : i + 5]).any()])
+        if len(windows):
+            mean = windows.mean(0)
+            c = (windows - mean).T @ (windows - mean)
+            w = np.linalg.pinv(c[:back, :back], hermitian=True) @ c[:back, back:]
+            want[name] = (w, mean[back:] - mean[:back] @ w)
+    pdf = pd.concat(parts)
+    pdf["id"] = range(len(pdf))
+    got = {(r["location"], r["step"]): r for r in forecasting.forecast_fit(spark.createDataFrame(pdf), "v", back, ahead, **plan).collect()}
+    assert set(got) == {(name, s) for name in want for s in (1, 2)}
+    for (name, step), r in got.items():
+        assert np.allclose(r["weights"], want[name][0][:, step - 1], atol=1e-5) and r["intercept"] == pytest.approx(want[name][1][step - 1], abs=1e-4)
+
+
 def test_regression_metrics_edges(spark):
     flat = spark.createDataFrame([(0.0, 1.0), (0.0, -1.0), (0.0, 0.0)], "y_true double, y_pred double")
     got = {r["metric"]: r["value"] for r in ev.regression_metrics(flat).collect()}
