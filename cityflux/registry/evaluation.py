@@ -205,3 +205,18 @@ def performance_trend(spark, sf):
     ev.log_performance(path, entries.filter(early))
     ev.log_performance(path, entries.filter(~early))
     return ev.performance_trend(spark.read.parquet(path), "mean_aqi")
+
+
+@query("evaluation_report", _REG + """
+, m AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS value FROM w" for m in ev.REGRESSION) + """)
+SELECT 'MODEL EVALUATION: aqi_value' AS line UNION ALL SELECT repeat('-', 60) UNION ALL SELECT metric || ': ' || printf('%.4f', value) FROM m
+""")
+def evaluation_report(spark, sf):
+    """The evaluation report of the predictions, written and read back."""
+    from cityflux.plans.scratch import fresh_path
+    from cityflux.runs import reports
+    from cityflux.sources.exports import write_text
+
+    path = fresh_path(spark, "report")
+    write_text(spark, reports.evaluation_report(ev.regression_metrics(predictions(spark, sf)), "aqi_value"), path)
+    return spark.read.text(path).withColumnRenamed("value", "line").filter("line <> ''")

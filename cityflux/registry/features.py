@@ -139,8 +139,8 @@ def time_split(spark, sf):
 
 
 @query("random_split", """
-SELECT id, CASE WHEN CAST('0x' || substr(md5('42:' || id), 1, 8) AS BIGINT) < CAST(0.2::DOUBLE * 4294967296 AS BIGINT) THEN 'test' ELSE 'train' END AS split
-FROM readings
+, drawn AS (SELECT id, row_number() OVER (ORDER BY CAST('0x' || substr(md5('42:' || id), 1, 8) AS BIGINT), id) AS rn, count(*) OVER () AS n FROM readings)
+SELECT id, CASE WHEN rn <= ceil(n / 5) THEN 'test' ELSE 'train' END AS split FROM drawn
 """)
 def random_split(spark, sf):
     return splits.random_split(readings(spark, sf)).select("id", "split")
@@ -184,3 +184,16 @@ FROM w JOIN (SELECT unnest(range(-24, 24)) AS s) ON TRUE JOIN r ON r.location =
 """)
 def sequences(spark, sf):
     return splits.unnest_sequences(splits.sequences(readings(spark, sf)))
+
+
+@query("numeric_columns", """
+SELECT column_name AS name FROM (
+  SELECT unnest(['id', 'latitude', 'longitude', 'aqi_value', 'traffic_level', 'hour', 'day_of_week', 'month', 'day_of_month', 'is_weekend', 'is_rush_hour', 'aqi_traffic_interaction']) AS column_name
+  UNION ALL SELECT m || t FROM (SELECT unnest(['aqi_value', 'traffic_level']) AS m), (SELECT unnest(['_lag_1h', '_lag_2h', '_lag_24h', '_ma_3h', '_ma_6h', '_ma_24h']) AS t)
+) WHERE column_name NOT LIKE '%id%' AND EXISTS (SELECT 1 FROM readings)
+""")
+def numeric_columns(spark, sf):
+    """F16: the numeric columns of the feature table of the readings, without ids."""
+    built = features.engineer_features(readings(spark, sf))
+    names = features.numeric_columns(built, without_ids=True)
+    return built.limit(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))

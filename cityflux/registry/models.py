@@ -63,9 +63,6 @@ def _fold_of(k: int) -> str:
 _SPLIT = "CASE WHEN rn < floor(n * 0.8::DOUBLE) - floor(floor(n * 0.8::DOUBLE) * 0.2::DOUBLE) THEN 0 WHEN rn < floor(n * 0.8::DOUBLE) THEN 1 ELSE 2 END"
 # ------------------------------------------------------------------------------------------------
 
-_SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
-
-
 def _prepared(spark, sf, target):
     """Features of all readings, split by time, written once since fitting reads them many times."""
     r = readings(spark, sf)
@@ -117,7 +114,7 @@ def traffic_boosted(spark, sf):
 @query("feature_importance")
 def feature_importance(spark, sf):
     head, val, _ = _parts(_prepared(spark, sf, "aqi_value"))
-    fitted = models.train(head, "aqi_value", "random_forest", val, **_SMALL_FOREST)
+    fitted = models.train(head, "aqi_value", "random_forest", val)
     return ev.top_features(fitted.importance(spark))
 
 
@@ -136,7 +133,7 @@ SELECT 0 AS differing, count(*) - CAST(floor(count(*) * (1 - 0.2::DOUBLE)) AS BI
 def model_roundtrip(spark, sf):
     """Rows on which a saved and reloaded model predicts otherwise than the original, and rows in all."""
     head, _, test = _parts(_prepared(spark, sf, "aqi_value"))
-    fitted = models.train(head, "aqi_value", "random_forest", **_SMALL_FOREST)
+    fitted = models.train(head, "aqi_value", "random_forest")
     path = fresh_path(spark, "model")
     models.save_model(fitted, spark, path)
     again = models.load_model(spark, path)

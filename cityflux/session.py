@@ -58,4 +58,5 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "cityflux
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark

@@ -130,8 +130,13 @@ def test_missing_times_come_last(spark):
 def test_random_split(hot):
     parts = splits.random_split(hot, 0.3)
     shares = {r["split"]: r["count"] for r in parts.groupBy("split").count().collect()}
-    assert sum(shares.values()) == 700 and 0.2 < shares["test"] / 700 < 0.4
-    same(parts, splits.random_split(hot.repartition(5), 0.3))
+    assert shares == {"test": 210, "train": 490}
+    same(parts, splits.random_split(hot.repartition(5), 0.3, leaf=20))
+
+
+@pytest.mark.parametrize("n, test, want", [(10, 0.25, 3), (7, 0.2, 2), (1, 0.5, 1), (0, 0.2, 0), (10, 0.3, 3), (5, 1.0, 5), (5, 0.0, 0)])
+def test_random_split_sizes(spark, n, test, want):
+    assert splits.random_split(spark.range(n), test).filter("split = 'test'").count() == want
 
 
 def test_chunks_keep_to_the_limit(spark, hot):
