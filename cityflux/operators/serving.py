@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from cityflux.functions.numbers import normalize_aqi, round_to_int
 from cityflux.functions.times import AsOf, minutes_between, moment, time_from_parts
-from cityflux.sources.tables import READING_COLUMNS, lookback_days, realtime_scan
+from cityflux.sources.tables import READING_COLUMNS, lookback_days, newest_dates, realtime_scan
 
 VIEW_ROWS = 100
 ENOUGH_SPEED_ROWS = 10
@@ -72,8 +72,11 @@ def serving_union(speed: DataFrame, batch: DataFrame, n: int = VIEW_ROWS) -> Dat
 
 
 def latest_readings(raw: DataFrame, n: int = VIEW_ROWS) -> DataFrame:
-    """The newest n raw readings, those without coordinates then dropped, index made whole."""
-    newest = newest_rows(raw, n, ["id"]).dropna(subset=["latitude", "longitude"])
+    """The newest n raw readings, those without coordinates then dropped, index made whole.
+
+    Of a table stored by date only the newest dates are read.
+    """
+    newest = newest_rows(newest_dates(raw, n), n, ["id"]).dropna(subset=["latitude", "longitude"])
     return newest.select(
         "timestamp", "location",
         F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"),
@@ -82,8 +85,8 @@ def latest_readings(raw: DataFrame, n: int = VIEW_ROWS) -> DataFrame:
 
 
 def raw_fallback(raw: DataFrame, n: int = VIEW_ROWS) -> DataFrame:
-    """The newest n raw readings as they are."""
-    newest = newest_rows(raw, n, ["id"])
+    """The newest n raw readings as they are; of a table stored by date only the newest dates are read."""
+    newest = newest_rows(newest_dates(raw, n), n, ["id"])
     return newest.select(*READING_COLUMNS, F.coalesce("aqi_value", F.lit(0)).alias("aqi_clean"))
 
 

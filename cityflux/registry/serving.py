@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cityflux.operators import dashboard, serving
 from cityflux.registry.base import AS_OF, dirty_readings, hourly, query, readings, realtime
-from cityflux.sources.tables import enrich_reading, realtime_scan
+from cityflux.plans.scratch import fresh_path
+from cityflux.sources.tables import append_by_date, enrich_reading, read_table, realtime_scan
 from cityflux import schemas
 from cityflux.registry.scans import _AQI_CASES, _CLASS, _LEVEL_CASES, _rgba
 
@@ -84,6 +85,17 @@ def latest_readings(spark, sf):
     return serving.latest_readings(dirty_readings(spark, sf))
 
 
+@query("latest_readings_stored", """
+SELECT timestamp, location, latitude, longitude, aqi_value, traffic_level, coalesce(aqi_value, 0) AS aqi_clean
+FROM (SELECT * FROM dirty_readings ORDER BY timestamp DESC, id LIMIT 100) WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+""")
+def latest_readings_stored(spark, sf):
+    """T1, T2 over a table stored by date: its newest dates answer."""
+    path = fresh_path(spark, "raw")
+    append_by_date(dirty_readings(spark, sf), path)
+    return serving.latest_readings(read_table(spark, path))
+
+
 @query("latest_peak_hours", """
 SELECT max(date)::VARCHAR AS analysis_date, coalesce(NULL, 0.0::DOUBLE) AS peak_aqi_value,
        (SELECT max(avg_traffic) FROM hourly WHERE date = (SELECT max(date) FROM hourly)) AS peak_traffic_value

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,26 @@ def append_by_date(df: DataFrame, path: str, ts: str = "timestamp") -> None:
     out.write.mode("append").partitionBy("date").parquet(path)
 
 
+def newest_dates(df: DataFrame, n: int, date: str = "date") -> DataFrame:
+    """Of a date-partitioned table only its newest dates, as many as hold ``n`` rows together.
+
+    Dates come from the table's file names and are walked downwards, twice as many at a time; only the dates met are
+    scanned. Rows without a time are in no date and come back where all dates together hold too few. A frame with
+    no such layout comes back as it is.
+    """
+    if date not in df.columns:
+        return df
+    named = re.compile(rf"/{re.escape(date)}=(\d{{4}}-\d\d-\d\d)/")
+    dates = sorted({found.group(1) for file in df.inputFiles() if (found := named.search(file))}, reverse=True)
+    take = 1
+    while take < len(dates):
+        part = df.filter(F.col(date) >= F.lit(dates[take - 1]).cast("date"))
+        if part.limit(n).count() >= n:
+            return part
+        take *= 2
+    return df
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Replace a table by this frame, whole."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)

@@ -257,3 +257,20 @@ def test_weekend_finding(spark):
     found = {r["ord"]: r for r in findings.key_findings(make(spark, rows)).collect()}
     assert found[4]["finding"] == "Weekend AQI is 50.0 points higher than weekdays"
     assert math.isclose(rollups.kpi_summary(make(spark, rows)).collect()[0]["avg_aqi"], 65.0)
+
+
+def test_newest_readings_of_a_stored_table(spark, tmp_path):
+    from cityflux.sources import tables
+
+    rows = spark.range(3_000).select("id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 864).cast("timestamp_ntz").alias("timestamp"), F.lit("a").alias("location"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), F.lit(5).alias("aqi_value"), F.lit(2).alias("traffic_level"))
+    rows = rows.unionByName(rows.filter("id < 2").withColumn("timestamp", F.lit(None).cast("timestamp_ntz")))
+    tables.append_by_date(rows, f"{tmp_path}/raw")
+    stored = tables.read_table(spark, f"{tmp_path}/raw")
+    for n, dates in ((50, 1), (150, 2), (2_000, 32)):
+        part = tables.newest_dates(stored, n)
+        assert part.select("date").distinct().count() == min(dates, 31)
+        got, want = (serving.latest_readings(df, n).orderBy("timestamp").collect() for df in (stored, rows))
+        assert got == want and len(got) == n
+    pruned = tables.newest_dates(stored, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in pruned and "date#" in pruned
+    assert tables.newest_dates(rows, 50) is rows
