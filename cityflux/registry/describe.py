@@ -272,7 +272,7 @@ def table_counts(spark, sf):
     })
 
 
-@query("key_findings", """
+FINDINGS_SQL = """
 , m AS (SELECT avg(aqi_value) AS a FROM readings),
 h AS (SELECT hour(timestamp) AS hour, avg(aqi_value) AS a FROM readings GROUP BY 1 ORDER BY a DESC, hour LIMIT 1),
 l AS (SELECT location, avg(aqi_value) AS a FROM readings GROUP BY 1 ORDER BY a DESC, location LIMIT 1),
@@ -284,6 +284,9 @@ UNION ALL SELECT 2, 'Temporal Pattern', 'Peak pollution occurs at ' || hour || '
 UNION ALL SELECT 3, 'Spatial Pattern', '''' || location || ''' has the highest average AQI of ' || printf('%.1f', a), 'high' FROM l
 UNION ALL SELECT 4, 'Temporal Pattern', 'Weekend AQI is ' || printf('%.1f', abs(d)) || ' points ' || CASE WHEN d > 0 THEN 'higher' ELSE 'lower' END
   || ' than weekdays', 'medium' FROM w WHERE abs(d) > 10
-""")
+"""
+
+
+@query("key_findings", FINDINGS_SQL)
 def key_findings(spark, sf):
     return findings.key_findings(readings(spark, sf))

@@ -9,6 +9,7 @@ from cityflux.operators.features import engineer_features, prepare_features
 from cityflux.operators.splits import time_split
 from cityflux.plans.scratch import fresh_path, materialize, spread
 from cityflux.registry.base import query, readings
+from cityflux.registry.describe import FINDINGS_SQL
 from cityflux.registry.features import feature_sql, means_sql
 
 # --- SQL twins with all features: rows, ridge fits by elimination, positions ---------------------
@@ -307,12 +308,25 @@ def analysis_run(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("insight_report", """
-SELECT 'Records: ' || format('{:,}', count(*)) AS line FROM readings
-UNION ALL SELECT 'Locations: ' || count(DISTINCT location) FROM readings
+def _said(t: str) -> str:
+    """A time as text; whole seconds have no fraction."""
+    return f"CASE WHEN epoch_us({t}) % 1000000 = 0 THEN strftime({t}, '%Y-%m-%d %H:%M:%S') ELSE strftime({t}, '%Y-%m-%d %H:%M:%S.%f') END"
+
+
+@query("insight_report", f"""
+, kf AS (WITH {FINDINGS_SQL.strip().lstrip(",")}),
+i AS (SELECT count(*) AS n, min(timestamp) AS a, max(timestamp) AS b, count(DISTINCT location) AS locations FROM readings),
+q AS (SELECT avg(aqi_value) AS mean, median(aqi_value) AS median, stddev_samp(aqi_value) AS std, min(aqi_value) AS low, max(aqi_value) AS high FROM readings)
+SELECT unnest(['TRAFFIC AND AIR QUALITY REPORT', 'Data', 'Findings', 'Air quality index'] || [repeat('-', 60), repeat('-', 60), repeat('-', 60), repeat('-', 60)]) AS line
+UNION ALL SELECT 'Records: ' || format('{{:,}}', n) FROM i
+UNION ALL SELECT 'From ' || {_said("a")} || ' to ' || {_said("b")} || ', ' || ((epoch_us(b) - epoch_us(a)) // 86400000000) || ' whole days' FROM i
+UNION ALL SELECT 'Locations: ' || locations FROM i
+UNION ALL SELECT row_number() OVER (ORDER BY ord) || '. [' || category || '] ' || finding FROM kf
+UNION ALL SELECT printf('Mean %.2f, median %.2f, standard deviation %.2f', mean, median, std) FROM q
+UNION ALL SELECT printf('Range %.0f to %.0f', low::DOUBLE, high::DOUBLE) FROM q
 """)
 def insight_report(spark, sf):
-    """The text report of the readings, written and read back; the lines with counts."""
+    """The text report of the readings, written and read back, all its lines."""
     from cityflux.operators import describe, findings
     from cityflux.runs import reports
     from cityflux.sources.exports import write_text
@@ -321,8 +335,7 @@ def insight_report(spark, sf):
     text = reports.insight_report(describe.dataset_info(r), findings.key_findings(r), describe.summary_statistics(r))
     path = fresh_path(spark, "report")
     write_text(spark, text, path)
-    lines = spark.read.text(path).withColumnRenamed("value", "line")
-    return lines.filter(F.col("line").startswith("Records") | F.col("line").startswith("Locations"))
+    return spark.read.text(path).withColumnRenamed("value", "line").filter("line <> ''")
 
 
 def _folds_sql(k: int) -> str:
