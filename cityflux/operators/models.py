@@ -205,9 +205,9 @@ def _grown(rows: DataFrame, kind: str, cuts: list, names: list[str], label: str,
         forest, base = trees.boost(rows, width, plan, settings["maxIter"], settings["stepSize"], label, classes)
         told = {k: settings[k] for k in ("maxIter", "maxDepth", "stepSize")}
         return trees.TreeModel(names, cuts, forest, "softmax" if classes else "sum", base, told)
-    forest = trees.fit_forest(rows, width, plan, settings["numTrees"], label, bootstrap=settings.get("bootstrap", True), classes=classes)
+    forest = trees.plant(rows, width, plan, settings["numTrees"], label, bootstrap=settings.get("bootstrap", True), classes=classes)
     told = {k: settings[k] for k in ("numTrees", "maxDepth", "minInstancesPerNode", "minSamplesSplit") if k in settings}
-    return trees.TreeModel(names, cuts, forest, "shares" if classes else "mean", [], told)
+    return trees.TreeModel(names, cuts, forest, "shares" if classes else "mean", [0.0] * classes, told)
 
 
 def fit_trees(df: DataFrame, target: str, kind: str, names: list[str], **settings) -> trees.TreeModel:
@@ -239,7 +239,7 @@ def _nested_errors(rows: DataFrame, kind: str, label: str, classes: int, width:
             else:
                 keys = [(p["numTrees"], p["maxDepth"], p.get("minSamplesSplit", 2)) for p in full]
                 widest = {**own, "maxDepth": max(k[1] for k in keys), "minSamplesSplit": min(k[2] for k in keys)}
-                forest = trees.fit_forest(rows, width, _growth(widest, width), max(k[0] for k in keys), label, without=fold, bootstrap=own.get("bootstrap", True), classes=classes)
+                forest = trees.plant(rows, width, _growth(widest, width), max(k[0] for k in keys), label, without=fold, bootstrap=own.get("bootstrap", True), classes=classes)
                 found = trees.forest_errors(rows, width, forest, label, keys, fold, classes)
                 errors = [found[k] for k in keys]
             for i, e in zip(members, errors):

@@ -11,7 +11,7 @@ depth, or larger nodes needed for a split are found by stopping earlier.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cityflux.plans.scratch import materialize
+from cityflux.plans.scratch import exists, materialize
 
 BINS = 32
 # Rows of a node that one task finishes; cells of a histogram held at a time.
-LOCAL_ROWS, CELLS = 200_000, 4_000_000
+LOCAL_ROWS, CELLS = 500_000, 1_000_000
+# Deeper than any tree.
+MAX_DEPTH = 62
 # Boosted scores are written anew after so many rounds; in between they are added up from the latest trees.
 KEPT_ROUNDS = 10
 
@@ -85,6 +87,17 @@ def binned(df: DataFrame, names: list[str], cuts: list[np.ndarray], keep: list[s
     return materialize(both.mapInArrow(run, schema), "bins")
 
 
+def _as_bytes(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _from_bytes(parts: Iterable[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in parts])
+
+
 def _bins_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("_bins").to_pylist()), np.uint8).reshape(-1, width)
 
@@ -122,20 +135,31 @@ def _tried(nodes: np.ndarray, tree: int, width: int, plan: Growth) -> np.ndarray
     return out
 
 
-def _histogram(place: np.ndarray, m: int, b: np.ndarray, bins: int, w: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Sums (node, feature, bin, 1 + outputs) of the weights and of g."""
-    width = b.shape[1]
-    flat = ((place[:, None] * width + np.arange(width)) * bins + b).ravel()
-    sums = [np.bincount(flat, np.repeat(x, width), m * width * bins) for x in (w, *g.T)]
-    return np.stack(sums, -1).reshape(m, width, bins, -1)
+def _histogram(place: np.ndarray, m: int, b: np.ndarray, bins: int, w: np.ndarray, g: np.ndarray, classes: int = 0, tried: np.ndarray | None = None) -> np.ndarray:
+    """Sums (node, feature, bin, 1 + outputs) of the weights and of g; ``b`` has a row per feature, g a column per output or class numbers."""
+    width = len(b)
+    out = np.empty((m, width, bins, 1 + (classes or g.shape[1])))
+    for f in range(width):
+        own = slice(None) if tried is None else np.flatnonzero(tried[place, f])
+        cell = place[own] * bins + b[f][own]
+        if classes:
+            each = np.bincount(cell * classes + g[own], w[own], m * bins * classes).reshape(m, bins, classes)
+            out[:, f, :, 0], out[:, f, :, 1:] = each.sum(-1), each
+        else:
+            for k, x in enumerate((w, *g.T)):
+                out[:, f, :, k] = np.bincount(cell, x[own], m * bins).reshape(m, bins)
+    return out
+
+
+# Falls in error that differ less than this come from sums in another order.
+_EVEN = 1 - 1e-9
 
 
-def best_splits(hist: np.ndarray, plan: Growth, tried: np.ndarray | None) -> tuple[np.ndarray, ...]:
+def best_splits(hist: np.ndarray, plan: Growth, tried: np.ndarray | None, whole: np.ndarray) -> tuple[np.ndarray, ...]:
     """(feature, cut, gain) per node: the greatest fall in squared error, of equal ones the first; gain 0: none.
 
-    For shares of classes as outputs the fall is that of the Gini impurity.
+    For shares of classes as outputs the fall is that of the Gini impurity. ``whole``: sums of each node.
     """
-    whole = hist[:, :1].sum(2)[:, 0]
     left = hist.cumsum(2)[:, :, :-1]
     lw, rw = left[..., 0], whole[:, None, None, 0] - left[..., 0]
     lg, rg = left[..., 1:], whole[:, None, None, 1:] - left[..., 1:]
@@ -145,145 +169,253 @@ def best_splits(hist: np.ndarray, plan: Growth, tried: np.ndarray | None) -> tup
     if tried is not None:
         fits &= tried[:, :, None]
     gain = np.where(fits, gain, 0.0).reshape(len(hist), -1)
-    at = gain.argmax(1)
+    at = (gain >= (gain.max(1) * _EVEN)[:, None]).argmax(1)
     cuts = hist.shape[2] - 1
     return at // cuts, at % cuts, gain[np.arange(len(at)), at]
 
 
+def sorted_splits(place: np.ndarray, m: int, b: np.ndarray, bins: int, w: np.ndarray, g: np.ndarray, classes: int, plan: Growth, tried: np.ndarray | None, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As ``best_splits``, for nodes with fewer rows than a histogram has cells: rows are sorted by (node, bin). Rows come ordered by node."""
+    feature, cut, best = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m)
+    columns = np.eye(classes)[g] * w[:, None] if classes else g
+    columns = np.concatenate((w[:, None], columns), 1)
+    const = (whole[:, 1:] ** 2).sum(-1) / whole[:, 0]
+    least = max(plan.least, 1e-12)
+    for f in range(len(b)):
+        own = np.arange(len(place)) if tried is None else np.flatnonzero(tried[place, f])
+        if not len(own):
+            continue
+        key = np.sort(((place[own] * bins + b[f][own]) << 32) | own)
+        cell, node = key >> 32, (key >> 32) // bins
+        # Sums up to and with each row, less those of the nodes before.
+        run = np.cumsum(columns[key & 0xFFFFFFFF], 0)
+        starts = np.flatnonzero(np.diff(node, prepend=-1))
+        before = np.zeros((m, run.shape[1]))
+        before[node[starts[1:]]] = run[starts[1:] - 1]
+        ends = np.flatnonzero((cell[1:] != cell[:-1]) & (node[1:] == node[:-1]))
+        if not len(ends):
+            continue
+        at = node[ends]
+        left = run[ends] - before[at]
+        right = whole[at] - left
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = (left[:, 1:] ** 2).sum(-1) / left[:, 0] + (right[:, 1:] ** 2).sum(-1) / right[:, 0] - const[at]
+        gain = np.where((left[:, 0] >= least) & (right[:, 0] >= least), gain, 0.0)
+        most = np.zeros(m)
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        most[at[first]] = np.maximum.reduceat(gain, first)
+        good = np.flatnonzero(gain >= most[at] * _EVEN)[::-1]
+        place_of = np.zeros(m, np.int64)
+        place_of[at[good]] = good
+        better = np.flatnonzero(most * _EVEN > best)
+        feature[better], cut[better], best[better] = f, cell[ends[place_of[better]]] % bins, gain[place_of[better]]
+    return feature, cut, best
+
+
 _NODE = ["tree", "node", "feature", "cut", "gain", "rows", "weight", "value"]
 _NODES = "tree int, node long, feature int, cut int, gain double, rows long, weight double, value array<double>"
+# A subtree as one row: its nodes level by level, one packed array per column; gains also summed by feature.
+_PIECES = "tree int, root long, size long, feature binary, cut binary, rows binary, gain binary, value binary, gains array<double>"
+_PIECE = [c.split()[0] for c in _PIECES.split(", ")]
+_PACKED = {"feature": np.int16, "cut": np.uint8, "rows": np.int32, "gain": np.float32, "value": np.float64}
 
 
-def subtree(b: np.ndarray, w: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int, plan: Growth, tree: int, root: int) -> list[tuple]:
-    """All nodes below and with ``root`` (numbered as in a heap), level by level over the rows at hand; values are sum(g) / sum(h)."""
-    out, ids, place, level = [], np.array([root]), np.zeros(len(b), np.int64), root.bit_length() - 1
+def subtree(b: np.ndarray, w: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int, plan: Growth, tree: int, root: int, classes: int = 0) -> tuple:
+    """All nodes below and with ``root`` (numbered as in a heap), level by level over the rows at hand, as a row of ``_PIECES``.
+
+    ``b`` has a row per feature; values are sum(g) / sum(h).
+    """
+    levels, ids, place, level, width = [], np.array([root]), np.zeros(len(w), np.int64), root.bit_length() - 1, len(b)
     while len(ids):
         m = len(ids)
         rows, weight = np.bincount(place, minlength=m), np.bincount(place, w, m)
-        sums = np.stack([np.bincount(place, x, m) for x in g.T], -1)
-        squares = np.bincount(place, (g**2).sum(1) / np.maximum(w, 1e-300), m)
+        if classes:
+            sums = np.bincount(place * classes + g, w, m * classes).reshape(m, classes)
+            squares = weight
+        else:
+            sums = np.stack([np.bincount(place, x, m) for x in g.T], -1)
+            squares = np.bincount(place, (g**2).sum(1) / np.maximum(w, 1e-300), m)
         value = sums / np.maximum(np.bincount(place, h, m), 1e-300)[:, None]
         error = squares - (sums**2).sum(-1) / weight
         can = (rows >= plan.split) & (error > 1e-10 * squares) & (level < plan.depth)
         feature, cut, gain = np.full(m, -1), np.zeros(m, np.int64), np.zeros(m)
-        if can.any():
-            order = np.argsort(place, kind="stable")
-            first = np.searchsorted(place[order], np.arange(m + 1))
-            open_ = np.flatnonzero(can)
-            step = max(1, CELLS // (b.shape[1] * bins * (1 + g.shape[1])))
+        whole = np.concatenate((weight[:, None], sums), 1)
+        first = np.concatenate(([0], np.cumsum(rows)))
+        for large in (True, False):
+            open_ = np.flatnonzero(can & ((rows >= 2 * bins) == large))
+            if not len(open_):
+                continue
+            # Histograms of so many nodes at a time; sorting takes as many rows.
+            step = max(1, CELLS // (width * bins * whole.shape[1])) if large else len(open_)
             for s in range(0, len(open_), step):
                 own = open_[s : s + step]
-                at = np.concatenate([order[first[k] : first[k + 1]] for k in own])
-                inside = np.repeat(np.arange(len(own)), first[own + 1] - first[own])
-                hist = _histogram(inside, len(own), b[at], bins, w[at], g[at])
-                feature[own], cut[own], gain[own] = best_splits(hist, plan, _tried(ids[own], tree, b.shape[1], plan))
+                inside = np.repeat(np.arange(len(own)), rows[own])
+                at = np.arange(len(inside)) + np.repeat(first[own] - np.concatenate(([0], np.cumsum(rows[own])[:-1])), rows[own])
+                tried = _tried(ids[own], tree, width, plan)
+                if large:
+                    hist = _histogram(inside, len(own), b[:, at], bins, w[at], g[at], classes, tried)
+                    found = best_splits(hist, plan, tried, whole[own])
+                else:
+                    found = sorted_splits(inside, len(own), b[:, at], bins, w[at], g[at], classes, plan, tried, whole[own])
+                feature[own], cut[own], gain[own] = found
         split = can & (gain > 1e-10 * error)
         feature[~split], cut[~split], gain[~split] = -1, 0, 0
-        out += list(zip([tree] * m, ids.tolist(), feature.tolist(), cut.tolist(), gain.tolist(), rows.tolist(), weight.tolist(), value.tolist()))
-        goes = split[place]
-        b, w, g, h, place = b[goes], w[goes], g[goes], h[goes], place[goes]
-        right = b[np.arange(len(b)), feature[place]] > cut[place]
+        levels.append((feature, cut, rows, gain, value))
+        goes = np.flatnonzero(split[place])
+        right = b[feature[place[goes]], goes] > cut[place[goes]]
         ids = (2 * ids[split][:, None] + np.arange(2)).ravel()
-        place, level = 2 * (np.cumsum(split) - 1)[place] + right, level + 1
-    return out
+        place = 2 * (np.cumsum(split) - 1)[place[goes]] + right
+        # Rows stay ordered by node.
+        key = np.sort((place << 32) | np.arange(len(goes)))
+        place, goes, level = key >> 32, goes[key & 0xFFFFFFFF], level + 1
+        b, w, g, h = b[:, goes], w[goes], g[goes], h[goes]
+    told = dict(zip(_PACKED, (np.concatenate(x) for x in zip(*levels))))
+    split = told["feature"] >= 0
+    gains = np.bincount(told["feature"][split], told["gain"][split], width)
+    return (tree, root, len(split), *[told[k].astype(kind).tobytes() for k, kind in _PACKED.items()], gains.tolist())
 
 
 # --- growth on Spark ------------------------------------------------------------------------
 
-# Of a batch and a tree: weights, outputs (row by output, times the weight) and divisors; rows of weight 0 are not in the tree's sample.
+# Of a batch and a tree: weights, outputs (row by output, times the weight; or the class numbers) and divisors; rows of weight 0 are not in the tree's sample.
 Targets = Callable[[pa.RecordBatch, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _reached(nodes: pd.DataFrame, b: np.ndarray) -> np.ndarray:
-    """The node of one unfinished tree at which each row stands."""
-    if not len(nodes):
-        return np.ones(len(b), np.int64)
-    known = nodes.set_index("node")[["feature", "cut"]]
-    at = np.ones(len(b), np.int64)
-    while True:
-        own = known.reindex(at)
-        feature = own["feature"].fillna(-1).to_numpy(np.int64)
-        moves = feature >= 0
-        if not moves.any():
-            return at
-        at[moves] = 2 * at[moves] + (b[moves, feature[moves]] > own["cut"].to_numpy()[moves])
+# Trees that one task finishes together when the table is small; (tree, node) pairs counted in one pass.
+TOGETHER, PAIRS = 32, 4_000
+
 
+def _few(total: int, most: int) -> int:
+    """How many of a number of things one of at most ``most`` tasks takes."""
+    return -(-total // most)
 
-def grow(rows: DataFrame, width: int, bins: int, targets: Targets, plan: Growth, trees: list[int], count: int, local_rows: int = LOCAL_ROWS) -> pd.DataFrame:
-    """The nodes of all trees over a written table of bins, as a frame of ``_NODE`` columns (a model: of bounded size).
+
+def grow(rows: DataFrame, width: int, bins: int, targets: Targets, plan: Growth, trees: list[int], count: int, local_rows: int = LOCAL_ROWS, classes: int = 0, late: list[str] | None = None) -> tuple[pd.DataFrame, DataFrame]:
+    """All trees over a written table of bins: the nodes with many rows (``_NODE`` columns), and the subtrees below them (``_PIECES``, not yet computed).
 
     ``count`` is the number of rows of the table. Trees are the same for every ``local_rows`` but for sums in another order.
+    With ``late``, the columns that targets come from, tasks that finish trees of a small table find the targets themselves.
     """
-    top, fan = pd.DataFrame(columns=_NODE), int(np.ceil(np.sqrt(count / local_rows)))
-    big = {t: [1] for t in trees} if count > local_rows else {}
-    small = {} if big else {t: [1] for t in trees}
+    spark, top, fan = rows.sparkSession, pd.DataFrame(columns=_NODE), int(np.ceil(np.sqrt(count / local_rows)))
+    whole = count <= local_rows
+    big = [] if whole else [(t, 1) for t in trees]
+    small = {}
     while big:
-        by_tree = {t: top[top["tree"] == t] for t in big}
-
-        def count_up(batches: Iterator[pa.RecordBatch], by_tree=by_tree, big=big) -> Iterator[pa.RecordBatch]:
-            held: dict[tuple[int, int], list] = {}
-            for batch in batches:
-                b = _bins_of(batch, width)
-                for t, open_ in big.items():
-                    w, g, h = targets(batch, b, t)
-                    at = _reached(by_tree[t], b)
-                    for node in open_:
-                        own = np.flatnonzero((at == node) & (w > 0))
-                        hist = _histogram(np.zeros(len(own), np.int64), 1, b[own], bins, w[own], g[own]).ravel()
-                        tail = [len(own), h[own].sum(), ((g[own] ** 2).sum(1) / w[own]).sum()]
-                        held[t, node] = held.get((t, node), 0) + np.concatenate((hist, tail))
-            branch = TaskContext.get().partitionId() % fan
-            keys = [(branch, t, node, v.tobytes()) for (t, node), v in held.items()]
-            if keys:
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*keys), kinds)], names=["branch", "tree", "node", "sums"])
-
-        def add(frame: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x) for x in frame["sums"])
-            return pd.DataFrame({"tree": frame["tree"][:1], "node": frame["node"][:1], "sums": [total.tobytes()]})
-
-        def decide(frame: pd.DataFrame) -> pd.DataFrame:
-            tree, node = int(frame["tree"].iloc[0]), int(frame["node"].iloc[0])
-            level = node.bit_length() - 1
-            total = sum(np.frombuffer(x) for x in frame["sums"])
-            hist, (n, h, squares) = total[:-3].reshape(1, width, bins, -1), total[-3:]
-            whole = hist[0, 0].sum(0)
-            error = squares - (whole[1:] ** 2).sum() / max(whole[0], 1e-300)
-            feature, cut, gain = (x[0] for x in best_splits(hist, plan, _tried(np.array([node]), tree, width, plan)))
-            split = n >= plan.split and error > 1e-10 * squares and level < plan.depth and gain > 1e-10 * error
-            value = (whole[1:] / max(h, 1e-300)).tolist()
-            row = (tree, node, int(feature), int(cut), float(gain)) if split else (tree, node, -1, 0, 0.0)
-            return pd.DataFrame([(*row, int(n), float(whole[0]), value)], columns=_NODE)
-
-        first = rows.mapInArrow(count_up, "branch int, tree int, node long, sums binary").groupBy("branch", "tree", "node").applyInPandas(add, "tree int, node long, sums binary")
-        told = first.groupBy("tree", "node").applyInPandas(decide, _NODES).toPandas()
-        top, big = pd.concat([top, told], ignore_index=True) if len(top) else told, {}
+        above, told = _stubbed(top) if len(top) else None, []
+        for s in range(0, len(big), PAIRS):
+            told.append(_counted(rows, width, bins, targets, plan, big[s : s + PAIRS], above, fan, classes))
+        told = pd.concat(told, ignore_index=True)
+        top, big = pd.concat([top, told], ignore_index=True) if len(top) else told, []
         for r in told[told["feature"] >= 0].itertuples():
             # A child may hold all its parent's rows but one: half of them, rounded up, is the usual case.
             for child in (2 * r.node, 2 * r.node + 1):
-                (big if r.rows > 2 * local_rows else small).setdefault(r.tree, []).append(child)
-    by_tree = {t: top[top["tree"] == t] for t in small}
+                if r.rows > 2 * local_rows:
+                    big.append((r.tree, child))
+                else:
+                    small.setdefault(r.tree, []).append(child)
+    if whole and late is not None:
+        return top, _grown_together(rows, width, bins, targets, plan, trees, classes, late)
+    above = _stubbed(top) if len(top) else None
+    small = {t: [1] for t in trees} if whole else small
+    number = np.int32 if classes else np.float64
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = _bins_of(batch, width)
             for t, open_ in small.items():
                 w, g, h = targets(batch, b, t)
-                at = _reached(by_tree[t], b)
+                at = np.ones(len(b), np.int64) if above is None else above.node[above.reach(above.at(t), b, plan.depth)]
                 own = np.flatnonzero((w > 0) & np.isin(at, open_))
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(g[own].ravel()), g.shape[1]).cast(pa.list_(pa.float64()))
-                columns = [np.full(len(own), t, np.int32), at[own], w[own], h[own]]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], lists, batch.column("_bins").take(pa.array(own))], names=["tree", "node", "w", "h", "g", "b"])
+                own = own[np.argsort(at[own], kind="stable")]
+                ends = np.flatnonzero(np.diff(at[own], append=-1)) + 1
+                for part in np.split(own, ends[:-1]) if len(own) else ():
+                    packed = [w[part].tobytes(), h[part].tobytes(), g[part].astype(number).tobytes(), b[part].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([at[part[0]]]), *[pa.array([x]) for x in packed]], names=["tree", "node", "w", "h", "g", "b"])
 
     def finish(frame: pd.DataFrame) -> pd.DataFrame:
-        b = np.frombuffer(b"".join(frame["b"]), np.uint8).reshape(-1, width)
-        own = subtree(b, frame["w"].to_numpy(), np.stack(frame["g"].to_list()), frame["h"].to_numpy(), bins, plan, int(frame["tree"].iloc[0]), int(frame["node"].iloc[0]))
-        return pd.DataFrame(own, columns=_NODE)
+        w, h = (np.frombuffer(b"".join(frame[c])) for c in "wh")
+        g = np.frombuffer(b"".join(frame["g"]), number)
+        b = np.ascontiguousarray(np.frombuffer(b"".join(frame["b"]), np.uint8).reshape(-1, width).T)
+        own = subtree(b, w, g if classes else g.reshape(len(w), -1), h, bins, plan, int(frame["tree"].iloc[0]), int(frame["node"].iloc[0]), classes)
+        return pd.DataFrame([own], columns=_PIECE)
+
+    # What ends among the large nodes is a subtree of one node.
+    ended = top[(top["feature"] < 0)].itertuples() if len(top) else ()
+    leaves = [(int(r.tree), int(r.node), 1, *[np.array(x).astype(kind).tobytes() for x, kind in zip((-1, 0, r.rows, 0.0, r.value), _PACKED.values())], [0.0] * width) for r in ended]
+    ends = spark.createDataFrame(leaves, _PIECES)
+    pieces = rows.mapInArrow(gather, "tree int, node long, w binary, h binary, g binary, b binary").groupBy("tree", "node").applyInPandas(finish, _PIECES)
+    return top, pieces.unionByName(ends) if leaves else pieces
+
+
+def _counted(rows: DataFrame, width: int, bins: int, targets: Targets, plan: Growth, big: list[tuple[int, int]], above: Forest | None, fan: int, classes: int) -> pd.DataFrame:
+    """The best splits of large nodes (tree, node) from histograms that tasks add up and Spark sums."""
+    by_tree: dict[int, list[int]] = {}
+    for t, node in big:
+        by_tree.setdefault(t, []).append(node)
+
+    def count_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            b = _bins_of(batch, width)
+            for t, open_ in by_tree.items():
+                w, g, h = targets(batch, b, t)
+                at = np.ones(len(b), np.int64) if above is None else above.node[above.reach(above.at(t), b, plan.depth)]
+                for node in open_:
+                    own = np.flatnonzero((at == node) & (w > 0))
+                    hist = _histogram(np.zeros(len(own), np.int64), 1, b[own].T, bins, w[own], g[own], classes).ravel()
+                    squares = w[own].sum() if classes else ((g[own] ** 2).sum(1) / w[own]).sum()
+                    held[t, node] = held.get((t, node), 0) + np.concatenate((hist, [len(own), h[own].sum(), squares]))
+        branch = TaskContext.get().partitionId() % fan
+        keys = [(branch, t, node, v.tobytes()) for (t, node), v in held.items()]
+        if keys:
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*keys), kinds)], names=["branch", "tree", "node", "sums"])
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in frame["sums"])
+        return pd.DataFrame({"tree": frame["tree"][:1], "node": frame["node"][:1], "sums": [total.tobytes()]})
+
+    def decide(frame: pd.DataFrame) -> pd.DataFrame:
+        tree, node = int(frame["tree"].iloc[0]), int(frame["node"].iloc[0])
+        level = node.bit_length() - 1
+        total = sum(np.frombuffer(x) for x in frame["sums"])
+        hist, (n, h, squares) = total[:-3].reshape(1, width, bins, -1), total[-3:]
+        whole = hist[0, 0].sum(0)
+        error = squares - (whole[1:] ** 2).sum() / max(whole[0], 1e-300)
+        feature, cut, gain = (x[0] for x in best_splits(hist, plan, _tried(np.array([node]), tree, width, plan), whole[None]))
+        split = n >= plan.split and error > 1e-10 * squares and level < plan.depth and gain > 1e-10 * error
+        value = (whole[1:] / max(h, 1e-300)).tolist()
+        row = (tree, node, int(feature), int(cut), float(gain)) if split else (tree, node, -1, 0, 0.0)
+        return pd.DataFrame([(*row, int(n), float(whole[0]), value)], columns=_NODE)
+
+    first = rows.mapInArrow(count_up, "branch int, tree int, node long, sums binary").groupBy("branch", "tree", "node").applyInPandas(add, "tree int, node long, sums binary")
+    return first.groupBy("tree", "node").applyInPandas(decide, _NODES).toPandas()
+
+
+def _grown_together(rows: DataFrame, width: int, bins: int, targets: Targets, plan: Growth, trees: list[int], classes: int, late: list[str]) -> DataFrame:
+    """Trees of a table that one task may hold: its rows go once to each of some tasks, which grow a few trees each."""
+    few = _few(len(trees), TOGETHER)
+    groups = _few(len(trees), few)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups, dtype=np.int32)), pa.array([_as_bytes(batch)] * groups)], names=["part", "rows"])
 
-    if not small:
-        return top
-    done = rows.mapInArrow(gather, "tree int, node long, w double, h double, g array<double>, b binary").groupBy("tree", "node").applyInPandas(finish, _NODES).toPandas()
-    return pd.concat([top, done], ignore_index=True) if len(top) else done
+    def finish(frame: pd.DataFrame) -> pd.DataFrame:
+        part = int(frame["part"].iloc[0])
+        batch = _from_bytes(frame["rows"]).combine_chunks().to_batches()[0]
+        # The same order of rows, and so of sums, whatever order the batches came in.
+        batch = batch.take(pa.array(np.argsort(batch.column("_row").to_numpy())))
+        b, out = _bins_of(batch, width), []
+        for t in trees[part * few : (part + 1) * few]:
+            w, g, h = targets(batch, b, t)
+            drawn = np.flatnonzero(w > 0)
+            if len(drawn):
+                out.append(subtree(np.ascontiguousarray(b[drawn].T), w[drawn], g[drawn], h[drawn], bins, plan, t, 1, classes))
+        return pd.DataFrame(out, columns=_PIECE)
+
+    return rows.select(*late, "_row", "_bins").mapInArrow(deal, "part int, rows binary").repartition(3 * groups, "part").groupBy("part").applyInPandas(finish, _PIECES)
 
 
 # --- models ---------------------------------------------------------------------------------
@@ -314,6 +446,10 @@ class Forest:
         start = np.flatnonzero(np.diff(tree, prepend=-1))
         return Forest(start, feature, nodes["cut"].to_numpy(np.int64), np.where(feature < 0, -1, left), nodes["rows"].to_numpy(np.int64), nodes["gain"].to_numpy(float), value, tree, node)
 
+    def at(self, tree: int) -> int:
+        """The place of a tree in the order of trees."""
+        return int(np.searchsorted(self.tree[self.start], tree))
+
     def nodes(self) -> pd.DataFrame:
         columns = (self.tree, self.node, self.feature, self.cut, self.gain, self.rows, self.rows.astype(float), self.value.tolist())
         return pd.DataFrame(dict(zip(_NODE, columns)))
@@ -352,6 +488,143 @@ class Forest:
         return out
 
 
+@dataclass
+class Piece:
+    """A subtree, its nodes level by level: the children of its k-th split are nodes 2k + 1 and 2k + 2."""
+
+    tree: int
+    root: int
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    rows: np.ndarray
+    gain: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(row) -> Piece:
+        told = {k: np.frombuffer(getattr(row, k, b""), kind) for k, kind in _PACKED.items()}
+        split = told["feature"] >= 0
+        value = told.pop("value").reshape(len(split), -1)
+        return Piece(int(row.tree), int(row.root), **told, left=np.where(split, 2 * np.cumsum(split) - 1, -1), value=value)
+
+    def nodes(self) -> pd.DataFrame:
+        ids, at = np.empty(len(self.feature), np.int64), np.array([0])
+        ids[0] = self.root
+        while len(at):
+            at = at[self.feature[at] >= 0]
+            ids[self.left[at]], ids[self.left[at] + 1] = 2 * ids[at], 2 * ids[at] + 1
+            at = np.concatenate((self.left[at], self.left[at] + 1))
+        columns = (self.tree, ids, self.feature, self.cut, self.gain, self.rows, self.rows.astype(float), self.value.tolist())
+        return pd.DataFrame(dict(zip(_NODE, columns)))
+
+    def add_below(self, out: np.ndarray, above: Forest | None, b: np.ndarray, depths: list[int], splits: list[int]) -> None:
+        """Add to ``out`` the values of rows that end in the subtree, or at a large node above of which it is the first leaf."""
+        if above is None:
+            return self.add(out, b, np.arange(len(b)), depths, splits)
+        tree, down = above.at(self.tree), self.root.bit_length() - 1
+        for d, depth in enumerate(depths):
+            for s, least in enumerate(splits):
+                at = above.reach(tree, b, depth, least)
+                first = at.copy()
+                while (inner := above.feature[first] >= 0).any():
+                    first = np.where(inner, above.left[first], first)
+                mine, leaf = above.node[first] == self.root, first == at
+                out[d, s, mine & ~leaf] += above.value[at[mine & ~leaf]]
+                self.add(out[d : d + 1, s : s + 1], b, np.flatnonzero(mine & leaf), [depth - down], [least])
+
+    def add(self, out: np.ndarray, b: np.ndarray, own: np.ndarray, depths: list[int], splits: list[int]) -> None:
+        """Add to ``out`` (depth, split, row, output) the values of the rows ``own``; depths count from the root of the subtree."""
+        now, act = np.zeros(len(own), np.int64), np.arange(len(own))
+        ends = np.zeros((len(splits), len(own)), np.int64)
+        for step in range(max(depths) + 1):
+            for d in np.flatnonzero(np.array(depths) == step):
+                for s in range(len(splits)):
+                    out[d, s, own] += self.value[ends[s]]
+            act = act[self.feature[now[act]] >= 0]
+            if not len(act):
+                for d in np.flatnonzero(np.array(depths) > step):
+                    for s in range(len(splits)):
+                        out[d, s, own] += self.value[ends[s]]
+                return
+            c = now[act]
+            now[act] = self.left[c] + (b[own[act], self.feature[c]] > self.cut[c])
+            for s, least in enumerate(splits):
+                # Nodes below one with too few rows have fewer still.
+                goes = act[self.rows[c] >= least]
+                ends[s, goes] = now[goes]
+
+
+@dataclass
+class Grove:
+    """A forest as a written table of subtrees, which is never in one place; ``top`` has the large nodes above them."""
+
+    pieces: DataFrame
+    top: pd.DataFrame
+    trees: int
+
+    def collect(self) -> Forest:
+        """The forest in one place, for small ones."""
+        parts = [Piece.of(r).nodes() for r in self.pieces.toPandas().itertuples()]
+        inner = self.top[self.top["feature"] >= 0]
+        return Forest.of(pd.concat([*([inner] if len(inner) else []), *parts], ignore_index=True) if parts else pd.DataFrame(columns=_NODE))
+
+    def importances(self, width: int) -> np.ndarray:
+        """Mean over trees of each feature's share of the fall in error."""
+        told = self.pieces.groupBy("tree").agg(*[F.sum(F.col("gains")[k]).alias(f"g{k}") for k in range(width)]).toPandas().set_index("tree").sort_index()
+        gain = told.to_numpy(float).reshape(-1, width)
+        for r in self.top[self.top["feature"] >= 0].itertuples():
+            gain[told.index.get_loc(r.tree), r.feature] += r.gain
+        total = gain.sum(1, keepdims=True)
+        share = np.divide(gain, total, out=np.zeros_like(gain), where=total > 0).sum(0)
+        return share / share.sum() if share.sum() else share
+
+    def sums(self, chunks: DataFrame, width: int, rows: int, sizes: list[int], depths: list[int], splits: list[int]) -> DataFrame:
+        """(chunk, part, sums): of the trees of one part the values of a chunk's rows, by (size of forest, depth, least rows to split, row, output).
+
+        Parts of the forest meet blocks of rows in one task each; the values of all parts add up to those of the forest.
+        """
+        nodes = self.pieces.agg(F.sum("size")).first()[0] or 0
+        parts = min(self.trees, max(PARTS, _few(nodes, PART_NODES)))
+        # Trees too large for a part are dealt by their subtrees.
+        within = _few(nodes, PART_NODES * parts) or 1
+        blocks = _few(rows, BLOCK_ROWS) or 1
+        part = (F.col("tree") * parts / self.trees).cast("int") * within + F.pmod(F.hash("root"), F.lit(within))
+        deal = 2 * parts * within * blocks
+        held = self.pieces.drop("gain", "gains").withColumn("part", part.cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        sent = chunks.select("chunk", "bins", F.pmod(F.hash("chunk"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts * within - 1))).alias("part"))
+        above = _stubbed(self.top) if len(self.top) else None
+
+        def add(rows_: pd.DataFrame, trees_: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows_) or not len(trees_):
+                return pd.DataFrame({"chunk": [], "part": [], "bands": [], "sums": []})
+            pieces = [Piece.of(r) for r in trees_.sort_values(["tree", "root"]).itertuples()]
+            band = np.searchsorted(sizes, [p.tree for p in pieces], "right")
+            bands, out = sorted({int(x) for x in band if x < len(sizes)}), []
+            for r in rows_.itertuples():
+                b = np.frombuffer(r.bins, np.uint8).reshape(-1, width)
+                total = np.zeros((len(bands), len(depths), len(splits), len(b), pieces[0].value.shape[1]))
+                for p, k in zip(pieces, band):
+                    if k < len(sizes):
+                        p.add_below(total[bands.index(k)], above, b, depths, splits)
+                out.append((r.chunk, int(rows_["part"].iloc[0]), bands, total.tobytes()))
+            return pd.DataFrame(out, columns=["chunk", "part", "bands", "sums"])
+
+        groups = [x.repartition(deal, "part", "block").groupBy("part", "block") for x in (sent, held)]
+        return groups[0].cogroup(groups[1]).applyInPandas(add, "chunk long, part int, bands array<int>, sums binary")
+
+
+# Parts of a forest, so many at least; nodes of a part; rows of a block.
+PARTS, PART_NODES, BLOCK_ROWS = 24, 2_000_000, 500_000
+
+
+def _stubbed(top: pd.DataFrame) -> Forest:
+    """Large nodes with their children that are not among them as leaves."""
+    split = top[top["feature"] >= 0]
+    children = pd.concat([split.assign(node=2 * split["node"] + k, feature=-1, cut=0, gain=0.0, rows=0) for k in (0, 1)])
+    return Forest.of(pd.concat([top, children], ignore_index=True).drop_duplicates(["tree", "node"]))
+
+
 @dataclass
 class TreeModel:
     """Trees with what is needed to predict from raw features; ``kind`` is mean, sum, shares or softmax.
@@ -361,7 +634,7 @@ class TreeModel:
 
     names: list[str]
     cuts: list[np.ndarray]
-    forest: Forest
+    forest: Forest | Grove
     kind: str
     base: list[float]
     settings: dict
@@ -372,6 +645,8 @@ class TreeModel:
 
     @property
     def featureImportances(self) -> DenseVector:  # noqa: N802
+        if isinstance(self.forest, Grove):
+            return Vectors.dense(self.forest.importances(len(self.names)))
         gain = np.zeros(len(self.names))
         split = self.forest.feature >= 0
         np.add.at(gain, self.forest.feature[split], self.forest.gain[split])
@@ -390,6 +665,8 @@ class TreeModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """The frame with ``prediction``, and ``probability`` (array by class) for classes; features alone go to Python."""
+        if isinstance(self.forest, Grove):
+            return self._met(df)
         sent = df.sparkSession.sparkContext.broadcast(self)
 
         @F.pandas_udf("array<double>")
@@ -405,8 +682,45 @@ class TreeModel:
         best = F.array_position("_told", F.array_max("_told")) - 1
         return out.withColumn("prediction", best.cast("double")).withColumnRenamed("_told", "probability")
 
+    def _met(self, df: DataFrame) -> DataFrame:
+        """``transform`` with a forest that is a table: rows are packed into chunks, which meet its parts, written."""
+        names, cuts, width, own = self.names, self.cuts, len(self.names), len(df.columns)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunk = TaskContext.get().partitionId() << 33
+            for batch in batches:
+                if len(batch):
+                    b = np.stack([np.searchsorted(c, _column(batch, f"_f{k}")) for k, c in enumerate(cuts)], 1).astype(np.uint8)
+                    kept = _as_bytes(batch.select(range(own)))
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (chunk, len(batch), b.tobytes(), kept)], names=["chunk", "n", "bins", "kept"])
+                    chunk += 1
+
+        both = df.select("*", *[F.col(c).cast("double").alias(f"_f{k}") for k, c in enumerate(names)])
+        chunks = materialize(both.mapInArrow(pack, "chunk long, n long, bins binary, kept binary"), "chunks")
+        rows = chunks.agg(F.sum("n")).first()[0] or 0
+        sums = self.forest.sums(chunks, width, rows, [self.forest.trees], [MAX_DEPTH], [0])
+        outputs, trees, mean = len(self.base) or 1, max(1, self.forest.trees), self.kind == "mean"
+
+        def told(left: pa.Table, right: pa.Table) -> pa.Table:
+            kept = _from_bytes(left.column("kept").to_pylist())
+            parts = right.sort_by("part").column("sums").to_pylist()
+            total = sum((np.frombuffer(x).reshape(len(kept), outputs) for x in parts), np.zeros((len(kept), outputs))) / trees
+            if mean:
+                return kept.append_column("prediction", pa.array(total[:, 0]))
+            shares = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), outputs).cast(pa.list_(pa.float64()))
+            return kept.append_column("probability", shares).append_column("prediction", pa.array(total.argmax(1).astype(float)))
+
+        schema = T.StructType(list(df.schema.fields))
+        schema = schema.add("prediction", "double") if mean else schema.add("probability", T.ArrayType(T.DoubleType())).add("prediction", "double")
+        return materialize(chunks.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(told, schema), "predictions")
+
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame(self.forest.nodes(), _NODES).write.mode("overwrite").parquet(f"{path}/nodes")
+        if isinstance(self.forest, Grove):
+            self.forest.pieces.write.mode("overwrite").parquet(f"{path}/pieces")
+            top = [(*r[:-1], [float(x) for x in r.value]) for r in self.forest.top.itertuples(index=False)]
+            spark.createDataFrame(top, _NODES).write.mode("overwrite").parquet(f"{path}/top")
+        else:
+            spark.createDataFrame(self.forest.nodes(), _NODES).write.mode("overwrite").parquet(f"{path}/nodes")
         settings = {k: float(v) for k, v in self.settings.items()}
         row = (self.names, [c.tolist() for c in self.cuts], self.kind, [float(x) for x in self.base], settings)
         schema = "names array<string>, cuts array<array<double>>, kind string, base array<double>, settings map<string,double>"
@@ -415,7 +729,11 @@ class TreeModel:
     @staticmethod
     def load(spark: SparkSession, path: str) -> TreeModel:
         r = spark.read.parquet(f"{path}/trees").first()
-        forest = Forest.of(spark.read.parquet(f"{path}/nodes").toPandas())
+        if exists(spark, f"{path}/pieces"):
+            top = spark.read.parquet(f"{path}/top").toPandas()
+            forest = Grove(spark.read.schema(_PIECES).parquet(f"{path}/pieces"), top, int(r["settings"]["numTrees"]))
+        else:
+            forest = Forest.of(spark.read.parquet(f"{path}/nodes").toPandas())
         return TreeModel(r["names"], [np.array(c) for c in r["cuts"]], forest, r["kind"], r["base"], r["settings"])
 
 
@@ -427,18 +745,22 @@ def softmax(scores: np.ndarray) -> np.ndarray:
 # --- fits -----------------------------------------------------------------------------------
 
 
-def fit_forest(rows: DataFrame, width: int, plan: Growth, trees: int, label: str, without: int | None = None, bootstrap: bool = True, classes: int = 0, local_rows: int = LOCAL_ROWS, bins: int = BINS) -> Forest:
+def plant(rows: DataFrame, width: int, plan: Growth, trees: int, label: str, without: int | None = None, bootstrap: bool = True, classes: int = 0, local_rows: int = LOCAL_ROWS, bins: int = BINS) -> Grove:
     """A forest over a written table of bins; ``without`` leaves out the rows of that ``fold``. ``classes``: labels 0, 1, ... as shares."""
+    own = rows if without is None else rows.filter(F.col("fold") != without)
 
     def targets(batch: pa.RecordBatch, b: np.ndarray, tree: int) -> tuple[np.ndarray, ...]:
         y = _column(batch, label)
         w = draws(batch.column("_row").to_numpy(), tree, plan.seed) if bootstrap else np.ones(len(y))
-        if without is not None:
-            w = w * (_column(batch, "fold") != without)
-        g = np.eye(classes)[y.astype(int)] if classes else y[:, None]
-        return w, g * w[:, None], w
+        return w, y.astype(np.int64) if classes else (y * w)[:, None], w
+
+    top, pieces = grow(own, width, bins, targets, plan, list(range(trees)), own.count(), local_rows, classes, [label])
+    return Grove(materialize(pieces, "pieces"), top, trees)
+
 
-    return Forest.of(grow(rows, width, bins, targets, plan, list(range(trees)), rows.count(), local_rows))
+def fit_forest(*args, **settings) -> Forest:
+    """``plant`` for small forests, collected."""
+    return plant(*args, **settings).collect()
 
 
 def boost(rows: DataFrame, width: int, plan: Growth, rounds: int, rate: float, label: str, classes: int = 0, without: int | None = None, local_rows: int = LOCAL_ROWS, bins: int = BINS) -> tuple[Forest, list[float]]:
@@ -480,7 +802,7 @@ def boost(rows: DataFrame, width: int, plan: Growth, rounds: int, rate: float, l
             r = (y == tree % outputs) - softmax(now)[:, tree % outputs]
             return ones, r[:, None], np.abs(r) * (1 - np.abs(r))
 
-        grown = grow(scored, width, bins, targets, plan, [turn * outputs + k for k in range(outputs)], count, local_rows)
+        grown = Grove(*reversed(grow(scored, width, bins, targets, plan, [turn * outputs + k for k in range(outputs)], count, local_rows)), outputs).collect().nodes()
         if classes:
             # One Newton step per leaf; where every row is right already there is nothing to divide by.
             step = (classes - 1) / classes
@@ -501,11 +823,13 @@ def boost(rows: DataFrame, width: int, plan: Growth, rounds: int, rate: float, l
     return Forest.of(pd.concat(done, ignore_index=True)), base
 
 
-def forest_errors(rows: DataFrame, width: int, forest: Forest, label: str, points: list[tuple[int, int, int]], fold: int | None = None, classes: int = 0) -> dict[tuple[int, int, int], float]:
+def forest_errors(rows: DataFrame, width: int, forest: Forest | Grove, label: str, points: list[tuple[int, int, int]], fold: int | None = None, classes: int = 0) -> dict[tuple[int, int, int], float]:
     """Mean squared error of the forests inside one forest, by (trees, depth, least rows to split), in one pass over the rows.
 
     Of shares of classes the prediction is the likeliest one.
     """
+    if isinstance(forest, Grove):
+        return _grove_errors(rows, width, forest, label, points, fold, classes)
     sent = rows.sparkSession.sparkContext.broadcast(forest)
     sizes, depths, splits = (sorted(set(x)) for x in zip(*points))
 
@@ -535,6 +859,40 @@ def forest_errors(rows: DataFrame, width: int, forest: Forest, label: str, point
     return {p: found.get(p, float("nan")) for p in points}
 
 
+def _grove_errors(rows: DataFrame, width: int, forest: Grove, label: str, points: list[tuple[int, int, int]], fold: int | None, classes: int) -> dict[tuple[int, int, int], float]:
+    sizes, depths, splits = (sorted(set(x)) for x in zip(*points))
+    own = rows if fold is None else rows.filter(F.col("fold") == fold)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            if len(batch):
+                columns = (chunk, len(batch), _bins_of(batch, width).tobytes(), _column(batch, label).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in columns], names=["chunk", "n", "bins", "y"])
+                chunk += 1
+
+    chunks = materialize(own.select(label, "_bins").mapInArrow(pack, "chunk long, n long, bins binary, y binary"), "chunks")
+    sums = forest.sums(chunks, width, chunks.agg(F.sum("n")).first()[0] or 0, sizes, depths, splits)
+    outputs = classes or 1
+
+    def errors(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        y = np.frombuffer(left["y"].iloc[0])
+        total = np.zeros((len(sizes), len(depths), len(splits), len(y), outputs))
+        for r in right.sort_values("part").itertuples():
+            # Trees count for their own size and all larger ones.
+            for k, x in zip(r.bands, np.frombuffer(r.sums).reshape(len(r.bands), *total.shape[1:])):
+                total[k:] += x
+        guess = total.argmax(-1) if classes else total[..., 0] / np.array(sizes)[:, None, None, None]
+        sse = ((guess - y) ** 2).sum(-1)
+        keys = [(n, d, s, float(sse[i, j, k]), len(y)) for i, n in enumerate(sizes) for j, d in enumerate(depths) for k, s in enumerate(splits)]
+        return pd.DataFrame(keys, columns=["trees", "depth", "split", "sse", "n"])
+
+    told = chunks.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInPandas(errors, "trees long, depth long, split long, sse double, n long")
+    told = told.groupBy("trees", "depth", "split").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n")).collect()
+    found = {(r["trees"], r["depth"], r["split"]): r["sse"] / r["n"] for r in told}
+    return {p: found.get(p, float("nan")) for p in points}
+
+
 def boosted_errors(rows: DataFrame, width: int, forest: Forest, base: list[float], rate: float, label: str, depth: int, rounds: list[int], fold: int | None = None, classes: int = 0) -> dict[int, float]:
     """Mean squared error after each of some numbers of rounds, in one pass over the rows."""
     sent = rows.sparkSession.sparkContext.broadcast(forest)
@@ -557,5 +915,3 @@ def boosted_errors(rows: DataFrame, width: int, forest: Forest, base: list[float
     own = rows if fold is None else rows.filter(F.col("fold") == fold)
     told = own.mapInArrow(run, "rounds long, sse double, n long").groupBy("rounds").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n")).collect()
     return {r["rounds"]: r["sse"] / r["n"] for r in told}
-
-

@@ -163,3 +163,55 @@ def test_no_rows(spark, table):
     none = trees.materialize(rows.limit(0), "none")
     forest = trees.fit_forest(none, 3, trees.Growth(3), 2, "y")
     assert len(forest.node) == 0
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_forest_as_a_table_gives_what_it_gives_in_one_place(spark, table, tmp_path, classes):
+    """Parts of the forest meet chunks of rows, below large nodes too; nested sizes, depths and least rows are all met."""
+    pdf, cuts, rows = table
+    b, told = bins_of(rows)
+    label = "label" if classes else "y"
+    own = told["fold"] == 1
+    points = [(n, d, s) for n in (2, 5) for d in (1, 4, 9) for s in (2, 40, 300)]
+    for local in (10_000, 60):
+        grove = trees.plant(rows, 3, trees.Growth(9, subset=2), 5, label, without=1, classes=classes, local_rows=local)
+        assert (local == 60) == (len(grove.top) > 0)
+        whole = grove.collect()
+        found = trees.forest_errors(rows, 3, grove, label, points, 1, classes)
+        for n, d, s in points:
+            total = whole.cut_back(n, d, s).totals(b[own], d)
+            guess = total.argmax(1) if classes else total[:, 0] / n
+            assert found[n, d, s] == pytest.approx(((guess - told[label][own]) ** 2).mean())
+        model = trees.TreeModel(NAMES, cuts, grove, "shares" if classes else "mean", [0.0] * classes, {"numTrees": 5})
+        model.save(spark, f"{tmp_path}/{classes}-{local}")
+        out = trees.TreeModel(NAMES, cuts, whole, model.kind, [], model.settings).outputs(b)
+        want = {round(y, 9): p for y, p in zip(told["y"], out)}
+        for m in (model, trees.TreeModel.load(spark, f"{tmp_path}/{classes}-{local}")):
+            got = m.transform(spark.createDataFrame(pdf)).collect()
+            assert len(got) == len(pdf)
+            for r in got:
+                p = want[round(r["y"], 9)]
+                assert r["prediction"] == (np.argmax(p) if classes else pytest.approx(p[0]))
+                assert not classes or r["probability"] == pytest.approx(p.tolist())
+        gain = [np.bincount(f.feature[f.feature >= 0], f.gain[f.feature >= 0], 3) for f in (whole.cut_back(5, 9, 2),)]
+        assert model.featureImportances.toArray() == pytest.approx(gain[0] / gain[0].sum(), abs=0.1)
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_sorted_and_counted_splits_agree(classes):
+    rng = np.random.default_rng(8)
+    m, n, width, bins = 40, 900, 5, 16
+    place = np.sort(rng.integers(0, m, n))
+    b = rng.integers(0, bins, (width, n)).astype(np.uint8)
+    w = rng.integers(1, 4, n).astype(float)
+    g = rng.integers(0, classes, n) if classes else (rng.integers(0, 50, n) * w)[:, None]
+    plan = trees.Growth(5, least=2, subset=3)
+    ids = np.arange(m) + 64
+    tried = trees._tried(ids, 0, width, plan)
+    hist = trees._histogram(place, m, b, bins, w, g, classes)
+    whole = hist[:, 0].sum(1)
+    one = trees.best_splits(hist, plan, tried, whole)
+    two = trees.sorted_splits(place, m, b, bins, w, g, classes, plan, tried, whole)
+    assert np.allclose(one[2], two[2])
+    split = one[2] > 0
+    assert split.any() and (one[0][split] == two[0][split]).all() and (one[1][split] == two[1][split]).all()
