@@ -152,7 +152,7 @@ def _labelled(df: DataFrame, target: str) -> DataFrame:
 def _fit(df: DataFrame, target: str, kind: str, **settings) -> Fitted:
     """Fit one model on prepared rows."""
     names = feature_names(df, target)
-    if kind in BOOSTED_KINDS and target == "traffic_level":
+    if kind == "random_forest" or kind in BOOSTED_KINDS and target == "traffic_level":
         return Fitted(fit_trees(df, target, kind, names, **settings), kind, target, names)
     if kind == "linear" and target != "traffic_level":
         settings["regParam"], names = ridge_setup(df, target, names, settings.pop("alpha", RIDGE_ALPHA))

@@ -197,3 +197,23 @@ def test_grid_search_scores_levels_as_labels(spark):
     df = spark.range(200).select("id", F.timestamp_seconds(F.col("id")).alias("timestamp"), (F.col("id") % 4 + 1).alias("traffic_level"), (F.col("id") % 4).alias("hour"))
     _, scores = models.grid_search(df, "traffic_level", "random_forest", {"maxDepth": [3]}, numTrees=5)
     assert scores.first()["mse"] == 0.0
+
+
+@pytest.mark.parametrize("target", ["aqi_value", "traffic_level"])
+def test_forests_are_never_collected(spark, rows, monkeypatch, tmp_path, target):
+    """Training, grids, importances, round trips and predictions leave a forest in its table."""
+    from cityflux.operators import trees
+
+    def never(*_):
+        raise AssertionError("a forest was collected")
+
+    monkeypatch.setattr(trees.Grove, "collect", never)
+    fitted = models.train(rows, target, "random_forest", rows, numTrees=4, maxDepth=5)
+    assert isinstance(fitted.model.forest, trees.Grove)
+    assert sum(r["importance"] for r in fitted.importance(spark).collect()) == pytest.approx(1)
+    models.save_model(fitted, spark, f"{tmp_path}/m")
+    again = models.load_model(spark, f"{tmp_path}/m")
+    a, b = [[r["prediction"] for r in f.predict(rows).orderBy("id").collect()] for f in (fitted, again)]
+    assert a == b
+    best, scores = models.grid_search(rows, target, "random_forest", {"maxDepth": [1, 6], "numTrees": [2, 4]})
+    assert scores.count() == 4 and isinstance(best.forest, trees.Grove)
