@@ -102,3 +102,19 @@ def test_offsets_of_hour_rules(spark):
     df = readings(spark, 0, 3)
     here = rollups.hourly_state(df, offset_hours=7).select("hour").distinct().collect()
     assert [r["hour"] for r in here] == [7]
+
+
+def test_tasks_of_a_batch_do_not_follow_the_session(spark, tmp_path):
+    """Every task of every batch reports to the driver; their number is that of the stream."""
+    root, held = str(tmp_path), spark.conf.get("spark.sql.shuffle.partitions")
+    send(readings(spark, 0, 40), f"{root}/in")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        stream = windows.recent_windows(messages.good(messages.decode(messages.file_source(spark, f"{root}/in", 1))), "1 hour")
+        jobs.drain(stream, lambda df, i: sinks.write_batch(df, i, f"{root}/out"), f"{root}/state", "update")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    stores = [p for p in (tmp_path / "state/state/0").iterdir() if p.name.isdigit()]
+    assert len(stores) == jobs.BATCH_TASKS
+    assert sinks.read_batches(spark, f"{root}/out").agg(F.sum("data_points")).first()[0] == 40
