@@ -212,8 +212,14 @@ def _grown(rows: DataFrame, kind: str, cuts: list, names: list[str], label: str,
 
 def fit_trees(df: DataFrame, target: str, kind: str, names: list[str], **settings) -> trees.TreeModel:
     """Boosted classes by one multinomial gradient a round, or a forest, over prepared rows."""
+    if kind not in BOOSTED_KINDS:
+        # Forests take no missing values, in training or later.
+        df = df.withColumns({c: trees.given(c) for c in [*names, target]})
     settings, rows, cuts, label, classes = _tree_setup(df, target, kind, names, settings)
-    return _grown(rows, kind, cuts, names, label, classes, settings)
+    model = _grown(rows, kind, cuts, names, label, classes, settings)
+    if kind not in BOOSTED_KINDS:
+        model.settings["complete"] = 1
+    return model
 
 
 def _nested_errors(rows: DataFrame, kind: str, label: str, classes: int, width: int, settings: dict, points: list[dict], folds: int) -> list[float]:

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.linalg import DenseVector, Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,12 @@ def find_cuts(df: DataFrame, names: list[str], bins: int = BINS) -> list[np.ndar
     return out
 
 
+def given(name: str) -> Column:
+    """The column as a double; a missing value is an error."""
+    c = F.col(name).cast("double")
+    return F.when(c.isNull() | F.isnan(c), F.raise_error(F.lit(f"{name} has missing values"))).otherwise(c)
+
+
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
 
@@ -695,7 +701,8 @@ class TreeModel:
                     yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (chunk, len(batch), b.tobytes(), kept)], names=["chunk", "n", "bins", "kept"])
                     chunk += 1
 
-        both = df.select("*", *[F.col(c).cast("double").alias(f"_f{k}") for k, c in enumerate(names)])
+        number = given if self.settings.get("complete") else lambda c: F.col(c).cast("double")
+        both = df.select("*", *[number(c).alias(f"_f{k}") for k, c in enumerate(names)])
         chunks = materialize(both.mapInArrow(pack, "chunk long, n long, bins binary, kept binary"), "chunks")
         rows = chunks.agg(F.sum("n")).first()[0] or 0
         sums = self.forest.sums(chunks, width, rows, [self.forest.trees], [MAX_DEPTH], [0])

@@ -217,3 +217,14 @@ def test_forests_are_never_collected(spark, rows, monkeypatch, tmp_path, target)
     assert a == b
     best, scores = models.grid_search(rows, target, "random_forest", {"maxDepth": [1, 6], "numTrees": [2, 4]})
     assert scores.count() == 4 and isinstance(best.forest, trees.Grove)
+
+
+@pytest.mark.parametrize("target, hole", [("aqi_value", "aqi_value"), ("aqi_value", "hour"), ("traffic_level", "traffic_level")])
+def test_forests_refuse_missing_values(rows, target, hole):
+    holes = rows.withColumn(hole, F.when(F.col("id") != 7, F.col(hole)))
+    with pytest.raises(Exception, match="missing values"):
+        models.train(holes, target, "random_forest", numTrees=2, maxDepth=2)
+    if hole != target:
+        fitted = models.train(rows, target, "random_forest", numTrees=2, maxDepth=2)
+        with pytest.raises(Exception, match="missing values"):
+            fitted.predict(holes).count()
