@@ -108,6 +108,28 @@ def _bins_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("_bins").to_pylist()), np.uint8).reshape(-1, width)
 
 
+def _parts(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of a written table of bins, and their bins: as they come, or out of blocks (``blocked``)."""
+    for batch in batches:
+        if "_block" in batch.schema.names:
+            for block, bins in zip(batch.column("_block").to_pylist(), batch.column("_bins").to_pylist()):
+                yield pa.ipc.open_stream(block).read_next_batch(), np.frombuffer(bins, np.uint8).reshape(-1, width)
+        else:
+            yield batch, _bins_of(batch, width)
+
+
+def blocked(rows: DataFrame, width: int, keep: list[str], change: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch] | None = None) -> DataFrame:
+    """The columns ``keep`` and the bins of batches of rows, or of blocks, packed into one row each, written; ``change`` makes new rows of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, b in _parts(batches, width):
+            if len(batch):
+                own = change(batch, b) if change else batch
+                yield pa.RecordBatch.from_arrays([pa.array([_as_bytes(own.select(keep))]), pa.array([b.tobytes()])], names=["_block", "_bins"])
+
+    return materialize(rows.mapInArrow(run, "_block binary, _bins binary"), "blocks")
+
+
 def _mixed(*parts: np.ndarray | int) -> np.ndarray:
     """Hash of whole numbers, the same in every task."""
     h = np.uint64(0x9E3779B97F4A7C15)
@@ -191,7 +213,7 @@ def sorted_splits(place: np.ndarray, m: int, b: np.ndarray, bins: int, w: np.nda
         own = np.arange(len(place)) if tried is None else np.flatnonzero(tried[place, f])
         if not len(own):
             continue
-        key = np.sort(((place[own] * bins + b[f][own]) << 32) | own)
+        key = np.sort(((place * bins + b[f] if tried is None else place[own] * bins + b[f][own]) << 32) | own)
         cell, node = key >> 32, (key >> 32) // bins
         # Sums up to and with each row, less those of the nodes before.
         run = np.cumsum(columns[key & 0xFFFFFFFF], 0)
@@ -226,55 +248,131 @@ _PIECE = [c.split()[0] for c in _PIECES.split(", ")]
 _PACKED = {"feature": np.int16, "cut": np.uint8, "rows": np.int32, "gain": np.float32, "value": np.float64}
 
 
+# Codes that the bins of some features make together, at most.
+PACK = 512
+
+
+def _packed(b: np.ndarray) -> list[tuple[np.ndarray, list[tuple[int, int]]]]:
+    """Groups of features with one code per row, made of the bins of all of them: (codes, (feature, bins) of each)."""
+    many, groups = b.max(0).astype(int) + 1, []
+    for f in np.argsort(-many, kind="stable"):
+        if many[f] > 1:
+            fit = next((x for x in groups if np.prod([many[k] for k in x]) * many[f] <= PACK), None)
+            fit.append(int(f)) if fit else groups.append([int(f)])
+    out = []
+    for own in groups:
+        code = b[:, own[0]].astype(np.uint16)
+        for f in own[1:]:
+            code *= np.uint16(many[f])
+            code += b[:, f]
+        out.append((code, [(f, int(many[f])) for f in own]))
+    return out
+
+
+def _packed_histogram(place: np.ndarray, m: int, packs: list[tuple[np.ndarray, list[tuple[int, int]]]], width: int, bins: int, w: np.ndarray, g: np.ndarray, classes: int = 0) -> np.ndarray:
+    """As ``_histogram``, of all features: rows are counted once per group of features and its cells are summed."""
+    out = np.zeros((m, width, bins, 1 + (classes or g.shape[1])))
+    base = (place * classes + g if classes else place) * PACK
+    cell = np.empty_like(base)
+    for code, own in packs:
+        shape = [n for _, n in own]
+        np.add(base, code, out=cell)
+        for k, x in enumerate((w,) if classes else (w, *g.T)):
+            each = np.bincount(cell, x, m * max(classes, 1) * PACK).reshape(m, -1, PACK)[..., : np.prod(shape)]
+            each = each.reshape(m, -1, *shape)
+            for j, (f, n) in enumerate(own):
+                alone = each.sum(tuple(2 + i for i in range(len(own)) if i != j))
+                if classes:
+                    out[:, f, :n, 0], out[:, f, :n, 1:] = alone.sum(1), alone.transpose(0, 2, 1)
+                else:
+                    out[:, f, :n, k] = alone[:, 0]
+    return out
+
+
+def _chosen(tried: np.ndarray | None, place: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The bins of the features that a row's node may use, a row per feature, and which features they are (None: all)."""
+    if tried is None:
+        return np.ascontiguousarray(b.T), None
+    of = np.nonzero(tried)[1].reshape(len(tried), -1)
+    return b.ravel().take((np.arange(len(b)) * b.shape[1])[:, None] + of.take(place, 0)).T, of
+
+
 def subtree(b: np.ndarray, w: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int, plan: Growth, tree: int, root: int, classes: int = 0) -> tuple:
     """All nodes below and with ``root`` (numbered as in a heap), level by level over the rows at hand, as a row of ``_PIECES``.
 
-    ``b`` has a row per feature; values are sum(g) / sum(h).
+    ``b`` has a column per feature; values are sum(g) / sum(h). While a level has few nodes, its rows stay in place and are
+    counted by groups of features; then they are ordered by node.
     """
-    levels, ids, place, level, width = [], np.array([root]), np.zeros(len(w), np.int64), root.bit_length() - 1, len(b)
+    levels, ids, place, level, width = [], np.array([root]), np.zeros(len(w), np.int64), root.bit_length() - 1, b.shape[1]
+    q = w if classes else (g**2).sum(1) / np.maximum(w, 1e-300)
+    packs, above = _packed(b) if PACK * max(classes, 1) <= len(w) else None, None
     while len(ids):
         m = len(ids)
+        if packs is not None and m * PACK * max(classes, 1) > len(w):
+            packs, key = None, np.sort((place << 32) | np.arange(len(place)))
+            place, order = key >> 32, key & 0xFFFFFFFF
+            b, w, g, h, q = b.take(order, 0), w[order], g[order], h[order], q[order]
         rows, weight = np.bincount(place, minlength=m), np.bincount(place, w, m)
         if classes:
             sums = np.bincount(place * classes + g, w, m * classes).reshape(m, classes)
             squares = weight
         else:
             sums = np.stack([np.bincount(place, x, m) for x in g.T], -1)
-            squares = np.bincount(place, (g**2).sum(1) / np.maximum(w, 1e-300), m)
+            squares = np.bincount(place, q, m)
         value = sums / np.maximum(np.bincount(place, h, m), 1e-300)[:, None]
         error = squares - (sums**2).sum(-1) / weight
         can = (rows >= plan.split) & (error > 1e-10 * squares) & (level < plan.depth)
         feature, cut, gain = np.full(m, -1), np.zeros(m, np.int64), np.zeros(m)
         whole = np.concatenate((weight[:, None], sums), 1)
+        if packs is not None and can.any():
+            if above is None:
+                hist = _packed_histogram(place, m, packs, width, bins, w, g, classes)
+            else:
+                # Of two children the rows of the smaller one are counted, or of one whose outputs the other's would drown;
+                # the other has the rest of their parent's.
+                drowned = [squares[k::2] < 1e-4 * squares[1 - k :: 2] for k in (0, 1)]
+                less = np.arange(0, m, 2) + np.where(drowned[0] | drowned[1], drowned[1], rows[1::2] < rows[::2])
+                own = np.flatnonzero(less[place >> 1] == place)
+                part = _packed_histogram(place[own] >> 1, m // 2, [(code[own], of) for code, of in packs], width, bins, w[own], g[own], classes)
+                hist = np.empty((m, *part.shape[1:]))
+                hist[less], hist[less ^ 1] = part, above - part
+            feature, cut, gain = best_splits(hist, plan, _tried(ids, tree, width, plan), whole)
         first = np.concatenate(([0], np.cumsum(rows)))
-        for large in (True, False):
+        for large in (True, False) if packs is None else ():
             open_ = np.flatnonzero(can & ((rows >= 2 * bins) == large))
             if not len(open_):
                 continue
             # Histograms of so many nodes at a time; sorting takes as many rows.
-            step = max(1, CELLS // (width * bins * whole.shape[1])) if large else len(open_)
+            step = max(1, CELLS // (min(plan.subset or width, width) * bins * whole.shape[1])) if large else len(open_)
             for s in range(0, len(open_), step):
                 own = open_[s : s + step]
                 inside = np.repeat(np.arange(len(own)), rows[own])
                 at = np.arange(len(inside)) + np.repeat(first[own] - np.concatenate(([0], np.cumsum(rows[own])[:-1])), rows[own])
-                tried = _tried(ids[own], tree, width, plan)
+                chosen, of = _chosen(_tried(ids[own], tree, width, plan), inside, b.take(at, 0))
                 if large:
-                    hist = _histogram(inside, len(own), b[:, at], bins, w[at], g[at], classes, tried)
-                    found = best_splits(hist, plan, tried, whole[own])
+                    hist = _histogram(inside, len(own), chosen, bins, w[at], g[at], classes)
+                    found = best_splits(hist, plan, None, whole[own])
                 else:
-                    found = sorted_splits(inside, len(own), b[:, at], bins, w[at], g[at], classes, plan, tried, whole[own])
+                    found = sorted_splits(inside, len(own), chosen, bins, w[at], g[at], classes, plan, None, whole[own])
                 feature[own], cut[own], gain[own] = found
+                if of is not None:
+                    feature[own] = of[np.arange(len(own)), found[0]]
         split = can & (gain > 1e-10 * error)
         feature[~split], cut[~split], gain[~split] = -1, 0, 0
+        above = hist[split] if packs is not None and split.any() else None
         levels.append((feature, cut, rows, gain, value))
         goes = np.flatnonzero(split[place])
-        right = b[feature[place[goes]], goes] > cut[place[goes]]
+        if len(goes) < len(place):
+            place, b, w, g, h, q = place[goes], b.take(goes, 0), w[goes], g[goes], h[goes], q[goes]
+            packs = packs and [(code[goes], own) for code, own in packs]
+        right = b.ravel().take(np.arange(len(b)) * width + feature[place]) > cut[place]
         ids = (2 * ids[split][:, None] + np.arange(2)).ravel()
-        place = 2 * (np.cumsum(split) - 1)[place[goes]] + right
-        # Rows stay ordered by node.
-        key = np.sort((place << 32) | np.arange(len(goes)))
-        place, goes, level = key >> 32, goes[key & 0xFFFFFFFF], level + 1
-        b, w, g, h = b[:, goes], w[goes], g[goes], h[goes]
+        place, level = 2 * (np.cumsum(split) - 1)[place] + right, level + 1
+        if packs is None:
+            # Rows stay ordered by node.
+            key = np.sort((place << 32) | np.arange(len(place)))
+            place, order = key >> 32, key & 0xFFFFFFFF
+            b, w, g, h, q = b.take(order, 0), w[order], g[order], h[order], q[order]
     told = dict(zip(_PACKED, (np.concatenate(x) for x in zip(*levels))))
     split = told["feature"] >= 0
     gains = np.bincount(told["feature"][split], told["gain"][split], width)
@@ -296,11 +394,12 @@ def _few(total: int, most: int) -> int:
     return -(-total // most)
 
 
-def grow(rows: DataFrame, width: int, bins: int, targets: Targets, plan: Growth, trees: list[int], count: int, local_rows: int = LOCAL_ROWS, classes: int = 0, late: list[str] | None = None) -> tuple[pd.DataFrame, DataFrame]:
+def grow(rows: DataFrame, width: int, bins: int, targets: Targets, plan: Growth, trees: list[int], count: int, local_rows: int = LOCAL_ROWS, classes: int = 0, late: list[str] | None = None, divisors: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[pd.DataFrame, DataFrame]:
     """All trees over a written table of bins: the nodes with many rows (``_NODE`` columns), and the subtrees below them (``_PIECES``, not yet computed).
 
     ``count`` is the number of rows of the table. Trees are the same for every ``local_rows`` but for sums in another order.
     With ``late``, the columns that targets come from, tasks that finish trees of a small table find the targets themselves.
+    With ``divisors`` all weights are 1 and divisors follow from the outputs: only these are sent.
     """
     spark, top, fan = rows.sparkSession, pd.DataFrame(columns=_NODE), int(np.ceil(np.sqrt(count / local_rows)))
     whole = count <= local_rows
@@ -326,30 +425,50 @@ def grow(rows: DataFrame, width: int, bins: int, targets: Targets, plan: Growth,
     number = np.int32 if classes else np.float64
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = _bins_of(batch, width)
+        names, block = ["tree", "node", "block", "w", "h", "g", "b"], (TaskContext.get().partitionId() << 33) - 1
+        for batch, b in _parts(batches, width):
+            block += 1
             for t, open_ in small.items():
                 w, g, h = targets(batch, b, t)
+                if whole and divisors is not None:
+                    packed = [b"", b"", g.astype(number).tobytes(), b.tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([1]), pa.array([block]), *[pa.array([x]) for x in packed]], names=names)
+                    continue
                 at = np.ones(len(b), np.int64) if above is None else above.node[above.reach(above.at(t), b, plan.depth)]
                 own = np.flatnonzero((w > 0) & np.isin(at, open_))
                 own = own[np.argsort(at[own], kind="stable")]
                 ends = np.flatnonzero(np.diff(at[own], append=-1)) + 1
                 for part in np.split(own, ends[:-1]) if len(own) else ():
-                    packed = [w[part].tobytes(), h[part].tobytes(), g[part].astype(number).tobytes(), b[part].tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([at[part[0]]]), *[pa.array([x]) for x in packed]], names=["tree", "node", "w", "h", "g", "b"])
+                    packed = [b"" if divisors else x[part].tobytes() for x in (w, h)] + [g[part].astype(number).tobytes(), b[part].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([at[part[0]]]), pa.array([block]), *[pa.array([x]) for x in packed]], names=names)
 
     def finish(frame: pd.DataFrame) -> pd.DataFrame:
+        # The same order of sums, whatever order the blocks came in.
+        frame = frame.sort_values("block")
         w, h = (np.frombuffer(b"".join(frame[c])) for c in "wh")
         g = np.frombuffer(b"".join(frame["g"]), number)
-        b = np.ascontiguousarray(np.frombuffer(b"".join(frame["b"]), np.uint8).reshape(-1, width).T)
+        if divisors is not None:
+            w, h = np.ones(len(g)), divisors(g)
+        b = np.frombuffer(b"".join(frame["b"]), np.uint8).reshape(-1, width)
         own = subtree(b, w, g if classes else g.reshape(len(w), -1), h, bins, plan, int(frame["tree"].iloc[0]), int(frame["node"].iloc[0]), classes)
         return pd.DataFrame([own], columns=_PIECE)
 
+    def finish_own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [x for x in frames if len(x)]
+        if held:
+            for _, frame in pd.concat(held).groupby("tree"):
+                yield finish(frame)
+
     # What ends among the large nodes is a subtree of one node.
     ended = top[(top["feature"] < 0)].itertuples() if len(top) else ()
     leaves = [(int(r.tree), int(r.node), 1, *[np.array(x).astype(kind).tobytes() for x, kind in zip((-1, 0, r.rows, 0.0, r.value), _PACKED.values())], [0.0] * width) for r in ended]
     ends = spark.createDataFrame(leaves, _PIECES)
-    pieces = rows.mapInArrow(gather, "tree int, node long, w binary, h binary, g binary, b binary").groupBy("tree", "node").applyInPandas(finish, _PIECES)
+    sent = rows.mapInArrow(gather, "tree int, node long, block long, w binary, h binary, g binary, b binary")
+    if whole:
+        # Every tree has a task of its own.
+        pieces = sent.repartitionById(len(trees), F.col("tree") - min(trees)).mapInPandas(finish_own, _PIECES)
+    else:
+        pieces = sent.groupBy("tree", "node").applyInPandas(finish, _PIECES)
     return top, pieces.unionByName(ends) if leaves else pieces
 
 
@@ -361,8 +480,7 @@ def _counted(rows: DataFrame, width: int, bins: int, targets: Targets, plan: Gro
 
     def count_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            b = _bins_of(batch, width)
+        for batch, b in _parts(batches, width):
             for t, open_ in by_tree.items():
                 w, g, h = targets(batch, b, t)
                 at = np.ones(len(b), np.int64) if above is None else above.node[above.reach(above.at(t), b, plan.depth)]
@@ -418,7 +536,7 @@ def _grown_together(rows: DataFrame, width: int, bins: int, targets: Targets, pl
             w, g, h = targets(batch, b, t)
             drawn = np.flatnonzero(w > 0)
             if len(drawn):
-                out.append(subtree(np.ascontiguousarray(b[drawn].T), w[drawn], g[drawn], h[drawn], bins, plan, t, 1, classes))
+                out.append(subtree(b.take(drawn, 0), w[drawn], g[drawn], h[drawn], bins, plan, t, 1, classes))
         return pd.DataFrame(out, columns=_PIECE)
 
     return rows.select(*late, "_row", "_bins").mapInArrow(deal, "part int, rows binary").repartition(3 * groups, "part").groupBy("part").applyInPandas(finish, _PIECES)
@@ -477,14 +595,19 @@ class Forest:
 
     def reach(self, tree: int, b: np.ndarray, depth: int, split: int = 0, at: np.ndarray | None = None, done: int = 0) -> np.ndarray:
         """Places of the nodes where rows end after ``depth`` steps, ``done`` of which led to ``at``."""
-        at = np.full(len(b), self.start[tree]) if at is None else at
+        low, high = self.start[tree], self.start[tree + 1] if tree + 1 < len(self.start) else len(self.tree)
+        at = np.zeros(len(b), np.int64) if at is None else at - low
+        # Where a row ends it is led to the same node again.
+        end = (self.feature[low:high] < 0) | (self.rows[low:high] < split)
+        feature, cut = np.where(end, 0, self.feature[low:high]), np.where(end, 255, self.cut[low:high])
+        left = np.where(end, np.arange(high - low), self.left[low:high] - low)
+        flat, row = b.ravel(), np.arange(len(b)) * b.shape[1]
         for _ in range(done, depth):
-            feature = self.feature[at]
-            moves = (feature >= 0) & (self.rows[at] >= split)
-            if not moves.any():
+            after = left.take(at) + (flat.take(row + feature.take(at)) > cut.take(at))
+            if np.array_equal(after, at):
                 break
-            at = np.where(moves, self.left[at] + (b[np.arange(len(b)), feature] > self.cut[at]), at)
-        return at
+            at = after
+        return at + low
 
     def totals(self, b: np.ndarray, depth: int) -> np.ndarray:
         """Sums over all trees of the values rows get."""
@@ -785,7 +908,8 @@ def boost(rows: DataFrame, width: int, plan: Growth, rounds: int, rate: float, l
     else:
         base = [float(held.agg(F.avg(label)).first()[0] or 0.0)]
     outputs = len(base)
-    scored = materialize(held.withColumn("_scores", F.array(*[F.lit(x) for x in base])), "scores")
+    kept = [label, "_scores"]
+    scored = blocked(held.withColumn("_scores", F.array(*[F.lit(x) for x in base])), width, kept)
     done, latest = [], pd.DataFrame(columns=_NODE)
 
     def scores(batch: pa.RecordBatch, b: np.ndarray, recent: Forest | None) -> np.ndarray:
@@ -795,21 +919,23 @@ def boost(rows: DataFrame, width: int, plan: Growth, rounds: int, rate: float, l
                 out[:, int(recent.tree[recent.start[t]]) % outputs] += rate * recent.value[recent.reach(t, b, plan.depth), 0]
         return out
 
+    def divisors(r: np.ndarray) -> np.ndarray:
+        return np.abs(r) * (1 - np.abs(r)) if classes else np.ones(len(r))
+
     for turn in range(rounds):
         recent = Forest.of(latest) if len(latest) else None
 
         def targets(batch: pa.RecordBatch, b: np.ndarray, tree: int, recent=recent, memo={}) -> tuple[np.ndarray, ...]:  # noqa: B006
             # All trees of a round ask for the scores of the same batch.
             if memo.get("batch") is not batch:
-                memo |= {"batch": batch, "scores": scores(batch, b, recent)}
+                now = scores(batch, b, recent)
+                memo |= {"batch": batch, "scores": softmax(now) if classes else now}
             y, now = _column(batch, label), memo["scores"]
-            ones = np.ones(len(y))
-            if not classes:
-                return ones, (y - now[:, 0])[:, None], ones
-            r = (y == tree % outputs) - softmax(now)[:, tree % outputs]
-            return ones, r[:, None], np.abs(r) * (1 - np.abs(r))
+            r = (y == tree % outputs) - now[:, tree % outputs] if classes else y - now[:, 0]
+            return np.ones(len(y)), r[:, None], divisors(r)
 
-        grown = Grove(*reversed(grow(scored, width, bins, targets, plan, [turn * outputs + k for k in range(outputs)], count, local_rows)), outputs).collect().nodes()
+        top, pieces = grow(scored, width, bins, targets, plan, [turn * outputs + k for k in range(outputs)], count, local_rows, divisors=divisors)
+        grown = Grove(pieces, top, outputs).collect().nodes()
         if classes:
             # One Newton step per leaf; where every row is right already there is nothing to divide by.
             step = (classes - 1) / classes
@@ -819,13 +945,12 @@ def boost(rows: DataFrame, width: int, plan: Growth, rounds: int, rate: float, l
         if (turn + 1) % KEPT_ROUNDS == 0 and turn + 1 < rounds:
             recent = Forest.of(latest)
 
-            def added(batches: Iterator[pa.RecordBatch], recent=recent) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    now = scores(batch, _bins_of(batch, width), recent)
-                    lists = pa.FixedSizeListArray.from_arrays(pa.array(now.ravel()), outputs).cast(pa.list_(pa.float64()))
-                    yield batch.set_column(batch.schema.get_field_index("_scores"), "_scores", lists)
+            def added(batch: pa.RecordBatch, b: np.ndarray, recent=recent) -> pa.RecordBatch:
+                now = scores(batch, b, recent)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(now.ravel()), outputs).cast(pa.list_(pa.float64()))
+                return batch.set_column(batch.schema.get_field_index("_scores"), "_scores", lists)
 
-            scored = materialize(scored.mapInArrow(added, scored.schema), "scores")
+            scored = blocked(scored, width, kept, added)
             latest = pd.DataFrame(columns=_NODE)
     return Forest.of(pd.concat(done, ignore_index=True)), base
 
