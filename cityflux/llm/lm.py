@@ -106,8 +106,11 @@ class Network:
         c = np.tanh(x[:, 2 * k :] + r * u[:, 2 * k :])
         return h + z * (c - h), z, r, c, u[:, 2 * k :]
 
-    def _by_class(self, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        owner = np.searchsorted(self.bounds, targets, side="right") - 1
+    def _owner(self, targets: np.ndarray) -> np.ndarray:
+        """The class of each token; in two bytes, which numpy sorts by digits."""
+        return np.repeat(np.arange(len(self.bounds) - 1, dtype=np.uint16), np.diff(self.bounds)).take(targets)
+
+    def _by_class(self, owner: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(owner, kind="stable")
         ends = np.searchsorted(owner[order], np.arange(len(self.bounds)))
         for k in range(len(self.bounds) - 1):
@@ -118,13 +121,16 @@ class Network:
         # Tokens along the last axis: numpy reduces over the few rows of a class far faster than along many short ones.
         logits = self.w["classes"].T @ states.T + self.w["class_bias"][:, None]
         top = logits.max(0)
-        norm = np.log(np.exp(logits - top).sum(0)) + top
+        rest = logits - top
+        norm = np.log(np.exp(rest, out=rest).sum(0)) + top
         out = np.empty(len(targets), np.float32)
-        for k, rows in self._by_class(targets):
+        for k, rows in self._by_class(self._owner(targets)):
             a, b = self.bounds[k], self.bounds[k + 1]
-            own = self.w["words"][a:b] @ states[rows].T + self.w["word_bias"][a:b, None]
-            top = own.max(0)
-            inside = own[targets[rows] - a, np.arange(len(rows))] - top - np.log(np.exp(own - top).sum(0))
+            own = self.w["words"][a:b] @ states[rows].T
+            own += self.w["word_bias"][a:b, None]
+            own -= own.max(0)
+            inside = own[targets[rows] - a, np.arange(len(rows))]
+            inside -= np.log(np.exp(own, out=own).sum(0))
             out[rows] = logits[k, rows] - norm[rows] + inside
         return out
 
@@ -145,23 +151,28 @@ class Network:
         flat, aims = states.reshape(-1, self.hidden), targets.ravel()
         g = {name: np.zeros_like(v) for name, v in self.w.items()}
         # As in log_probability, tokens lie along the last axis.
-        logits = self.w["classes"].T @ flat.T + self.w["class_bias"][:, None]
-        p = np.exp(logits - logits.max(0))
+        p = self.w["classes"].T @ flat.T
+        p += self.w["class_bias"][:, None]
+        p -= p.max(0)
+        np.exp(p, out=p)
         p /= p.sum(0)
-        owner, at = np.searchsorted(self.bounds, aims, side="right") - 1, np.arange(len(aims))
+        owner, at, all_count = self._owner(aims), np.arange(len(aims)), bool(counts.all())
         total = np.log(p[owner, at] + 1e-30)[counts].sum()
         p[owner, at] -= 1
-        p[:, ~counts] = 0
+        if not all_count:
+            p[:, ~counts] = 0
         g["classes"], g["class_bias"] = flat.T @ p.T, p.sum(1)
         back = p.T @ self.w["classes"].T
-        for k, rows in self._by_class(aims):
-            rows = rows[counts[rows]]
+        for k, rows in self._by_class(owner):
+            rows = rows if all_count else rows[counts[rows]]
             if not len(rows):
                 continue
             a, b = self.bounds[k], self.bounds[k + 1]
             states_k, at = flat[rows], np.arange(len(rows))
-            q = self.w["words"][a:b] @ states_k.T + self.w["word_bias"][a:b, None]
-            q = np.exp(q - q.max(0))
+            q = self.w["words"][a:b] @ states_k.T
+            q += self.w["word_bias"][a:b, None]
+            q -= q.max(0)
+            np.exp(q, out=q)
             q /= q.sum(0)
             total += np.log(q[aims[rows] - a, at] + 1e-30).sum()
             q[aims[rows] - a, at] -= 1
@@ -182,9 +193,10 @@ class Network:
             looped[t, :, 2 * k :] = dc * r
             carried = (d * (1 - z) + looped[t] @ self.w["loop"].T) * ~fresh[t][:, None]
         g["loop"] = before.reshape(-1, k).T @ looped.reshape(-1, 3 * k)
-        order = np.argsort(tokens.ravel(), kind="stable")
-        met, runs = np.unique(tokens.ravel()[order], return_index=True)
-        g["into"][met] = np.add.reduceat(inputs.reshape(tokens.size, -1)[order], runs)
+        order = np.argsort(tokens.ravel().astype(np.uint16), kind="stable")
+        met = tokens.ravel()[order]
+        runs = np.flatnonzero(np.diff(met, prepend=-1))
+        g["into"][met[runs]] = np.add.reduceat(inputs.reshape(tokens.size, -1)[order], runs)
         many = max(1, int(counts.sum()))
         return {name: v / many for name, v in g.items()}, h, float(total) / many
 

@@ -50,3 +50,19 @@ def test_scores_word_by_word(spark, monkeypatch):
         assert r["n_tokens"] == len(own) + 1 and r["train_tokens"] == total and r["held_out"] == held[r["doc_id"]]
         assert r["n_known"] == sum(w in counts for w in own) + (ends > 0)
         assert abs(r["base_score"] - base) < 1e-6 * (len(own) + 1)
+
+
+def test_classes_of_tokens_are_sorted_by_two_bytes():
+    """op4: classes are looked up and sorted as two-byte numbers; probabilities are those of the plain formula."""
+    rng = np.random.default_rng(4)
+    network = lm.Network.start(rng.integers(1, 90, 40).astype(float), np.array([0, 3, 4, 20, 40]))
+    targets = rng.integers(0, 40, 300)
+    owner = network._owner(targets)
+    assert owner.dtype == np.uint16 and (owner == np.searchsorted(network.bounds, targets, side="right") - 1).all()
+    states = rng.normal(size=(300, network.hidden)).astype(np.float32)
+    logits = states @ network.w["classes"] + network.w["class_bias"]
+    words = states @ network.w["words"].T + network.w["word_bias"]
+    for i, (t, k) in enumerate(zip(targets, owner)):
+        own = words[i, network.bounds[k] : network.bounds[k + 1]]
+        want = logits[i, k] - np.log(np.exp(logits[i]).sum()) + own[t - network.bounds[k]] - np.log(np.exp(own).sum())
+        assert abs(network.log_probability(states, targets)[i] - want) < 1e-4
