@@ -11,6 +11,7 @@ depth, or larger nodes needed for a split are found by stopping earlier.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cityflux.operators import loops
 from cityflux.plans.scratch import exists, materialize
 
 BINS = 32
@@ -542,6 +544,25 @@ def _grown_together(rows: DataFrame, width: int, bins: int, targets: Targets, pl
     return rows.select(*late, "_row", "_bins").mapInArrow(deal, "part int, rows binary").repartition(3 * groups, "part").groupBy("part").applyInPandas(finish, _PIECES)
 
 
+# Shares of an executor's heap: rows that its tasks share, and what the trees growing there hold.
+SHARED, GROWING = 0.15, 0.35
+
+
+def _in_loops(rows: DataFrame, width: int, plan: Growth, trees: int, label: str, count: int, bootstrap: bool, classes: int) -> DataFrame | None:
+    """The trees as pieces, grown on the JVM: rows are read once by each executor, and each task grows a few trees. None where the heap is too small."""
+    spark = rows.sparkSession
+    words, heap = (width + 2 + 7) // 8 + (not classes), loops.heap(spark)
+    drawn = count * (0.64 if bootstrap else 1)
+    if not trees or max(width, classes) > 255 or drawn * words >= 2**31 or drawn * words * 8 + count > GROWING * heap or count * (width + 16) > SHARED * heap:
+        return None
+    subset = plan.subset or width
+    told = loops.new(spark, "Plan").set(width, classes, plan.depth, float(plan.least), plan.split, subset, plan.seed, bootstrap, bytearray(_POISSON.tobytes()))
+    each, token = _few(trees, TOGETHER), uuid.uuid4().hex
+    read = rows.select(F.col(label).cast("double").alias("y"), F.col("_row").alias("row"), F.col("_bins").alias("bins"))
+    grown = [loops.new(spark, "Grow").set(token, k, min(trees, k + each), int(GROWING * heap), told) for k in range(0, trees, each)]
+    return loops.tasks(read, grown, _PIECES)
+
+
 # --- models ---------------------------------------------------------------------------------
 
 
@@ -875,16 +896,24 @@ def softmax(scores: np.ndarray) -> np.ndarray:
 # --- fits -----------------------------------------------------------------------------------
 
 
-def plant(rows: DataFrame, width: int, plan: Growth, trees: int, label: str, without: int | None = None, bootstrap: bool = True, classes: int = 0, local_rows: int = LOCAL_ROWS, bins: int = BINS) -> Grove:
-    """A forest over a written table of bins; ``without`` leaves out the rows of that ``fold``. ``classes``: labels 0, 1, ... as shares."""
+def plant(rows: DataFrame, width: int, plan: Growth, trees: int, label: str, without: int | None = None, bootstrap: bool = True, classes: int = 0, local_rows: int | None = None, bins: int = BINS) -> Grove:
+    """A forest over a written table of bins; ``without`` leaves out the rows of that ``fold``. ``classes``: labels 0, 1, ... as shares.
+
+    Trees grow in ``loops`` where the heap holds the rows; else, or with ``local_rows``, in numpy. They are the same but for sums in another order.
+    """
     own = rows if without is None else rows.filter(F.col("fold") != without)
+    count = own.count()
+    if local_rows is None and bins <= 64:
+        pieces = _in_loops(own, width, plan, trees, label, count, bootstrap, classes)
+        if pieces is not None:
+            return Grove(materialize(pieces, "pieces"), pd.DataFrame(columns=_NODE), trees)
 
     def targets(batch: pa.RecordBatch, b: np.ndarray, tree: int) -> tuple[np.ndarray, ...]:
         y = _column(batch, label)
         w = draws(batch.column("_row").to_numpy(), tree, plan.seed) if bootstrap else np.ones(len(y))
         return w, y.astype(np.int64) if classes else (y * w)[:, None], w
 
-    top, pieces = grow(own, width, bins, targets, plan, list(range(trees)), own.count(), local_rows, classes, [label])
+    top, pieces = grow(own, width, bins, targets, plan, list(range(trees)), count, local_rows or LOCAL_ROWS, classes, [label])
     return Grove(materialize(pieces, "pieces"), top, trees)
 
 
