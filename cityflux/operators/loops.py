@@ -48,6 +48,11 @@ def tasks(df: DataFrame, functions: list, schema: str) -> DataFrame:
     return _frame(spark, context._jsc.union(made), schema)
 
 
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    """Rows that a function of ``Loops`` makes of each partition."""
+    return _frame(df.sparkSession, df._jdf.javaRDD().mapPartitions(function), schema)
+
+
 def _frame(spark: SparkSession, rows, schema: str) -> DataFrame:
     told = spark._jsparkSession.parseDataType(T._parse_datatype_string(schema).json())
     return DataFrame(spark._jsparkSession.createDataFrame(rows, told), spark)

@@ -729,7 +729,7 @@ class Grove:
         share = np.divide(gain, total, out=np.zeros_like(gain), where=total > 0).sum(0)
         return share / share.sum() if share.sum() else share
 
-    def sums(self, chunks: DataFrame, width: int, rows: int, sizes: list[int], depths: list[int], splits: list[int]) -> DataFrame:
+    def sums(self, chunks: DataFrame, width: int, rows: int, sizes: list[int], depths: list[int], splits: list[int], outputs: int) -> DataFrame:
         """(chunk, part, sums): of the trees of one part the values of a chunk's rows, by (size of forest, depth, least rows to split, row, output).
 
         Parts of the forest meet blocks of rows in one task each; the values of all parts add up to those of the forest.
@@ -743,6 +743,18 @@ class Grove:
         deal = 2 * parts * within * blocks
         held = self.pieces.drop("gain", "gains").withColumn("part", part.cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         sent = chunks.select("chunk", "bins", F.pmod(F.hash("chunk"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts * within - 1))).alias("part"))
+        if not len(self.top) and width <= 255 and outputs * max(len(sizes), 1) * len(depths) * len(splits) <= WALKED:
+            # Subtrees come before the chunks that meet them, in the order of trees.
+            kinds = "part int, block int, kind int, id long, root long, feature binary, cut binary, rows binary, value binary, bins binary"
+            names = [c.split()[0] for c in kinds.split(", ")]
+            given = {"kind": F.lit(0), "id": F.col("tree").cast("long"), "bins": F.lit(None).cast("binary")}
+            subtrees = held.withColumns(given).select(*names)
+            empty = {c: F.lit(None).cast("binary") for c in ("feature", "cut", "rows", "value")}
+            met = sent.withColumns({"kind": F.lit(1), "id": F.col("chunk"), "root": F.lit(0).cast("long"), **empty}).select(*names)
+            order = ["part", "block", "kind", "id", "root"]
+            dealt = subtrees.unionAll(met).repartition(deal, "part", "block").sortWithinPartitions(*order)
+            walk = loops.new(dealt.sparkSession, "Walk").set(width, outputs, *[bytearray(np.array(x, np.int32).tobytes()) for x in (sizes, depths, splits)])
+            return loops.mapped(dealt, walk, "chunk long, part int, bands array<int>, sums binary")
         above = _stubbed(self.top) if len(self.top) else None
 
         def add(rows_: pd.DataFrame, trees_: pd.DataFrame) -> pd.DataFrame:
@@ -765,7 +777,9 @@ class Grove:
 
 
 # Parts of a forest, so many at least; nodes of a part; rows of a block.
-PARTS, PART_NODES, BLOCK_ROWS = 24, 2_000_000, 500_000
+PARTS, PART_NODES, BLOCK_ROWS = 24, 2_000_000, 2_000_000
+# Sums of a row that a part gives at most, for chunks to go through it in ``loops``.
+WALKED = 10_000
 
 
 def _stubbed(top: pd.DataFrame) -> Forest:
@@ -849,7 +863,7 @@ class TreeModel:
         both = df.select("*", *[number(c).alias(f"_f{k}") for k, c in enumerate(names)])
         chunks = materialize(both.mapInArrow(pack, "chunk long, n long, bins binary, kept binary"), "chunks")
         rows = chunks.agg(F.sum("n")).first()[0] or 0
-        sums = self.forest.sums(chunks, width, rows, [self.forest.trees], [MAX_DEPTH], [0])
+        sums = self.forest.sums(chunks, width, rows, [self.forest.trees], [MAX_DEPTH], [0], len(self.base) or 1)
         outputs, trees, mean = len(self.base) or 1, max(1, self.forest.trees), self.kind == "mean"
 
         def told(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -1033,7 +1047,7 @@ def _grove_errors(rows: DataFrame, width: int, forest: Grove, label: str, points
                 chunk += 1
 
     chunks = materialize(own.select(label, "_bins").mapInArrow(pack, "chunk long, n long, bins binary, y binary"), "chunks")
-    sums = forest.sums(chunks, width, chunks.agg(F.sum("n")).first()[0] or 0, sizes, depths, splits)
+    sums = forest.sums(chunks, width, chunks.agg(F.sum("n")).first()[0] or 0, sizes, depths, splits, classes or 1)
     outputs = classes or 1
 
     def errors(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
