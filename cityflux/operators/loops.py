@@ -48,6 +48,12 @@ def tasks(df: DataFrame, functions: list, schema: str) -> DataFrame:
     return _frame(spark, context._jsc.union(made), schema)
 
 
+def boosted(df: DataFrame, parts: int, *settings) -> bytes:
+    """The nodes of boosted trees over the rows of a frame, held in at most so many tasks."""
+    spark = df.sparkSession
+    return bytes(new(spark, "Boost").run(spark.sparkContext._jsc, df.coalesce(parts)._jdf.javaRDD(), *settings))
+
+
 def mapped(df: DataFrame, function, schema: str) -> DataFrame:
     """Rows that a function of ``Loops`` makes of each partition."""
     return _frame(df.sparkSession, df._jdf.javaRDD().mapPartitions(function), schema)
@@ -64,3 +70,9 @@ def heap(spark: SparkSession) -> int:
         return spark._jvm.java.lang.Runtime.getRuntime().maxMemory()
     told = spark.sparkContext.getConf().get("spark.executor.memory", "1g")
     return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(told)
+
+
+def executors(spark: SparkSession) -> int:
+    """Processes that hold rows."""
+    known = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size()
+    return known if known == 1 else known - 1

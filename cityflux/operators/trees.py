@@ -544,8 +544,10 @@ def _grown_together(rows: DataFrame, width: int, bins: int, targets: Targets, pl
     return rows.select(*late, "_row", "_bins").mapInArrow(deal, "part int, rows binary").repartition(3 * groups, "part").groupBy("part").applyInPandas(finish, _PIECES)
 
 
-# Shares of an executor's heap: rows that its tasks share, and what the trees growing there hold.
-SHARED, GROWING = 0.15, 0.35
+# Shares of an executor's heap: rows that its tasks share, what the trees growing there hold, and rows of boosted trees.
+SHARED, GROWING, BOOSTED = 0.15, 0.35, 0.4
+# Rows that are worth a task of boosted trees, tasks (each sends its histograms), rows that one holds at most; the depth to which nodes are numbered in two bytes.
+BOOSTED_LEAST, BOOSTED_TASKS, BOOSTED_ROWS, BOOSTED_DEPTH = 50_000, 16, 1_000_000, 14
 
 
 def _in_loops(rows: DataFrame, width: int, plan: Growth, trees: int, label: str, count: int, bootstrap: bool, classes: int) -> DataFrame | None:
@@ -563,6 +565,22 @@ def _in_loops(rows: DataFrame, width: int, plan: Growth, trees: int, label: str,
     return loops.tasks(read, grown, _PIECES)
 
 
+_BOOSTED = np.dtype([("tree", "<i4"), ("node", "<i8"), ("feature", "<i4"), ("cut", "<i4"), ("gain", "<f8"), ("rows", "<i8"), ("value", "<f8")])
+
+
+def _boosted_in_loops(rows: DataFrame, width: int, plan: Growth, rounds: int, rate: float, label: str, classes: int, base: list[float], count: int) -> Forest | None:
+    """Boosted trees by jobs over rows that stay in the executors' memory: a job per level adds up histograms. None where memory is too small."""
+    spark = rows.sparkSession
+    need = count * (width + 8 + 18 * len(base))
+    if not rounds or not count or width > 255 or plan.subset or plan.depth > BOOSTED_DEPTH or need > BOOSTED * loops.heap(spark) * loops.executors(spark):
+        return None
+    read = rows.select(F.col(label).cast("double").alias("y"), F.col("_bins").alias("bins"))
+    parts = min(_few(count, BOOSTED_LEAST), max(BOOSTED_TASKS, _few(count, BOOSTED_ROWS)))
+    settings = (width, classes, bytearray(np.array(base, float).tobytes()), rounds, float(rate), plan.depth, float(plan.least), plan.split)
+    told = pd.DataFrame(np.frombuffer(loops.boosted(read, parts, *settings), _BOOSTED))
+    return Forest.of(told.assign(value=told["value"].map(lambda v: [v])))
+
+
 # --- models ---------------------------------------------------------------------------------
 
 
@@ -831,6 +849,8 @@ class TreeModel:
         """The frame with ``prediction``, and ``probability`` (array by class) for classes; features alone go to Python."""
         if isinstance(self.forest, Grove):
             return self._met(df)
+        if self.kind in ("sum", "softmax") and 0 < len(self.names) <= 255 and len(self.forest.node):
+            return self._scored(df)
         sent = df.sparkSession.sparkContext.broadcast(self)
 
         @F.pandas_udf("array<double>")
@@ -846,9 +866,9 @@ class TreeModel:
         best = F.array_position("_told", F.array_max("_told")) - 1
         return out.withColumn("prediction", best.cast("double")).withColumnRenamed("_told", "probability")
 
-    def _met(self, df: DataFrame) -> DataFrame:
-        """``transform`` with a forest that is a table: rows are packed into chunks, which meet its parts, written."""
-        names, cuts, width, own = self.names, self.cuts, len(self.names), len(df.columns)
+    def _packing(self, own: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Batches as chunks: the bins of their rows, out of columns ``_f0``, ``_f1``, ..., and the first ``own`` columns."""
+        cuts = self.cuts
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chunk = TaskContext.get().partitionId() << 33
@@ -859,9 +879,39 @@ class TreeModel:
                     yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (chunk, len(batch), b.tobytes(), kept)], names=["chunk", "n", "bins", "kept"])
                     chunk += 1
 
+        return pack
+
+    def _scored(self, df: DataFrame) -> DataFrame:
+        """``transform`` with boosted trees: chunks of rows go through all of them in ``loops``."""
+        forest, outputs, softened = self.forest, len(self.base), self.kind == "softmax"
+        both = df.select("*", *[F.col(c).cast("double").alias(f"_f{k}") for k, c in enumerate(self.names)])
+        chunks = both.mapInArrow(self._packing(len(df.columns)), "chunk long, n long, bins binary, kept binary").select("bins", "kept")
+        numbers = (forest.start, forest.tree[forest.start] % outputs, forest.left, forest.feature, forest.cut)
+        told = [bytearray(np.asarray(x).astype(np.int32).tobytes()) for x in numbers]
+        ends = [bytearray(np.array(x, float).tobytes()) for x in (self.base, forest.value[:, 0])]
+        score = loops.new(df.sparkSession, "Score").set(len(self.names), float(self.settings.get("stepSize", 1.0)), ends[0], *told, ends[1])
+
+        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for kept, sums in zip(batch.column("kept").to_pylist(), batch.column("sums").to_pylist()):
+                    out, now = pa.ipc.open_stream(kept).read_next_batch(), np.frombuffer(sums).reshape(-1, outputs)
+                    if softened:
+                        now = softmax(now)
+                        shares = pa.FixedSizeListArray.from_arrays(pa.array(now.ravel()), outputs).cast(pa.list_(pa.float64()))
+                        yield out.append_column("probability", shares).append_column("prediction", pa.array(now.argmax(1).astype(float)))
+                    else:
+                        yield out.append_column("prediction", pa.array(now[:, 0]))
+
+        schema = T.StructType(list(df.schema.fields))
+        schema = (schema.add("probability", T.ArrayType(T.DoubleType())) if softened else schema).add("prediction", "double")
+        return loops.mapped(chunks, score, "kept binary, sums binary").mapInArrow(tell, schema)
+
+    def _met(self, df: DataFrame) -> DataFrame:
+        """``transform`` with a forest that is a table: rows are packed into chunks, which meet its parts, written."""
+        names, width = self.names, len(self.names)
         number = given if self.settings.get("complete") else lambda c: F.col(c).cast("double")
         both = df.select("*", *[number(c).alias(f"_f{k}") for k, c in enumerate(names)])
-        chunks = materialize(both.mapInArrow(pack, "chunk long, n long, bins binary, kept binary"), "chunks")
+        chunks = materialize(both.mapInArrow(self._packing(len(df.columns)), "chunk long, n long, bins binary, kept binary"), "chunks")
         rows = chunks.agg(F.sum("n")).first()[0] or 0
         sums = self.forest.sums(chunks, width, rows, [self.forest.trees], [MAX_DEPTH], [0], len(self.base) or 1)
         outputs, trees, mean = len(self.base) or 1, max(1, self.forest.trees), self.kind == "mean"
@@ -936,11 +986,12 @@ def fit_forest(*args, **settings) -> Forest:
     return plant(*args, **settings).collect()
 
 
-def boost(rows: DataFrame, width: int, plan: Growth, rounds: int, rate: float, label: str, classes: int = 0, without: int | None = None, local_rows: int = LOCAL_ROWS, bins: int = BINS) -> tuple[Forest, list[float]]:
+def boost(rows: DataFrame, width: int, plan: Growth, rounds: int, rate: float, label: str, classes: int = 0, without: int | None = None, local_rows: int | None = None, bins: int = BINS) -> tuple[Forest, list[float]]:
     """Gradient boosting over a written table of bins: (trees, score before the first).
 
     With ``classes`` each round takes one gradient of the multinomial log loss and grows one regression tree per class on
-    it; a leaf makes one Newton step. Without, trees follow the residuals. The table of scores is written every few rounds.
+    it; a leaf makes one Newton step. Without, trees follow the residuals. Rounds run in ``loops`` where the executors' memory
+    holds the rows; else, or with ``local_rows``, in numpy, where the table of scores is written every few rounds.
     """
     held = rows if without is None else materialize(rows.filter(F.col("fold") != without), "fold")
     count = held.count()
@@ -950,7 +1001,11 @@ def boost(rows: DataFrame, width: int, plan: Growth, rounds: int, rate: float, l
         base = [float(np.log(max(told.get(k, 0), 1e-9) / max(count, 1))) for k in range(classes)]
     else:
         base = [float(held.agg(F.avg(label)).first()[0] or 0.0)]
-    outputs = len(base)
+    if local_rows is None:
+        forest = _boosted_in_loops(held, width, plan, rounds, rate, label, classes, base, count)
+        if forest is not None:
+            return forest, base
+    outputs, local_rows = len(base), local_rows or LOCAL_ROWS
     kept = [label, "_scores"]
     scored = blocked(held.withColumn("_scores", F.array(*[F.lit(x) for x in base])), width, kept)
     done, latest = [], pd.DataFrame(columns=_NODE)
